@@ -126,3 +126,13 @@ def label_score(label: str, hit: str, base: dict[str, float], default: float) ->
     start = f"CASE {cases} ELSE {default}D END" if cases else f"{default}D"
     return (f"least({start} + CASE WHEN {hit} RLIKE '[0-9]' THEN 0.05D ELSE 0D END "
             f"+ CASE WHEN {hit} RLIKE '\\\\S\\\\s+\\\\S' THEN 0.03D ELSE 0D END, 0.98D)")
+
+
+def spread(df, partitions: int | None = None):
+    """Repartition an input with fewer partitions than cores before costly row work.
+
+    A table of any size already has at least as many splits as cores and is
+    left alone; a small file is one split and would run on one core.
+    """
+    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -302,7 +302,7 @@ WITH c AS (SELECT 'concept:' || s_nationkey AS id, CASE WHEN s_acctbal >= 0 THEN
 good AS (SELECT * FROM c WHERE name IS NOT NULL)
 SELECT id, arg_min(name, seq) AS name, 'general' AS category, max(confidence) AS confidence,
   count(DISTINCT target) FILTER (target IN (SELECT 'region:' || r_regionkey FROM region)) AS relations,
-  (SELECT count(*) FROM c WHERE name IS NULL) AS errors FROM good GROUP BY id""")
+  (SELECT count(*) FROM c WHERE name IS NULL AND c.id = good.id) AS errors FROM good GROUP BY id""")
 def g18(spark, sf):
     s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
     src = s.join(n, s["s_nationkey"] == n["n_nationkey"])
@@ -319,9 +319,9 @@ def g18(spark, sf):
                                                      F.lit(0.8).alias("confidence"))
     links = G.merge_edges(new.limit(0), new, merged.select(F.col("id").alias("src")), regions, "seq", ["confidence"])
     counts = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("relations"))
-    n_errors = errors.agg(F.count(F.lit(1)).alias("errors"))
-    return (merged.select("id", "name", "category", "confidence").join(counts, "id", "left").fillna(0, ["relations"])
-            .join(F.broadcast(n_errors)))
+    bad = errors.groupBy("id").agg(F.count(F.lit(1)).alias("errors"))
+    return (merged.select("id", "name", "category", "confidence").join(counts, "id", "left")
+            .join(bad, "id", "left").fillna(0, ["relations", "errors"]))
 
 
 _SQL_PAIRS = f"""{SQL_INTERACTIONS},
