@@ -274,6 +274,10 @@ def filter_types(rows: DataFrame, include: list[str] | None = None, exclude: lis
     return kept
 
 
+def confident(rows: DataFrame, threshold: float) -> DataFrame:
+    return rows.filter(F.col("confidence") >= threshold)
+
+
 def top_spans(rows: DataFrame, key: str, n: int, order: list[str]) -> DataFrame:
     return top_k(rows, [key], [F.desc("confidence"), *order], n)
 

@@ -291,9 +291,8 @@ def e20(spark, sf):
 
 @query("e21_confident_spans", f"{_SQL_TYPED} SELECT doc_id, count(*) AS n FROM spans WHERE conf >= 0.9 GROUP BY doc_id")
 def e21(spark, sf):
-    docs = E.extract_patterns(notes(spark, sf))
-    kept = docs.select("doc_id", F.expr("size(filter(spans, s -> s.confidence >= 0.9D))").cast("bigint").alias("n"))
-    return kept.filter("n > 0")
+    rows = E.confident(_rows(E.extract_patterns(notes(spark, sf))), 0.9)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e22_groups", """
@@ -312,15 +311,15 @@ def _line_spans(spark, sf):
 
 @query("e23_type_scores", """
 WITH g AS (SELECT l_orderkey AS doc_id, l_returnflag AS label, avg(l_discount + 0.0) AS a FROM lineitem GROUP BY ALL)
-SELECT doc_id, string_agg(label || '=' || round(a * 1000, 0)::BIGINT, ',' ORDER BY label) AS scores, round(avg(a), 6) AS overall_confidence FROM g GROUP BY doc_id""")
+SELECT doc_id, string_agg(label || '=' || round(a * 1000000, 0)::BIGINT, ',' ORDER BY label) AS scores, round(avg(a), 6) AS overall_confidence FROM g GROUP BY doc_id""")
 def e23(spark, sf):
     out = E.type_scores(E.group_by_type(_line_spans(spark, sf), ["doc_id"]), ["doc_id"])
     shown = F.transform(F.array_sort(F.map_entries("scores")), lambda e: F.concat_ws(
-        "=", e["key"], F.round(e["value"] * 1000, 0).cast("bigint").cast("string")))
+        "=", e["key"], F.round(e["value"] * 1000000, 0).cast("bigint").cast("string")))
     return out.select("doc_id", F.array_join(shown, ",").alias("scores"), F.round("overall_confidence", 6).alias("overall_confidence"))
 
 
-_REPEATS = "|".join(("\\" + chr(c) if not chr(c).isalnum() else chr(c)) + "{4}" for c in range(32, 127))
+_REPEATS = "|".join(("\\" + chr(c) if not chr(c).isalnum() else chr(c)) + "{4}" for c in [*range(32, 127), *range(192, 256)])
 
 
 @query("e24_text_quality", f"""
@@ -364,12 +363,12 @@ def e26(spark, sf):
 @query("e27_batch_report", f"""{_SQL_RESOLVED},
 g AS (SELECT doc_id, label, avg(conf) AS a FROM spans GROUP BY ALL), o AS (SELECT doc_id, avg(a) AS overall FROM g GROUP BY doc_id)
 SELECT patient_id, count(*) AS total_documents, count(*) AS successful, 0::BIGINT AS failed,
-  round(avg(coalesce(overall, 0)), 6) AS batch_confidence FROM notes LEFT JOIN o USING (doc_id) GROUP BY patient_id""")
+  round(avg(coalesce(overall, 0)), 9) AS batch_confidence FROM notes LEFT JOIN o USING (doc_id) GROUP BY patient_id""")
 def e27(spark, sf):
     docs = E.extract_patterns(notes(spark, sf)).withColumnRenamed("spans", "entities")
     reports = E.document_report(docs, "doc_id").join(
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("patient_id")), "doc_id")
-    return E.batch_report(reports, ["patient_id"]).withColumn("batch_confidence", F.round("batch_confidence", 6))
+    return E.batch_report(reports, ["patient_id"]).withColumn("batch_confidence", F.round("batch_confidence", 9))
 
 
 @query("e28_validation", f"""WITH {_SQL_MODEL} SELECT source, count(*) AS total_validated, count(*) FILTER (confidence >= 0.8) AS valid,
