@@ -59,17 +59,19 @@ def entries(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One entry per (keys, day) from chunks with facts, day and confidence.
 
     Lists are sets in name order; notes and chunk ids keep duplicates in the
-    order given.
+    order given.  Facts and chunks go through one aggregate: the sets are
+    de-duplicated on the map side and the chunks are read once.
     """
-    sets = fact_rows(chunks, [*keys, "visit_day"]).groupBy(*keys, "visit_day").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))).alias(k) for k in FACTS])
-    per = chunks.groupBy(*keys, "visit_day").agg(
-        F.avg("chunk_confidence").alias("confidence"), F.count(F.lit(1)).alias("n_chunks"),
-        F.array_sort(F.collect_list(F.struct(*order, "chunk_id", "progress_notes"))).alias("__c"))
-    nothing = F.array().cast("array<string>")
-    return per.join(sets, [*keys, "visit_day"], "left").select(
-        *keys, "visit_day", F.concat(F.lit("visit_"), F.col("visit_day").cast("string")).alias("visit_id"),
-        *[F.coalesce(k, nothing).alias(k) for k in FACTS],
+    parts = ", ".join(f"transform({k}, v -> struct('{k}' AS kind, v AS value))" for k in FACTS)
+    items = F.expr(f"concat({parts}, array(struct('chunk' AS kind, CAST(NULL AS STRING) AS value)))")
+    rows = chunks.select(*keys, "visit_day", "chunk_confidence", *order, "chunk_id", "progress_notes", F.explode(items).alias("i"))
+    is_chunk = F.col("i.kind") == "chunk"
+    per = rows.groupBy(*keys, "visit_day").agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("i.kind") == k, F.col("i.value")))).alias(k) for k in FACTS],
+        F.avg(F.when(is_chunk, F.col("chunk_confidence"))).alias("confidence"), F.count_if(is_chunk).alias("n_chunks"),
+        F.array_sort(F.collect_list(F.when(is_chunk, F.struct(*order, "chunk_id", "progress_notes")))).alias("__c"))
+    return per.select(
+        *keys, "visit_day", F.concat(F.lit("visit_"), F.col("visit_day").cast("string")).alias("visit_id"), *FACTS,
         F.flatten(F.transform("__c", lambda c: c["progress_notes"])).alias("progress_notes"),
         F.transform("__c", lambda c: c["chunk_id"]).alias("chunk_ids"), "confidence", "n_chunks")
 

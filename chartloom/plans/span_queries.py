@@ -319,7 +319,7 @@ def e23(spark, sf):
     return out.select("doc_id", F.array_join(shown, ",").alias("scores"), F.round("overall_confidence", 6).alias("overall_confidence"))
 
 
-_REPEATS = "|".join(("\\" + chr(c) if not chr(c).isalnum() else chr(c)) + "{4}" for c in [*range(32, 127), *range(192, 256)])
+_REPEATS = "|".join(("\\" + chr(c) if c < 128 and not chr(c).isalnum() else chr(c)) + "{4}" for c in [*range(32, 127), *range(192, 256)])
 
 
 @query("e24_text_quality", f"""
@@ -363,12 +363,12 @@ def e26(spark, sf):
 @query("e27_batch_report", f"""{_SQL_RESOLVED},
 g AS (SELECT doc_id, label, avg(conf) AS a FROM spans GROUP BY ALL), o AS (SELECT doc_id, avg(a) AS overall FROM g GROUP BY doc_id)
 SELECT patient_id, count(*) AS total_documents, count(*) AS successful, 0::BIGINT AS failed,
-  round(avg(coalesce(overall, 0)), 9) AS batch_confidence FROM notes LEFT JOIN o USING (doc_id) GROUP BY patient_id""")
+  round(avg(coalesce(overall, 0)) + 1e-12, 9) AS batch_confidence FROM notes LEFT JOIN o USING (doc_id) GROUP BY patient_id""")
 def e27(spark, sf):
     docs = E.extract_patterns(notes(spark, sf)).withColumnRenamed("spans", "entities")
     reports = E.document_report(docs, "doc_id").join(
         table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("patient_id")), "doc_id")
-    return E.batch_report(reports, ["patient_id"]).withColumn("batch_confidence", F.round("batch_confidence", 9))
+    return E.batch_report(reports, ["patient_id"]).withColumn("batch_confidence", F.round(F.col("batch_confidence") + 1e-12, 9))
 
 
 @query("e28_validation", f"""WITH {_SQL_MODEL} SELECT source, count(*) AS total_validated, count(*) FILTER (confidence >= 0.8) AS valid,

@@ -27,8 +27,20 @@ def get_session(cores: str | int = "*", app: str = "chartloom", partitions: int
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current or configured:
+        if not current:
+            spark.sparkContext.setCheckpointDir(configured)
+        return current or configured
     path = tempfile.mkdtemp(prefix="chartloom-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialize(df):
+    """Write an intermediate that several branches read, and cut its lineage.
+
+    The rows go to the checkpoint folder, so they outlive lost executors.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
