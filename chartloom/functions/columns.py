@@ -49,6 +49,12 @@ def parse_duration(value: Column) -> Column:
     return F.when(F.length(number) > 0, number.try_cast("bigint") * factor)
 
 
+def one_decimal(value: Column) -> Column:
+    """One decimal place; exact quarters round to even, as IEEE formatting does."""
+    exact = F.pmod(value * 4, F.lit(1.0)) == 0
+    return F.format_string("%.1f", F.when(exact, F.bround(value, 1)).otherwise(value))
+
+
 def format_seconds(seconds: Column) -> Column:
     s = seconds.cast("double")
     whole = F.floor(s)
@@ -56,7 +62,7 @@ def format_seconds(seconds: Column) -> Column:
     hours = F.floor(s / 3600)
     return (
         F.when(s < 1, F.concat((s * 1000).cast("bigint").cast("string"), F.lit("ms")))
-        .when(s < 60, F.concat(F.format_string("%.1f", s), F.lit(" seconds")))
+        .when(s < 60, F.concat(one_decimal(s), F.lit(" seconds")))
         .when(s < 3600, F.concat(minutes.cast("string"), F.lit("m "),
                                  (whole - minutes * 60).cast("string"), F.lit("s")))
         .otherwise(F.concat(hours.cast("string"), F.lit("h "),
@@ -70,7 +76,7 @@ def format_bytes(size: Column, gap: str = " ") -> Column:
     """Binary units with one decimal; ``gap`` separates number and unit."""
     out = F.lit(f"0{gap}B")
     for power, unit in enumerate(SIZE_UNITS):
-        scaled = F.concat(F.format_string("%.1f", size / float(1024 ** power)), F.lit(f"{gap}{unit}"))
+        scaled = F.concat(one_decimal(size / float(1024 ** power)), F.lit(f"{gap}{unit}"))
         at_least = 1024 ** power
         out = F.when(size >= at_least, scaled).otherwise(out) if power else F.when(size != 0, scaled).otherwise(out)
     return out

@@ -567,17 +567,16 @@ FINAL_STATES = ["completed", "failed", "cancelled"]
 UNSAFE_SIGNATURES = ["<script", "javascript:", "vbscript:", "eval(", "exec("]
 DOCUMENT_TYPES = ["lab_report", "prescription", "medical_report", "radiology", "discharge_summary",
                   "clinical_notes", "consent_form", "insurance_claim", "other"]
-FILE_EXTENSIONS = {
-    ".pdf": "application/pdf", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png",
-    ".tiff": "image/tiff", ".tif": "image/tiff",
-    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    ".xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    ".txt": "text/plain",
-}
-SIZE_LIMITS = {
-    "image": 10 * 1024 * 1024, "pdf": 50 * 1024 * 1024, "office_document": 25 * 1024 * 1024,
-    "text": 5 * 1024 * 1024, "other": 50 * 1024 * 1024,
+# extension -> (media type, size limit in bytes)
+FILE_TYPES = {
+    "pdf": ("application/pdf", 52428800), "txt": ("text/plain", 52428800),
+    "docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", 26214400),
+    "doc": ("application/msword", 26214400), "png": ("image/png", 10485760),
+    "jpg": ("image/jpeg", 10485760), "jpeg": ("image/jpeg", 10485760), "tiff": ("image/tiff", 10485760),
+    "tif": ("image/tiff", 10485760), "xls": ("application/vnd.ms-excel", 26214400),
+    "xlsx": ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", 26214400),
 }
+DEFAULT_SIZE_LIMIT = 52428800
 UPLOAD_ACTIONS = {
     "completed": ["View extracted text", "Download processed files", "View medical entities",
                   "Access patient timeline"],
