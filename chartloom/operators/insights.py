@@ -226,17 +226,25 @@ def rule_texts(kind: str, condition: Column) -> Column:
     return F.concat(*parts)
 
 
-def medication_recommendations(pairs: DataFrame, texts: Column, urgency: str = "routine", n: int = 3) -> DataFrame:
-    """Up to ``n`` texts longer than 10 for each (patient, condition, medication or none)."""
-    rows = pairs.withColumn("medication", F.coalesce("medication", F.lit("No current medication"))).select(
-        "patient_id", "condition", "medication", F.posexplode(F.slice(texts, 1, n)).alias("i", "description"))
+def medication_recommendations(conditions: DataFrame, medications: DataFrame, texts: Column, urgency: str = "routine",
+                               n: int = 3) -> DataFrame:
+    """Up to ``n`` texts longer than 10 for each (patient, condition).
+
+    The same text and id hold for every medication of the patient, so the
+    medications stand in a list ("No current medication" without any) and the
+    pairs of conditions and medications are not spelled out.
+    """
+    taken = medications.groupBy("patient_id").agg(F.array_sort(F.collect_set("medication")).alias("medications"))
+    rows = conditions.join(taken, "patient_id", "left").select(
+        "patient_id", "condition", F.coalesce("medications", strings(["No current medication"])).alias("medications"),
+        F.posexplode(F.slice(texts, 1, n)).alias("i", "description"))
     return rows.filter(F.length(F.trim("description")) > 10).select(
         F.concat_ws("_", F.lit("MED"), F.col("patient_id").cast("string"), "condition", (F.col("i") + 1).cast("string")).alias("recommendation_id"),
         "patient_id", F.lit("medication_management").alias("recommendation_type"),
         F.lit("medium" if urgency == "routine" else "high").alias("priority"),
         F.concat(F.lit("Medication Management for "), F.col("condition")).alias("title"), "description",
         strings(["Monitor patient response", "Track medication adherence"]).alias("requirements"),
-        F.array("description").alias("actions"))
+        F.array("description").alias("actions"), "medications")
 
 
 def monitoring_recommendations(primary: DataFrame, texts: Column, urgency: str = "routine", n: int = 4) -> DataFrame:
@@ -272,8 +280,9 @@ def lifestyle_recommendations(patients: DataFrame, texts: Column, urgency: str =
 
 def assemble_recommendations(parts: dict[str, DataFrame], focus: list[str] | None = None) -> DataFrame:
     """Chosen kinds with a sort key: priority first, then kind, then id."""
+    shared = ["recommendation_id", "patient_id", "recommendation_type", "priority", "title", "description", "requirements", "actions"]
     names = {"medication_management": 0, "monitoring": 1, "lifestyle": 2}
-    chosen = [df.withColumn("source", F.lit(names[k])) for k, df in parts.items() if not focus or k in focus]
+    chosen = [df.select(*shared, F.lit(names[k]).alias("source")) for k, df in parts.items() if not focus or k in focus]
     out = chosen[0]
     for df in chosen[1:]:
         out = out.unionByName(df)

@@ -177,40 +177,98 @@ def joined_names(names: Column, sep: str = ", ") -> Column:
     return F.array_join(names, sep)
 
 
-def report_lines(overview: DataFrame, treatments: DataFrame) -> DataFrame:
-    """Summary and report text per patient from the graph evidence.
+SOURCES = {"overview": ["graph", "patient_graph"], "treatments": ["current_treatments", "graph"],
+           "history": ["condition_specific", "graph"], "timeline": ["patient_timeline", "vectors"]}
 
-    Treatments are already cut to the newest ten per patient, so the list put
-    back per patient has at most ten elements.
+
+def report_lines(overview: DataFrame, treatments: DataFrame, history: DataFrame | None = None,
+                 summaries: DataFrame | None = None) -> DataFrame:
+    """Summary and report text per patient from graph and timeline evidence.
+
+    Treatments and history are already cut to their newest rows per patient,
+    so the lists put back per patient have at most ten elements.
     """
     listed = treatments.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct(
         "rank", "medication", "treating_conditions"))).alias("t"))
     df = overview.join(listed, "patient_id", "left")
+    if history is not None:
+        past = history.filter("rank <= 5").groupBy("patient_id").agg(
+            F.max("focus").alias("focus"), F.array_sort(F.collect_list(F.struct("rank", "visit_date", "medications"))).alias("h"))
+        df = df.join(past, "patient_id", "left")
+    else:
+        df = df.withColumn("focus", F.lit(None).cast("string")).withColumn(
+            "h", F.lit(None).cast("array<struct<rank:int,visit_date:date,medications:array<string>>>"))
+    if summaries is not None:
+        df = df.join(summaries.select("patient_id", F.col("summary").alias("timeline")), "patient_id", "left")
+    else:
+        df = df.withColumn("timeline", F.lit(None).cast("string"))
+    has = {"overview": F.lit(True), "treatments": F.coalesce(F.size("t") > 0, F.lit(False)),
+           "history": F.coalesce(F.size("h") > 0, F.lit(False)), "timeline": F.col("timeline").isNotNull()}
+
+    def line(title: str, value: Column, when: Column | None = None) -> Column:
+        shown = F.concat(F.lit(title), value.cast("string"))
+        return shown if when is None else F.when(when, shown)
+
     first = F.transform(F.slice("t", 1, 3), lambda t: t["medication"])
-    has = F.size("t") > 0
-    summary = F.concat_ws("\n", F.concat(F.lit("Patient ID: "), F.col("patient_id").cast("string")),
-                          F.when(F.col("visits") > 0, F.concat(F.lit("Total Visits: "), F.col("visits").cast("string"))),
-                          F.when(F.size("all_conditions") > 0, F.concat(
-                              F.lit("Conditions: "), joined_names(F.slice("all_conditions", 1, 3)))),
-                          F.when(F.size("all_medications") > 0, F.concat(
-                              F.lit("Medication History: "), joined_names(F.slice("all_medications", 1, 3)))),
-                          F.when(has, F.concat(F.lit("Active Treatments: "), F.size("t").cast("string"), F.lit(" medications"))),
-                          F.when(has, F.concat(F.lit("Key Medications: "), joined_names(first))))
-    lines = F.transform("t", lambda t: F.concat(F.lit("• "), t["medication"], F.when(
+    summary = F.concat_ws(
+        "\n", line("Patient ID: ", F.col("patient_id")), line("Primary Focus: ", F.col("focus"), F.col("focus").isNotNull()),
+        line("Total Visits: ", F.col("visits"), F.col("visits") > 0),
+        line("Conditions: ", joined_names(F.slice("all_conditions", 1, 3)), F.size("all_conditions") > 0),
+        line("Medication History: ", joined_names(F.slice("all_medications", 1, 3)), F.size("all_medications") > 0),
+        F.when(has["treatments"], F.concat(F.lit("Active Treatments: "), F.size("t").cast("string"), F.lit(" medications"))),
+        line("Key Medications: ", joined_names(first), has["treatments"]))
+    treated = F.transform("t", lambda t: F.concat(F.lit("• "), t["medication"], F.when(
         F.size(t["treating_conditions"]) > 0,
         F.concat(F.lit(" [For: "), joined_names(t["treating_conditions"]), F.lit("]"))).otherwise("")))
-    points = F.when(has, 2).otherwise(1)
+    visits = F.transform(F.filter("h", lambda x: F.size(x["medications"]) > 0), lambda x: F.concat_ws(
+        "\n", F.concat(F.lit("• Visit on "), x["visit_date"].cast("string"), F.lit(":")),
+        F.array_join(F.transform(x["medications"], lambda m: F.concat(F.lit("  - "), m)), "\n")))
+    points = sum((F.when(h, 1).otherwise(0) for h in has.values()), F.lit(0))
+    used = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(
+        *[F.when(h, strings(SOURCES[k])) for k, h in has.items()])))))
     report = F.concat_ws(
         "\n", F.concat(F.lit("**Treatment Analysis for Patient "), F.col("patient_id").cast("string"), F.lit("**\n")),
         F.concat(F.lit("\nI've analyzed "), points.cast("string"),
                  F.lit(" relevant data points from the medical knowledge base to answer your query.\n")),
-        F.lit("**Patient Overview:**"), F.concat(F.lit("- Patient ID: "), F.col("patient_id").cast("string")),
-        F.concat(F.lit("- Patient Name: "), F.col("name")),
-        F.when(F.col("visits") > 0, F.concat(F.lit("- Total Medical Visits: "), F.col("visits").cast("string"))),
-        F.when(F.col("visits") > 0, F.concat(F.lit("- Latest Visit: "), F.col("last_visit").cast("string"))),
-        F.when(F.size("all_medications") > 0, F.concat(
-            F.lit("- All Prescribed Medications: "), joined_names(F.col("all_medications")))),
-        F.when(has, F.concat(F.lit("\n**Current Active Treatments:**\n"), F.array_join(lines, "\n"))),
-        F.when(has, F.lit("\n*This analysis is based on data from: current_treatments, neo4j, patient_graph*".replace("neo4j", "graph")))
-        .otherwise(F.lit("\n*This analysis is based on data from: graph, patient_graph*")))
-    return df.select("patient_id", summary.alias("summary"), report.alias("report"))
+        F.lit("**Patient Overview:**"), line("- Patient ID: ", F.col("patient_id")), line("- Patient Name: ", F.col("name")),
+        line("- Total Medical Visits: ", F.col("visits"), F.col("visits") > 0),
+        line("- Latest Visit: ", F.col("last_visit"), F.col("visits") > 0),
+        line("- All Prescribed Medications: ", joined_names(F.col("all_medications")), F.size("all_medications") > 0),
+        F.when(has["treatments"], F.concat(F.lit("\n**Current Active Treatments:**\n"), F.array_join(treated, "\n"))),
+        F.when(has["history"], F.concat(F.lit("\n**Treatment History for "), F.col("focus"), F.lit(":**"),
+                                        F.when(F.size(visits) > 0, F.concat(F.lit("\n"), F.array_join(visits, "\n"))).otherwise(""))),
+        line("\n**Clinical Timeline Summary:**\n- ", F.col("timeline"), has["timeline"]))
+    sources = F.concat(F.lit("\n*This analysis is based on data from: "), joined_names(used), F.lit("*"))
+    return df.select("patient_id", summary.alias("summary"), F.concat(report, sources).alias("report"), points.alias("data_points"))
+
+
+def population_report(rows: DataFrame) -> DataFrame:
+    """One text per condition with its generated question, patients, visits per patient and medications."""
+    question = F.concat(F.lit("Analyze population health for patients with "), F.col("condition"), F.lit(" including health trends and patterns"))
+    average = F.col("visit_count") / F.col("patient_count")
+    text = F.concat_ws(
+        "\n", F.lit("**Population Health Analysis**\n"), F.lit("\n**Population Statistics:**"),
+        F.concat(F.lit("- **"), F.col("condition"), F.lit(":**")), F.concat(F.lit("  - Patients: "), F.col("patient_count").cast("string")),
+        F.concat(F.lit("  - Avg visits: "), F.format_string("%.1f", average)))
+    return rows.select("condition", question.alias("question"), intent(question).alias("intent"), text.alias("report"))
+
+
+# --- vector evidence ---------------------------------------------------------
+
+SEARCHES = {"patient": 5, "condition": 3, "query": 3, "entity": 2}
+
+
+def vector_evidence(corpus: DataFrame, searches: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Evidence rows of all searches (query_id, kind, embedding) in one scan of the corpus.
+
+    Every kind keeps its own number of results; the scan finds the largest
+    number once and the smaller kinds are cut by rank.
+    """
+    from chartloom.operators.vectors import nearest
+    keyed = searches.select(F.concat_ws("|", "kind", F.col("query_id").cast("string")).alias("query_id"), "embedding")
+    found = nearest(corpus, keyed, max(SEARCHES.values()), metric)
+    kind, parts = F.substring_index("query_id", "|", 1), F.substring_index("query_id", "|", -1)
+    limit = F.element_at(F.create_map(*[x for k, n in SEARCHES.items() for x in (F.lit(k), F.lit(n))]), kind)
+    return found.filter(F.col("rank") <= limit).select(
+        parts.alias("query_id"), kind.alias("result_type"), F.col("similarity").alias("relevance"), F.col("id").alias("content"),
+        F.col("rank").alias("position"))

@@ -31,6 +31,12 @@ def page(store: DataFrame, order: list[str], limit: int = 10, offset: int = 0) -
     return store.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_per_key(store: DataFrame, key: str, order: list[str], limit: int = 10, offset: int = 0) -> DataFrame:
+    """The same page of every key; no more than offset + limit rows of a key leave a map task."""
+    ranked = top_k(store, [key], [F.asc(c) for c in order], offset + limit)
+    return ranked.filter(F.col("rank") > offset)
+
+
 def timeline_documents(headers: DataFrame, entry_rows: DataFrame) -> DataFrame:
     """Timelines and their entries as store rows (id, kind, text, counts).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["graph_queries", "span_queries", "chunk_queries", "desk_queries", "vector_queries", "insight_queries"]
+MODULES = ["graph_queries", "span_queries", "chunk_queries", "desk_queries", "vector_queries", "insight_queries", "retrieval_queries"]
 
 
 def load():

@@ -234,19 +234,14 @@ def _sql_rules(kind, condition, n):
     return f"list_concat({', '.join(parts)})[1:{n}]"
 
 
-@query("i17_medication_recommendations", f"""WITH {_SQL_CLINICAL}, x AS (SELECT pc.patient_id, condition, coalesce(medication, 'No current medication') AS medication,
-  unnest({_sql_rules('treatment', 'condition', 3)}) AS description, unnest(range(3)) AS i FROM pc LEFT JOIN pm USING (patient_id))
-SELECT patient_id, condition, medication, 'MED_' || patient_id || '_' || condition || '_' || (i + 1) AS recommendation_id, 'medium' AS priority, description FROM x WHERE length(description) > 10""")
+@query("i17_medication_recommendations", f"""WITH {_SQL_CLINICAL}, m AS (SELECT patient_id, string_agg(medication, '|' ORDER BY medication) AS meds FROM pm GROUP BY patient_id),
+x AS (SELECT pc.patient_id, condition, coalesce(meds, 'No current medication') AS medications, unnest({_sql_rules('treatment', 'condition', 3)}) AS description, unnest(range(3)) AS i FROM pc LEFT JOIN m USING (patient_id))
+SELECT 'MED_' || patient_id || '_' || condition || '_' || (i + 1) AS recommendation_id, 'medium' AS priority, description, medications FROM x WHERE length(description) > 10""")
 def i17(spark, sf):
     p, v, e = _clinical(spark, sf)
     meds = G.patient_entities(v, e.filter("type = 'PRESCRIBED'")).select("patient_id", F.col("name").alias("medication"))
-    pairs = _conditions(v, e).join(meds, "patient_id", "left")
-    out = I.medication_recommendations(pairs, I.rule_texts("treatment", F.col("condition")))
-    condition = F.regexp_replace("title", "^Medication Management for ", "")
-    # the medication of a row is part of the pair, not of the recommendation id
-    keyed = out.groupBy("patient_id", "recommendation_id", "priority", "description", condition.alias("condition")).agg(F.count(F.lit(1)).alias("n"))
-    again = keyed.join(pairs.withColumn("medication", F.coalesce("medication", F.lit("No current medication"))), ["patient_id", "condition"])
-    return again.select("patient_id", "condition", "medication", "recommendation_id", "priority", "description")
+    out = I.medication_recommendations(_conditions(v, e), meds, I.rule_texts("treatment", F.col("condition")))
+    return out.select("recommendation_id", "priority", "description", F.array_join("medications", "|").alias("medications"))
 
 
 def _primary(spark, sf):

@@ -109,10 +109,11 @@ def _chunk_store(spark, sf):
                                                F.col("l_linenumber").alias("chunk"), F.col("l_partkey").alias("part"))
 
 
-@query("v08_chunk_page", """SELECT l_suppkey AS patient_id, l_orderkey AS doc_id, l_linenumber AS chunk, l_partkey AS part FROM lineitem
-WHERE l_suppkey = 7 ORDER BY doc_id, chunk, part LIMIT 15 OFFSET 5""")
+@query("v08_chunk_pages", """SELECT patient_id, doc_id, chunk, part, rank::INT AS rank FROM (SELECT l_suppkey AS patient_id, l_orderkey AS doc_id, l_linenumber AS chunk, l_partkey AS part,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) WHERE rank > 5 AND rank <= 20""")
 def v08(spark, sf):
-    return V.page(_chunk_store(spark, sf).filter("patient_id = 7"), ["doc_id", "chunk", "part"], 15, 5)
+    """The second page of the chunks of every patient."""
+    return V.page_per_key(_chunk_store(spark, sf), "patient_id", ["doc_id", "chunk", "part"], 15, 5)
 
 
 @query("v09_chunk_counts", "SELECT l_suppkey AS patient_id, count(*) AS n FROM lineitem GROUP BY l_suppkey")
