@@ -14,7 +14,8 @@ def position_in_group(df: DataFrame, keys: list[str], order: list[Column], bucke
     timestamp, an id range).  Rows are numbered inside (keys, bucket) and
     shifted by the sizes of the earlier buckets, so a key that holds a large
     share of the rows is spread over as many tasks as it has buckets; only the
-    bucket counts, not the rows, meet in one place.
+    bucket counts, not the rows, meet in one place.  Buckets of about the
+    square root of the row count keep both sides small when there are no keys.
     """
     b, n, base = "__bucket", "__n", "__base"
     with_bucket = df.withColumn(b, bucket)

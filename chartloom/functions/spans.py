@@ -12,6 +12,7 @@ call by call.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 SPAN_TYPE = ("struct<start:int,ord:int,end:int,label:string,text:string,confidence:double,"
@@ -46,6 +47,34 @@ def clear_marks(text: str) -> str:
     return f"translate({text}, '\\u0001\\u0002', '  ')"
 
 
+def folded(text: str) -> str:
+    """Lower case for word tests; the two letters that match s and i only when case is ignored are replaced."""
+    return f"translate(lower({text}), '\u017f\u0131', 'si')"
+
+
+def required_words(pattern: str) -> list[str] | None:
+    """Lower-case words of which every match of the pattern contains one, or None.
+
+    Read off a leading literal or a leading group of plain alternatives; parts
+    that may be absent are left out.  Testing for the words first is several
+    times cheaper than running the pattern over a text it cannot match.
+    """
+    literal_start = re.match(r"(?:\\b)?([A-Za-z0-9-]{3,})(?=\\s|\(\?:)", pattern)
+    if literal_start:
+        return [literal_start.group(1).lower()]
+    group = re.match(r"\\b\((?:\?:)?((?:[^()\\]|\\[sdw.])*)\)(.?)", pattern)
+    if not group or group.group(2) in ("?", "*", "{"):
+        return None
+    words = []
+    for alternative in group.group(1).split("|"):
+        pieces = re.split(r"\\.[?*+]?|\[[^\]]*\][?*+]?|.[?*]", alternative)
+        longest = max(pieces, key=len)
+        if len(longest) < 2 or not re.fullmatch(r"[A-Za-z0-9 /%-]+", longest):
+            return None
+        words.append(longest.lower())
+    return words
+
+
 def let(value: str, name: str, body: str) -> str:
     """``body`` with ``value`` bound to ``name`` and evaluated once per row."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -72,11 +101,13 @@ def match_starts(text: str, pattern: str) -> str:
     return fold_matches(text, java_pattern(pattern), "acc.at", "int")
 
 
-def find_spans(text: str, rules: list[Rule], score=None, first_ord: int = 0) -> str:
+def find_spans(text: str, rules: list[Rule], score=None, first_ord: int = 0, low: str | None = None) -> str:
     """All matches of all rules as one array of spans, rule by rule.
 
-    ``text`` is the name of a column that went through ``clear_marks``;
-    ``score(label, hit)`` gives the SQL of a confidence, default the rule's own.
+    ``text`` is the name of a column that went through ``clear_marks`` and
+    ``low`` one that also went through ``folded``; with it a rule runs only on
+    texts that contain one of its required words.  ``score(label, hit)`` gives
+    the SQL of a confidence, default the rule's own.
     """
     if not rules:
         return f"CAST(array() AS {SPANS_TYPE})"
@@ -91,7 +122,12 @@ def find_spans(text: str, rules: list[Rule], score=None, first_ord: int = 0) ->
             bounds = f"CASE WHEN {group[1]} <> '' AND {group[2]} <> '' THEN concat({group[1]}, '-', {group[2]}) END"
         element = (f"CAST(struct(acc.at, {first_ord + i}, acc.at + length(hit), {literal(rule.label)}, hit, "
                    f"{confidence}, {literal(rule.semantic_type)}, {value}, {bounds}) AS {SPAN_TYPE})")
-        parts.append(fold_matches(text, pattern, element, SPAN_TYPE))
+        found = fold_matches(text, pattern, element, SPAN_TYPE)
+        words = required_words(rule.pattern) if low else None
+        if words:
+            test = " OR ".join(f"contains({low}, {literal(w)})" for w in words)
+            found = f"CASE WHEN {test} THEN {found} ELSE CAST(array() AS {SPANS_TYPE}) END"
+        parts.append(found)
     return "concat(" + ", ".join(parts) + ")"
 
 

@@ -48,8 +48,12 @@ def pattern_score(label: str, hit: str) -> str:
 def extract(docs: DataFrame, rules: list[Rule], score=None, first_ord: int = 0, text: str = "text",
             into: str = "spans") -> DataFrame:
     """Adds every match of every rule as an array of spans."""
-    marked = docs.withColumn("__clean", F.expr(S.clear_marks(text)))
-    return marked.withColumn(into, F.expr(S.find_spans("__clean", rules, score, first_ord))).drop("__clean")
+    marked = _marked(docs, text)
+    return marked.withColumn(into, F.expr(S.find_spans("__clean", rules, score, first_ord, "__low"))).drop("__clean", "__low")
+
+
+def _marked(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("__clean", F.expr(S.clear_marks(text))).withColumn("__low", F.expr(S.folded("__clean")))
 
 
 def resolve(docs: DataFrame, spans: str = "spans") -> DataFrame:
@@ -168,6 +172,7 @@ OCR_STEPS = [
     ("digit", r"[Il](?=\d|$|\s)", "1"), ("digit", r"O(?=\d|$|\s)", "0"),
     ("letters", r"1(?=[a-zA-Z])", "l"), ("letters", r"0(?=[a-zA-Z])", "O"),
     (None, "rn", "m"), (None, "cl", "d"),
+    # with one group in the pattern, "$10" is group 1 and a zero
     (None, r"l(\d+)", "1$1"), (None, r"(\d+)O", "$10"), (None, r"O(\d+)", "0$1"),
     (None, r"(\d+)o", "$10"), (None, r"o(\d+)", "0$1"),
 ]
@@ -185,9 +190,6 @@ def ocr_fix_sql(text: str) -> str:
     gates = {"digit": f"{text} RLIKE '[0-9]'", "letters": f"{text} RLIKE '[a-zA-Z]{{3,}}'"}
     fixed = text
     for gate, pattern, replacement in OCR_STEPS:
-        replacement = replacement.replace("$10", "${d}0") if replacement == "$10" else replacement
-        if replacement == "${d}0":
-            pattern = pattern.replace(r"(\d+)", r"(?<d>\d+)")
         step = f"regexp_replace({fixed}, {literal(pattern)}, {literal(replacement)})"
         fixed = f"CASE WHEN {gates[gate]} THEN {step} ELSE {fixed} END" if gate else step
     return f"coalesce(element_at({_map_sql(table)}, lower({text})), {fixed})"
@@ -353,12 +355,12 @@ def extract_entities(docs: DataFrame, threshold: float = 0.7, model_spans: str |
     to entity types.  The extra patterns run only beside a first model.
     """
     sources = [(extra_rules() if with_extra else []), clinical_rules(), temporal_rules(), lab_rules()]
-    marked = docs.withColumn("__clean", F.expr(S.clear_marks(text)))
+    marked = _marked(docs, text)
     first = 1000
     parts = [model_spans] if model_spans else []
     for rules in sources:
         if rules:
-            parts.append(S.find_spans("__clean", rules, first_ord=first))
+            parts.append(S.find_spans("__clean", rules, first_ord=first, low="__low"))
             first += len(rules)
     found = marked.withColumn("__found", F.expr("concat(" + ", ".join(parts) + ")"))
     retyped = S.let(ocr_fix_sql("s.text"), "fixed", (
@@ -374,7 +376,7 @@ def extract_entities(docs: DataFrame, threshold: float = 0.7, model_spans: str |
             f"normal, code, CASE WHEN code IS NOT NULL THEN concat({code_system_sql('s.label')}, ':', code) END, "
             f"{related_positions_sql('__merged')}) AS {ENTITY_FIELDS})")))
     return merged.withColumn("entities", F.expr(f"transform(__merged, (s, i) -> {entity})")).drop(
-        "__clean", "__found", "__typed", "__kept", "__merged")
+        "__clean", "__low", "__found", "__typed", "__kept", "__merged")
 
 
 def document_report(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ def u02(spark, sf):
 SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS batch FROM orders""")
 def u03(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    placed = position_in_group(rows, [], [F.col("id")], F.floor(F.col("id") / 1000))
+    placed = position_in_group(rows, [], [F.col("id")], F.floor(F.col("id") / 262144))
     return placed.select("id", F.floor((F.col("position") - 1) / 50).alias("batch"))
 
 

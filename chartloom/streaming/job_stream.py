@@ -1,11 +1,12 @@
 """The job log as a stream.
 
-``fold_stream`` keeps a table of job states: every micro-batch is folded on
-its own and merged with the newest state version, and the result is written as
-the next version.  The merge takes maxima by (time, event id), so late, out of
-order and re-delivered events end in the same state as a batch fold.  A version
-is named by its batch id: a batch that runs again after a failure rewrites its
-own folder and nothing else.
+``fold_stream`` keeps job states as partial folds: every micro-batch is folded
+on its own and written as one delta, so a batch costs what its events cost and
+not what the whole state costs; now and then the deltas are merged into a full
+version.  The merge takes maxima by (time, event id), so late and out of order
+events end in the same state as a batch fold.  A delta is named by its batch
+id: a batch that runs again after a failure rewrites its own folder and nothing
+else.
 """
 
 from __future__ import annotations
@@ -43,9 +44,18 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
                   and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
 
-def latest_state(spark: SparkSession, path: str) -> DataFrame | None:
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={done[-1]}") if done else None
+def latest_state(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
+    """The newest full version merged with the deltas after it."""
+    def known(kind: str) -> list[int]:
+        return [v for v in _versions(spark, f"{path}/{kind}") if up_to is None or v <= up_to]
+
+    full = known("full")[-1:]
+    deltas = [v for v in known("delta") if not full or v > full[-1]]
+    folders = [f"{path}/full/v={v}" for v in full] + [f"{path}/delta/v={v}" for v in deltas]
+    if not folders:
+        return None
+    parts = spark.read.parquet(*folders)
+    return merge_states(parts.limit(0), parts)
 
 
 def _with_event_time(events: DataFrame) -> DataFrame:
@@ -53,7 +63,8 @@ def _with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def fold_stream(events: DataFrame, state_path: str, checkpoint: str, watermark: str = "1 hour"):
+def fold_stream(events: DataFrame, state_path: str, checkpoint: str, watermark: str = "1 hour",
+                compact_every: int = 20):
     """Start the fold; returns the streaming query.
 
     Events repeated within the watermark are dropped by their id first.
@@ -63,11 +74,11 @@ def fold_stream(events: DataFrame, state_path: str, checkpoint: str, watermark:
     stored = events.schema["ts"].dataType
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = job_state(batch.withColumn("ts", F.col("ts").cast(stored)))
-        earlier = [v for v in _versions(spark, state_path) if v < batch_id]
-        merged = merge_states(spark.read.parquet(f"{state_path}/v={earlier[-1]}"), new) if earlier else new
-        merged.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        job_state(batch.withColumn("ts", F.col("ts").cast(stored))).write.mode("overwrite").parquet(
+            f"{state_path}/delta/v={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            latest_state(batch.sparkSession, state_path, batch_id).write.mode("overwrite").parquet(
+                f"{state_path}/full/v={batch_id}")
 
     return (unique.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -31,6 +31,22 @@ def test_offsets_match_a_direct_search(spark, sf, name):
         assert got == python_spans(row.text, rules), row.text
 
 
+def test_required_words_occur_in_every_match(sf):
+    rules = E.pattern_rules() + E.clinical_rules() + E.extra_rules() + E.temporal_rules() + E.lab_rules()
+    gated = [r for r in rules if S.required_words(r.pattern)]
+    assert len(gated) > 60
+    assert S.required_words(r"\b(?:HR|Heart\s+Rate):?\s*\d") == ["hr", "heart"]
+    assert S.required_words(r"\b(?:lbs?|kg)\b") == ["lb", "kg"] and S.required_words(r"\b(?:a|bcd)\b") is None
+    assert S.required_words(r"\b\w+\s+(?:mg)") is None and S.required_words(r"visit\s+(?:date|on)") == ["visit"]
+    samples = ["three times daily", "Blood  Pressure: 120/80", "beats per minute HR 80 beats per minute", "units 5 units/L", "Dr. Smith Reg No 12",
+               "ſtroke and ıNSULIN", "Type 2 Diabetes Mellitus", "two weeks, 3 weeks ago", "HDL: 40 LDL 30 mg/dL", "wbc 3 WBC: 4.5 k/uL range 4-5"]
+    for r in gated:
+        for text in samples:
+            for m in re.finditer(r.pattern, text, re.I):
+                low = m.group().lower().replace("ſ", "s").replace("ı", "i")
+                assert any(w in low for w in S.required_words(r.pattern)), (r.pattern, m.group())
+
+
 def first_rule(spans):
     """Compare with every kept span."""
     kept = []
