@@ -19,7 +19,7 @@ from chartloom.session import get_session  # noqa: E402
 
 HEADLINE = [
     "g01_patient_upsert", "g10_edge_merge", "g12_patient_statistics", "g16_visit_timeline", "g17_cross_patient_patterns",
-    "g19_interacting_pairs", "g21_patient_bundle", "e07_resolved_pattern_spans", "e30_entities", "c01_visit_chunks",
+    "g19_interacting_pairs", "g21_patient_bundle", "e07_resolved_pattern_spans", "e30_entities",
     "c04_semantic_chunks", "c05_fixed_chunks", "t08_structured_documents", "v03_nearest_cosine", "v12_group_cohesion",
     "i01_treatment_progression", "i10_risk_confidence", "h06_current_treatments", "h15_reports", "j03_job_view",
 ]

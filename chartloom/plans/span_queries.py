@@ -63,7 +63,6 @@ def _simple(name, rules):
 _simple("e03_extra_spans", E.extra_rules())
 _simple("e04_temporal_spans", E.temporal_rules())
 
-_LAB = " ".join(f"WHEN {i} THEN {{}}" for i in range(6))
 
 
 def _lab_group(g):
