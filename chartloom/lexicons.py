@@ -583,3 +583,51 @@ UPLOAD_ACTIONS = {
     "failed": ["Retry processing", "View error details", "Re-upload files"],
     "other": ["Check processing status", "Cancel processing"],
 }
+
+# --- fixed values: result texts ----------------------------------------------
+
+NEXT_STEPS = {
+    "none": "Consider text preprocessing or different extraction models",
+    "few": "Ready for timeline structuring and relationship analysis",
+    "many": "Ready for knowledge graph construction and entity linking",
+}
+EXTRACTION_ADVICE = {
+    "none": "Consider adjusting confidence threshold or processing mode",
+    "many": "Consider text chunking for better performance",
+    "unsure": "Consider using higher accuracy processing mode",
+}
+OCR_ISSUES = {"quality": "Low image quality detected", "confidence": "Low OCR confidence"}
+MEDICATION_REQUIREMENTS = ["Monitor patient response", "Track medication adherence"]
+LIFESTYLE_REQUIREMENTS = ["Monitor patient adherence to lifestyle changes", "Assess progress at follow-up visits"]
+# always present, or present with one of the words
+MONITORING_REQUIREMENTS = [
+    (None, "Regular follow-up assessments"),
+    (["blood", "lab"], "Laboratory monitoring"),
+    (["appointment", "visit"], "Scheduled clinical visits"),
+    (["vital"], "Vital signs monitoring"),
+]
+LIFESTYLE_ACTIONS = [
+    (["exercise", "activity"], "Consult with healthcare provider before starting new exercise program"),
+    (["diet", "nutrition"], "Consider consultation with registered dietitian"),
+]
+NO_MEDICATION = "No current medication"
+GENERAL_MONITORING = "General Health Monitoring"
+LIFESTYLE_TITLE = "Lifestyle Modification Recommendation"
+EMPTY_TIMELINE = "No timeline entries met the confidence threshold."
+REQUEST_ERRORS = {
+    "documents": "At least one document_id or file_path must be provided",
+    "retries": "max_retries must be between 0 and 10",
+    "timeout": "timeout_seconds must be between 30 and 3600",
+    "workflow": "Invalid workflow_type: ",
+}
+
+# --- fixed values: character rewrites of recognized text, in order ------------
+
+# (gate, pattern, replacement); with one group in the pattern, "$10" is group 1 and a zero
+OCR_STEPS = [
+    ("digit", r"[Il](?=\d|$|\s)", "1"), ("digit", r"O(?=\d|$|\s)", "0"),
+    ("letters", r"1(?=[a-zA-Z])", "l"), ("letters", r"0(?=[a-zA-Z])", "O"),
+    (None, "rn", "m"), (None, "cl", "d"),
+    (None, r"l(\d+)", "1$1"), (None, r"(\d+)O", "$10"), (None, r"O(\d+)", "0$1"),
+    (None, r"(\d+)o", "$10"), (None, r"o(\d+)", "0$1"),
+]

@@ -231,31 +231,29 @@ def medication_recommendations(conditions: DataFrame, medications: DataFrame, te
     """Up to ``n`` texts longer than 10 for each (patient, condition).
 
     The same text and id hold for every medication of the patient, so the
-    medications stand in a list ("No current medication" without any) and the
+    medications stand in a list (a fixed text without any) and the
     pairs of conditions and medications are not spelled out.
     """
     taken = medications.groupBy("patient_id").agg(F.array_sort(F.collect_set("medication")).alias("medications"))
     rows = conditions.join(taken, "patient_id", "left").select(
-        "patient_id", "condition", F.coalesce("medications", strings(["No current medication"])).alias("medications"),
+        "patient_id", "condition", F.coalesce("medications", strings([L.NO_MEDICATION])).alias("medications"),
         F.posexplode(F.slice(texts, 1, n)).alias("i", "description"))
     return rows.filter(F.length(F.trim("description")) > 10).select(
         F.concat_ws("_", F.lit("MED"), F.col("patient_id").cast("string"), "condition", (F.col("i") + 1).cast("string")).alias("recommendation_id"),
         "patient_id", F.lit("medication_management").alias("recommendation_type"),
         F.lit("medium" if urgency == "routine" else "high").alias("priority"),
         F.concat(F.lit("Medication Management for "), F.col("condition")).alias("title"), "description",
-        strings(["Monitor patient response", "Track medication adherence"]).alias("requirements"),
+        strings(L.MEDICATION_REQUIREMENTS).alias("requirements"),
         F.array("description").alias("actions"), "medications")
 
 
 def monitoring_recommendations(primary: DataFrame, texts: Column, urgency: str = "routine", n: int = 4) -> DataFrame:
     """Monitoring texts for the first condition of each patient, with requirements by keyword."""
-    rows = primary.withColumn("condition", F.coalesce("condition", F.lit("General Health Monitoring"))).select(
+    rows = primary.withColumn("condition", F.coalesce("condition", F.lit(L.GENERAL_MONITORING))).select(
         "patient_id", "condition", F.posexplode(F.slice(texts, 1, n)).alias("i", "description"))
     low = F.lower("description")
-    needs = F.array_compact(F.array(
-        F.lit("Regular follow-up assessments"), F.when(any_contains(low, ["blood", "lab"]), "Laboratory monitoring"),
-        F.when(any_contains(low, ["appointment", "visit"]), "Scheduled clinical visits"),
-        F.when(low.contains("vital"), "Vital signs monitoring")))
+    needs = F.array_compact(F.array(*[
+        F.when(any_contains(low, words), text) if words else F.lit(text) for words, text in L.MONITORING_REQUIREMENTS]))
     return rows.filter(F.length(F.trim("description")) > 10).select(
         F.concat_ws("_", F.lit("MON"), F.col("patient_id").cast("string"), "condition", (F.col("i") + 1).cast("string")).alias("recommendation_id"),
         "patient_id", F.lit("monitoring").alias("recommendation_type"), F.lit("medium" if urgency == "routine" else "high").alias("priority"),
@@ -266,15 +264,13 @@ def monitoring_recommendations(primary: DataFrame, texts: Column, urgency: str =
 def lifestyle_recommendations(patients: DataFrame, texts: Column, urgency: str = "routine", n: int = 4) -> DataFrame:
     rows = patients.select("patient_id", F.posexplode(F.slice(texts, 1, n)).alias("i", "description"))
     low = F.lower("description")
-    actions = F.array_compact(F.array(
-        F.col("description"), F.when(any_contains(low, ["exercise", "activity"]),
-                                     "Consult with healthcare provider before starting new exercise program"),
-        F.when(any_contains(low, ["diet", "nutrition"]), "Consider consultation with registered dietitian")))
+    actions = F.array_compact(F.array(F.col("description"), *[
+        F.when(any_contains(low, words), text) for words, text in L.LIFESTYLE_ACTIONS]))
     return rows.filter(F.length(F.trim("description")) > 10).select(
         F.concat_ws("_", F.lit("LIFE"), F.col("patient_id").cast("string"), (F.col("i") + 1).cast("string")).alias("recommendation_id"),
         "patient_id", F.lit("lifestyle").alias("recommendation_type"), F.lit("low" if urgency == "routine" else "medium").alias("priority"),
-        F.lit("Lifestyle Modification Recommendation").alias("title"), "description",
-        strings(["Monitor patient adherence to lifestyle changes", "Assess progress at follow-up visits"]).alias("requirements"),
+        F.lit(L.LIFESTYLE_TITLE).alias("title"), "description",
+        strings(L.LIFESTYLE_REQUIREMENTS).alias("requirements"),
         actions.alias("actions"))
 
 

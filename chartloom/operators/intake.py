@@ -115,7 +115,7 @@ def ocr_pages(words: DataFrame, pages: DataFrame, keys: list[str], threshold: fl
     per = kept.groupBy(*keys).agg(F.avg(F.col("conf") / 100.0).alias("confidence"), F.count(F.lit(1)).alias("regions"))
     joined = pages.join(per, keys, "left").fillna(0.0, ["confidence"]).fillna(0, ["regions"])
     return joined.withColumn("issues", F.array_compact(F.array(
-        F.when(F.col("quality") < 0.7, "Low image quality detected"), F.when(F.col("confidence") < 0.8, "Low OCR confidence"))))
+        F.when(F.col("quality") < 0.7, L.OCR_ISSUES["quality"]), F.when(F.col("confidence") < 0.8, L.OCR_ISSUES["confidence"]))))
 
 
 def ocr_documents(pages: DataFrame, key: str) -> DataFrame:

@@ -95,10 +95,10 @@ def job_metrics(jobs: DataFrame) -> DataFrame:
 def validate_requests(requests: DataFrame) -> DataFrame:
     """All errors of a request (n_documents, n_paths, max_retries, timeout_seconds, workflow)."""
     errors = F.array_compact(F.array(
-        F.when((F.col("n_documents") == 0) & (F.col("n_paths") == 0), "At least one document_id or file_path must be provided"),
-        F.when(~F.col("max_retries").between(0, 10), "max_retries must be between 0 and 10"),
-        F.when(~F.col("timeout_seconds").between(30, 3600), "timeout_seconds must be between 30 and 3600"),
-        F.when(~F.col("workflow").isin(list(L.WORKFLOWS)), F.concat(F.lit("Invalid workflow_type: "), F.col("workflow")))))
+        F.when((F.col("n_documents") == 0) & (F.col("n_paths") == 0), L.REQUEST_ERRORS["documents"]),
+        F.when(~F.col("max_retries").between(0, 10), L.REQUEST_ERRORS["retries"]),
+        F.when(~F.col("timeout_seconds").between(30, 3600), L.REQUEST_ERRORS["timeout"]),
+        F.when(~F.col("workflow").isin(list(L.WORKFLOWS)), F.concat(F.lit(L.REQUEST_ERRORS["workflow"]), F.col("workflow")))))
     return requests.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 

@@ -168,16 +168,6 @@ def validated_type_sql(text: str, label: str) -> str:
 
 # --- text fixes and terminologies -------------------------------------------
 
-OCR_STEPS = [
-    ("digit", r"[Il](?=\d|$|\s)", "1"), ("digit", r"O(?=\d|$|\s)", "0"),
-    ("letters", r"1(?=[a-zA-Z])", "l"), ("letters", r"0(?=[a-zA-Z])", "O"),
-    (None, "rn", "m"), (None, "cl", "d"),
-    # with one group in the pattern, "$10" is group 1 and a zero
-    (None, r"l(\d+)", "1$1"), (None, r"(\d+)O", "$10"), (None, r"O(\d+)", "0$1"),
-    (None, r"(\d+)o", "$10"), (None, r"o(\d+)", "0$1"),
-]
-
-
 def _map_sql(values: dict[str, str]) -> str:
     return "map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in values.items()) + ")"
 
@@ -189,7 +179,7 @@ def ocr_fix_sql(text: str) -> str:
         table.setdefault(wrong.lower(), right)
     gates = {"digit": f"{text} RLIKE '[0-9]'", "letters": f"{text} RLIKE '[a-zA-Z]{{3,}}'"}
     fixed = text
-    for gate, pattern, replacement in OCR_STEPS:
+    for gate, pattern, replacement in L.OCR_STEPS:
         step = f"regexp_replace({fixed}, {literal(pattern)}, {literal(replacement)})"
         fixed = f"CASE WHEN {gates[gate]} THEN {step} ELSE {fixed} END" if gate else step
     return f"coalesce(element_at({_map_sql(table)}, lower({text})), {fixed})"
@@ -311,16 +301,16 @@ def text_quality(text: Column) -> Column:
 
 
 def next_step(n: Column) -> Column:
-    return (F.when(n == 0, "Consider text preprocessing or different extraction models")
-            .when(n < 5, "Ready for timeline structuring and relationship analysis")
-            .otherwise("Ready for knowledge graph construction and entity linking"))
+    return (F.when(n == 0, L.NEXT_STEPS["none"])
+            .when(n < 5, L.NEXT_STEPS["few"])
+            .otherwise(L.NEXT_STEPS["many"]))
 
 
 def recommendations(n: Column, mean_confidence: Column) -> Column:
     return F.array_compact(F.array(
-        F.when(n == 0, "Consider adjusting confidence threshold or processing mode"),
-        F.when(n > 100, "Consider text chunking for better performance"),
-        F.when(F.coalesce(mean_confidence, F.lit(0.0)) < 0.7, "Consider using higher accuracy processing mode")))
+        F.when(n == 0, L.EXTRACTION_ADVICE["none"]),
+        F.when(n > 100, L.EXTRACTION_ADVICE["many"]),
+        F.when(F.coalesce(mean_confidence, F.lit(0.0)) < 0.7, L.EXTRACTION_ADVICE["unsure"])))
 
 
 def validate(rows: DataFrame, keys: list[str], threshold: float = 0.8) -> DataFrame:

@@ -102,8 +102,7 @@ def summary(headers: DataFrame, entry_rows: DataFrame, keys: list[str], threshol
                       F.col("last_day").cast("string"), F.lit(" with "), F.col("total_visits").cast("string"), F.lit(" visit(s)."))]
     for k, title in kinds:
         parts.append(F.when(F.size(f"__{k}") > 0, F.concat(F.lit(f"{title}: "), F.array_join(f"__{k}", ", "), F.lit("."))))
-    text = F.when(F.col("total_visits") > 0, F.concat_ws(" ", *parts)).otherwise(
-        "No timeline entries met the confidence threshold.")
+    text = F.when(F.col("total_visits") > 0, F.concat_ws(" ", *parts)).otherwise(L.EMPTY_TIMELINE)
     return headers.join(lists, keys, "left").withColumn("summary", text).drop(*[f"__{k}" for k, _ in kinds])
 
 
