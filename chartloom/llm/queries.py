@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import mixing, packing, token_store
+from chartloom.llm import mixing, near_dup, packing, private_data, quality, repeats, secrets, token_store, topk, vector_links
 from chartloom.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,42 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing")
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
+
+
+@query("op3_secrets")
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op4_private_data")
+def private_data_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find_private_data(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+@query("op8_quality")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("key", "doc_id")
+
+
+@query("op1_top_k")
+def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.nearest(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
+@query("op9_vector_links")
+def vector_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = vector_links.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+    return linked.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+@query("op5_repeats")
+def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35).withColumnRenamed("key", "doc_id")
+
+
+@query("op6_near_duplicates")
+def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_dup.link_documents(table(spark, sf_dir, "documents"), percent=75)
+    return linked.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")

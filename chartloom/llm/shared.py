@@ -143,3 +143,37 @@ def range_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: i
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:len(values)], out=total[1:])
     # the length enters too, so that no range equals a shorter one
     return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def byte_chunks(starts: np.ndarray, limit: int = 2 << 20) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``limit`` bytes each; a longer text is a range of its own."""
+    out, n, first = [], len(starts) - 1, 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + limit, "right")) - 1)
+        out.append((first, min(last, n)))
+        first = out[-1][1]
+    return out
+
+
+def sorted_groups(batches, names: list[str]):
+    """Tables of equal values of ``names`` from Arrow batches that are sorted by them.
+
+    Memory: one batch and one group.
+    """
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        changed = np.zeros(table.num_rows, bool)
+        for name in names:
+            values = table.column(name).to_numpy()
+            changed[1:] |= values[1:] != values[:-1]
+        edges = [0, *np.flatnonzero(changed).tolist()]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(edges[-1])
+    if held is not None:
+        yield held
