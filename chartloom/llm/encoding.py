@@ -18,8 +18,11 @@ _ASCII_SPACE = " \t\n\x0b\x0c\r"
 _PART = re.compile(f"[{_ASCII_SPACE}]*[^{_ASCII_SPACE}]+|[{_ASCII_SPACE}]+")
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 
+#: Signs that end a word and are ids of their own: no letter, digit, apostrophe or white space.
+_SIGNS = ".,;:!?$%&*#@^~|/+=_-()[]{}\"`"
+
 #: Parts kept per worker before the table starts anew.
-KEEP = 400_000
+KEEP = 800_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -51,60 +54,103 @@ class Encoder:
         self.mark[marks] = True
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.stops = {c: self._encode(c) for c in ".,"}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, part: str) -> str:
-        """The letters of a part of the form letters, or white space and letters; empty for others."""
-        if self.drops_space:
-            word = part.lstrip(_ASCII_SPACE)
-            word = word.lower() if word.isascii() else word
-            return word if word.isalpha() else ""
-        return part if part[:1] == " " and part[1:].isalpha() else ""
+    def _split(self, part: str) -> tuple[str, str, str]:
+        """(front, word, signs) of a part made of white space, one run of letters and signs; the word is empty for other parts.
 
-    def _learn_words(self, words: list[str]) -> None:
+        Word tokenizers drop the front.  For byte-level ones a word takes one
+        space in front of it along; a line end in front is an id of its own.
+        """
+        core = part.rstrip(_SIGNS)
+        signs = part[len(core):]
+        if self.drops_space:
+            word = core.lower() if core.isascii() else core
+            return "", word if word.isalpha() else "", signs
+        if core[:1] == " " and core[1:].isalpha():
+            return "", core, signs
+        if core[:1] == "\n" and core[1:].isalpha():
+            return "\n", core[1:], signs
+        return "", core if core.isalpha() else "", signs
+
+    def _learn_words(self, words: list[str], between: str) -> None:
+        """Encode words together; the ids of each end at a mark or at the id between them."""
+        own = np.frombuffer(self._encode(between), "<u4") if between.strip(" ") else None
         for i in range(0, len(words), 500):
             some = words[i:i + 500]
-            text = (" " if self.drops_space else "").join(some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.mark[ids])
-            if len(at) != len(some):
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            if own is not None:
+                at = np.flatnonzero(ids == own[0])
+                first, last, n = [0, *((at + 1) * 4).tolist()], [*(at * 4).tolist(), 4 * len(ids)], len(at) + 1
+            else:
+                at = np.flatnonzero(self.mark[ids])
+                edges = [0, *((at + 1) * 4).tolist()] if self.drops_space else [*(at * 4).tolist(), 4 * len(ids)]
+                first, last, n = edges[:-1], edges[1:], len(at)
+            if n != len(some):
                 self.words.update((w, self._encode(w)) for w in some)
                 continue
-            edges = [0, *((at + 1) * 4).tolist()] if self.drops_space else [*(at * 4).tolist(), 4 * len(ids)]
             raw = ids.tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(some, edges[:-1], edges[1:], strict=True))
+            self.words.update(zip(some, [raw[a:b] for a, b in zip(first, last, strict=True)], strict=True))
+
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            self.tails[signs] = self._encode(signs)
+        return self.tails[signs]
 
     def _learn(self, parts: set[str]) -> None:
+        plan, new = [], set()
+        for part in parts:
+            front, word, signs = self._split(part)
+            if word:
+                plan.append((part, front, word, signs))
+                if word not in self.words:
+                    new.add(word)
+            else:
+                self.parts[part] = self._encode(part)
+        if self.drops_space:
+            self._learn_words(list(new), " ")
+        else:
+            self._learn_words([w for w in new if w[0] == " "], "")
+            self._learn_words([w for w in new if w[0] != " "], "\n")
+        for part, front, word, signs in plan:
+            ids = self.words[word]
+            if front:
+                ids = self._tail(front) + ids
+            self.parts[part] = ids + self._tail(signs) if signs else ids
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; texts are taken together in runs of about a million characters."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > 1_000_000:
+                out += self._run(held)
+                held, size = [], 0
+        return out + self._run(held)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        cut = str.split if self.drops_space else _PART.findall
+        rows = [None if _ODD_SPACE.search(t) else cut(t) for t in texts]
         if len(self.parts) > KEEP:
             self.parts = {}
         if len(self.words) > KEEP:
             self.words = {}
-        plan = []
-        for part in parts:
-            stop = part[-1] if part[-1] in self.stops and part[-2:-1].isalpha() else ""
-            plan.append((part, self._word(part[:-1] if stop else part), stop))
-        self._learn_words(list({w for _, w, _ in plan if w and w not in self.words}))
-        for part, word, stop in plan:
-            if not word:
-                self.parts[part] = self._encode(part)
-            else:
-                self.parts[part] = self.words[word] + self.stops[stop] if stop else self.words[word]
+        found = [[] if r is None else list(map(self.parts.get, r)) for r in rows]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        self._learn({r[i] for r, g in zip(rows, gaps, strict=True) for i in g})
+        out = []
+        for text, row, have, gap in zip(texts, rows, found, gaps, strict=True):
+            for i in gap:
+                have[i] = self.parts[row[i]]
+            out.append(self._encode(text) if row is None else b"".join(have))
+        return out
 
     def ids(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._encode(text)
-        parts = text.split() if self.drops_space else _PART.findall(text)
-        try:
-            return b"".join(map(self.parts.__getitem__, parts))
-        except KeyError:
-            self._learn({p for p in set(parts) if p not in self.parts})
-            new = {p for p in set(parts) if p not in self.parts}
-            if new:  # the table was started anew
-                self._learn(new)
-            return b"".join(map(self.parts.__getitem__, parts))
+        return self.ids_of([text])[0]
 
 
 def encoder(name: str) -> Encoder:

@@ -143,8 +143,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int =
         schema = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int64())])
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = code.ids(t.as_py()) + end
+            for k, ids in zip(batch.column(0).to_pylist(), code.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n, at, number = len(ids) // 4, 0, 0
                 while at < n:
                     length = (n % capacity or capacity) if at == 0 else capacity

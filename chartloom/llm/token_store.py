@@ -140,8 +140,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
         records: list = []
         held = 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = code.ids(t.as_py()) + end
+            for k, ids in zip(batch.column(0).to_pylist(), code.ids_of(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 records.append((k, ids))
                 held += len(ids)
                 if held >= shard_bytes * (1 if wide else 2):
