@@ -80,25 +80,54 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+#: Elements folded at a time: growing an array costs this many copies per element, whatever its length.
+BLOCK = 64
+
+
+def running_sums(numbers: str) -> str:
+    """Sums of the numbers before each element of a non-empty integer array, in linear time.
+
+    Blocks are summed on their own and shifted by the sums of the blocks before.
+    """
+    grow = "named_struct('at', acc.at + {0}, 'out', concat(acc.out, array(acc.at)))"
+    zero = "named_struct('at', 0, 'out', CAST(array() AS array<int>))"
+    blocks = f"transform(sequence(1, size(ns), {BLOCK}), k -> aggregate(slice(ns, k, {BLOCK}), {zero}, (acc, n) -> {grow.format('n')}))"
+    bases = f"aggregate(blocks, {zero}, (acc, b) -> {grow.format('b.at')}, acc -> acc.out)"
+    return let(numbers, "ns", let(blocks, "blocks", f"flatten(zip_with(blocks, {bases}, (b, base) -> transform(b.out, x -> x + base)))"))
+
+
+def fold_blocks(array: str, start: str, step: str, item_type: str, finish: str) -> str:
+    """A fold that emits items, in linear time.
+
+    ``step`` is over ``state`` and ``x`` and gives ``named_struct('state', ...,
+    'items', array)``; ``finish`` is over ``state`` and ``items``.  Items of one
+    block grow their own small array.
+    """
+    inner = (f"aggregate(block, named_struct('state', acc.state, 'items', CAST(array() AS array<{item_type}>)), "
+             f"(a, x) -> {let(let('a.state', 'state', step), 'r', "named_struct('state', r.state, 'items', concat(a.items, r.items))")})")
+    outer = let(inner, "done", "named_struct('state', done.state, 'items', concat(acc.items, array(done.items)))")
+    blocks = f"transform(sequence(1, greatest(size(xs), 1), {BLOCK}), k -> slice(xs, k, {BLOCK}))"
+    fold = (f"aggregate({blocks}, named_struct('state', {start}, 'items', CAST(array() AS array<array<{item_type}>>)), "
+            f"(acc, block) -> {outer}, acc -> {let('acc.state', 'state', let('flatten(acc.items)', 'items', finish))})")
+    return let(array, "xs", fold)
+
+
 def fold_matches(text: str, pattern: str, element: str, element_type: str) -> str:
     """Array of ``element`` for every match, in order.
 
     One regex pass puts a mark on both sides of every match.  Splitting on the
     opening mark leaves pieces "match, closing mark, rest"; the start of a
     match is the sum of the lengths before it, less one closing mark per
-    earlier match.  ``element`` may use ``acc.at`` (the start) and ``hit``.
+    earlier match.  ``element`` may use ``at`` (the start) and ``hit``.
     """
     pieces = f"split(regexp_replace({text}, {literal(pattern)}, '\\u0001$0\\u0002'), '\\u0001')"
-    built = let("substring_index(piece, '\\u0002', 1)", "hit", element)
-    fold = (f"aggregate(slice(pieces, 2, size(pieces)), "
-            f"named_struct('found', CAST(array() AS array<{element_type}>), 'at', length(pieces[0])), "
-            f"(acc, piece) -> named_struct('found', concat(acc.found, array({built})), "
-            f"'at', acc.at + length(piece) - 1), acc -> acc.found)")
-    return let(pieces, "pieces", fold)
+    built = let("sums[i + 1] - i", "at", let("substring_index(piece, '\\u0002', 1)", "hit", element))
+    found = let(running_sums("transform(pieces, p -> length(p))"), "sums", f"transform(slice(pieces, 2, size(pieces)), (piece, i) -> {built})")
+    return let(pieces, "pieces", f"CASE WHEN size(pieces) = 1 THEN CAST(array() AS array<{element_type}>) ELSE {found} END")
 
 
 def match_starts(text: str, pattern: str) -> str:
-    return fold_matches(text, java_pattern(pattern), "acc.at", "int")
+    return fold_matches(text, java_pattern(pattern), "at", "int")
 
 
 def find_spans(text: str, rules: list[Rule], score=None, first_ord: int = 0, low: str | None = None) -> str:
@@ -120,7 +149,7 @@ def find_spans(text: str, rules: list[Rule], score=None, first_ord: int = 0, low
             group = [f"regexp_extract(hit, {literal(pattern)}, {g})" for g in (1, 2, 3)]
             value = f"nullif({group[0]}, '')"
             bounds = f"CASE WHEN {group[1]} <> '' AND {group[2]} <> '' THEN concat({group[1]}, '-', {group[2]}) END"
-        element = (f"CAST(struct(acc.at, {first_ord + i}, acc.at + length(hit), {literal(rule.label)}, hit, "
+        element = (f"CAST(struct(at, {first_ord + i}, at + length(hit), {literal(rule.label)}, hit, "
                    f"{confidence}, {literal(rule.semantic_type)}, {value}, {bounds}) AS {SPAN_TYPE})")
         found = fold_matches(text, pattern, element, SPAN_TYPE)
         words = required_words(rule.pattern) if low else None
@@ -139,15 +168,10 @@ def resolve_overlaps(spans: str, element_type: str = SPAN_TYPE) -> str:
     overlap, so looking at the last one is the same as looking at all of them.
     Elements must begin with the fields start, ord.
     """
-    fold = (f"CASE WHEN size(ordered) = 0 THEN CAST(array() AS array<{element_type}>) ELSE "
-            f"aggregate(slice(ordered, 2, size(ordered)), "
-            f"named_struct('kept', CAST(array() AS array<{element_type}>), 'last', ordered[0]), "
-            f"(acc, s) -> CASE WHEN s.start < acc.last.end "
-            f"THEN named_struct('kept', acc.kept, 'last', "
-            f"CASE WHEN s.confidence > acc.last.confidence THEN s ELSE acc.last END) "
-            f"ELSE named_struct('kept', concat(acc.kept, array(acc.last)), 'last', s) END, "
-            f"acc -> concat(acc.kept, array(acc.last))) END")
-    return let(f"array_sort({spans})", "ordered", fold)
+    step = (f"CASE WHEN x.start < state.end THEN named_struct('state', CASE WHEN x.confidence > state.confidence THEN x ELSE state END, "
+            f"'items', CAST(array() AS array<{element_type}>)) ELSE named_struct('state', x, 'items', array(state)) END")
+    fold = fold_blocks("slice(ordered, 2, size(ordered))", "ordered[0]", step, element_type, "concat(items, array(state))")
+    return let(f"array_sort({spans})", "ordered", f"CASE WHEN size(ordered) < 2 THEN ordered ELSE {fold} END")
 
 
 def context(text: str, start: str, end: str, width: int = 50) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chartloom import lexicons as L
 from chartloom.functions import spans as S
 from chartloom.functions.columns import parse_date
-from chartloom.functions.spans import let, literal
+from chartloom.functions.spans import fold_blocks, let, literal, running_sums
 from chartloom.operators import spans as E
 
 CHUNK_TYPE = "struct<number:int,text:string,start_index:int,end_index:int,key:string>"
@@ -68,12 +68,10 @@ def temporal_chunks_sql(text: str, spans: str, cfg: ChunkConfig) -> str:
 def paragraph_chunks_sql(text: str, cfg: ChunkConfig) -> str:
     """Paragraphs of at least the minimum size; offsets count stripped lengths plus two."""
     mark = literal("\\Q" + cfg.paragraph_mark + "\\E")
-    step = (f"named_struct('n', acc.n + 1, 'at', acc.at + length(p) + 2, 'out', CASE WHEN length(p) < {cfg.min_chunk_size} "
-            f"THEN acc.out ELSE concat(acc.out, array(CAST(struct(acc.n + 1, p, acc.at, acc.at + length(p), "
-            f"CAST(NULL AS STRING)) AS {CHUNK_TYPE}))) END)")
-    return (f"aggregate(transform(split({text}, {mark}), p -> {strip_sql('p')}), "
-            f"named_struct('n', 0, 'at', 0, 'out', CAST(array() AS array<{CHUNK_TYPE}>)), "
-            f"(acc, p) -> {step}, acc -> acc.out)")
+    chunk = f"CAST(struct(i + 1, p, sums[i], sums[i] + length(p), CAST(NULL AS STRING)) AS {CHUNK_TYPE})"
+    kept = f"filter(transform(ps, (p, i) -> {chunk}), c -> length(c.text) >= {cfg.min_chunk_size})"
+    return let(f"transform(split({text}, {mark}), p -> {strip_sql('p')})", "ps",
+               let(running_sums("transform(ps, p -> length(p) + 2)"), "sums", kept))
 
 
 def fixed_chunks_sql(text: str, cfg: ChunkConfig) -> str:
@@ -91,16 +89,16 @@ def fixed_chunks_sql(text: str, cfg: ChunkConfig) -> str:
 
 def sentence_chunks_sql(text: str, cfg: ChunkConfig) -> str:
     """Sentences packed while their summed length fits; offsets are running sums of chunk lengths."""
-    joined = "array_join(acc.cur, '. ')"
-    close = (f"concat(acc.out, array(CAST(struct(size(acc.out) + 1, {joined}, acc.at, acc.at + length({joined}), "
-             f"CAST(size(acc.cur) AS STRING)) AS {CHUNK_TYPE})))")
-    full = f"acc.n + length(p) > {cfg.chunk_size} AND size(acc.cur) > 0"
-    step = (f"CASE WHEN {full} THEN named_struct('out', {close}, 'cur', array(p), 'n', length(p), 'at', acc.at + length({joined})) "
-            f"ELSE named_struct('out', acc.out, 'cur', concat(acc.cur, array(p)), 'n', acc.n + length(p), 'at', acc.at) END")
+    joined = "array_join(state.cur, '. ')"
+    close = (f"array(CAST(struct(state.k + 1, {joined}, state.at, state.at + length({joined}), "
+             f"CAST(size(state.cur) AS STRING)) AS {CHUNK_TYPE}))")
+    full = f"state.n + length(x) > {cfg.chunk_size} AND size(state.cur) > 0"
+    step = (f"CASE WHEN {full} THEN named_struct('state', named_struct('k', state.k + 1, 'cur', array(x), 'n', length(x), 'at', state.at + length({joined})), "
+            f"'items', {close}) ELSE named_struct('state', named_struct('k', state.k, 'cur', concat(state.cur, array(x)), 'n', state.n + length(x), 'at', state.at), "
+            f"'items', CAST(array() AS array<{CHUNK_TYPE}>)) END")
     sentences = f"filter(transform(split({text}, '[.!?]+'), p -> {strip_sql('p')}), p -> p <> '')"
-    return (f"aggregate({sentences}, named_struct('out', CAST(array() AS array<{CHUNK_TYPE}>), "
-            f"'cur', CAST(array() AS array<string>), 'n', 0, 'at', 0), (acc, p) -> {step}, "
-            f"acc -> CASE WHEN size(acc.cur) > 0 THEN {close} ELSE acc.out END)")
+    start = "named_struct('k', 0, 'cur', CAST(array() AS array<string>), 'n', 0, 'at', 0)"
+    return fold_blocks(sentences, start, step, CHUNK_TYPE, f"CASE WHEN size(state.cur) > 0 THEN concat(items, {close}) ELSE items END")
 
 
 def topic_chunks_sql(text: str, cfg: ChunkConfig) -> str:

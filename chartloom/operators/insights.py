@@ -287,7 +287,7 @@ def assemble_recommendations(parts: dict[str, DataFrame], focus: list[str] | Non
 
 
 def capitalized(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
 def starts_upper(text: Column) -> Column:

@@ -317,9 +317,11 @@ def j04(spark, sf):
 
 @query("j05_stream_fold", _SQL_JOB_VIEW)
 def j05(spark, sf):
-    """The event log read as a stream; the final state version equals the batch view."""
-    schema = table(spark, sf, "events").schema
-    events = job_events(JS.read_events(spark, sf, schema, "events.parquet"))
+    """The event log in several files out of time order, one file a batch; the final state equals the batch view."""
+    log = table(spark, sf, "events")
+    source = _scratch(spark, "job-log")
+    log.repartition(5, F.xxhash64("event_id")).write.parquet(source)
+    events = job_events(JS.read_events(spark, source, log.schema, files_per_batch=1))
     state = _scratch(spark, "job-state")
     JS.fold_stream(events, state, _scratch(spark, "job-fold")).awaitTermination()
     return _view(J.job_view(JS.latest_state(spark, state), NOW))

@@ -136,7 +136,7 @@ _MODEL_SELECT = (f"doc_id, {_cases('doc_id', _MODEL_SOURCES)} AS source, {_cases
 
 def _model_spans(spark, sf):
     """Predictions per labelled document: the label row decides source, label and score."""
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return table(spark, sf, "labels").selectExpr(*_split_select(_MODEL_SELECT)).join(docs, "doc_id")
 
 
@@ -166,7 +166,7 @@ def _sql_unknown(text, label):
             f"WHEN {X.contains_any(low, ['patient', 'hospital', 'clinic', 'lab'])} THEN 'ORGANIZATION' ELSE 'CONDITION' END")
 
 
-_SQL_MODEL = f"""model AS (SELECT {_MODEL_SELECT}, substr(text, 1, 40) AS text FROM labels JOIN documents USING (doc_id)),
+_SQL_MODEL = f"""model AS (SELECT {_MODEL_SELECT}, text FROM labels JOIN documents USING (doc_id)),
 mapped AS (SELECT doc_id, source, label AS semantic_type,
   coalesce({X.lookup("source || '|' || label", {f'{s}|{k}': v for s, (_, _, t) in L.MODEL_LABELS.items() for k, v in t.items()})},
            {X.lookup('source', {s: d for s, (d, _, _) in L.MODEL_LABELS.items() if d})}, {_sql_unknown('text', 'label')}) AS label,

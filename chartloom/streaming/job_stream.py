@@ -3,10 +3,12 @@
 ``fold_stream`` keeps job states as partial folds: every micro-batch is folded
 on its own and written as one delta, so a batch costs what its events cost and
 not what the whole state costs; now and then the deltas are merged into a full
-version.  The merge takes maxima by (time, event id), so late and out of order
-events end in the same state as a batch fold.  A delta is named by its batch
-id: a batch that runs again after a failure rewrites its own folder and nothing
-else.
+version.  Every part of a state may be merged again and again without a change:
+newest values are maxima by (time, event id), and errors are kept as rows of
+(job, time, event id) and counted as distinct rows when the state is read.  So
+no event is dropped for being late, and one that repeats in a later batch counts
+once.  A delta is named by its batch id: a batch that runs again after a failure
+rewrites its own folder and nothing else.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ def read_events(spark: SparkSession, path: str, schema, pattern: str | None = No
     return reader.parquet(path)
 
 
-def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two partial states of the same jobs as one."""
+def merge_states(parts: DataFrame) -> DataFrame:
+    """Partial states of jobs as one row per job, without the error count."""
     newest = ["status_at", "started_at", "completed_at", "progress_at", "error_at"]
-    return old.unionByName(new).groupBy("job_id").agg(
-        *[F.max(c).alias(c) for c in newest], F.min("created_at").alias("created_at"),
-        F.sum("n_errors").alias("n_errors")).select(*old.columns)
+    return parts.groupBy("job_id").agg(*[F.max(c).alias(c) for c in newest], F.min("created_at").alias("created_at"))
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -44,18 +44,33 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
                   and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
 
 
-def latest_state(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
-    """The newest full version merged with the deltas after it."""
+def _folders(spark: SparkSession, path: str, up_to: int | None) -> list[str]:
+    """The newest full version and the deltas after it."""
     def known(kind: str) -> list[int]:
-        return [v for v in _versions(spark, f"{path}/{kind}") if up_to is None or v <= up_to]
+        return [v for v in _versions(spark, f"{path}/{kind}/jobs") if up_to is None or v <= up_to]
 
     full = known("full")[-1:]
     deltas = [v for v in known("delta") if not full or v > full[-1]]
-    folders = [f"{path}/full/v={v}" for v in full] + [f"{path}/delta/v={v}" for v in deltas]
+    return [f"{path}/full/{{}}/v={v}" for v in full] + [f"{path}/delta/{{}}/v={v}" for v in deltas]
+
+
+def _parts(spark: SparkSession, path: str, up_to: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """(merged states, distinct errors) of all versions."""
+    folders = _folders(spark, path, up_to)
     if not folders:
         return None
-    parts = spark.read.parquet(*folders)
-    return merge_states(parts.limit(0), parts)
+    jobs, errors = (spark.read.parquet(*[f.format(kind) for f in folders]) for kind in ("jobs", "errors"))
+    return merge_states(jobs), errors.distinct()
+
+
+def latest_state(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame | None:
+    """The state of all jobs, as ``job_state`` gives it for the same events."""
+    parts = _parts(spark, path, up_to)
+    if parts is None:
+        return None
+    jobs, errors = parts
+    counts = errors.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    return jobs.join(counts, "job_id", "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
 
 
 def _with_event_time(events: DataFrame) -> DataFrame:
@@ -63,36 +78,31 @@ def _with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def fold_stream(events: DataFrame, state_path: str, checkpoint: str, watermark: str = "1 hour",
-                compact_every: int = 20):
+def fold_stream(events: DataFrame, state_path: str, checkpoint: str, compact_every: int = 20):
     """Start the fold; returns the streaming query.
 
-    Events repeated within the watermark are dropped by their id first.
+    Events may come late, out of order and repeatedly, in any split into batches.
     """
-    unique = _with_event_time(events).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
-
-    stored = events.schema["ts"].dataType
-
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        job_state(batch.withColumn("ts", F.col("ts").cast(stored))).write.mode("overwrite").parquet(
-            f"{state_path}/delta/v={batch_id}")
+        folder = f"{state_path}/delta/{{}}/v={batch_id}"
+        # the errors first: a version counts once its jobs are there
+        batch.filter("event = 'fail'").select("job_id", "ts", "event_id").distinct().write.mode("overwrite").parquet(folder.format("errors"))
+        job_state(batch).drop("n_errors").write.mode("overwrite").parquet(folder.format("jobs"))
         if (batch_id + 1) % compact_every == 0:
-            latest_state(batch.sparkSession, state_path, batch_id).write.mode("overwrite").parquet(
-                f"{state_path}/full/v={batch_id}")
+            jobs, errors = _parts(batch.sparkSession, state_path, batch_id)
+            errors.write.mode("overwrite").parquet(f"{state_path}/full/errors/v={batch_id}")
+            jobs.write.mode("overwrite").parquet(f"{state_path}/full/jobs/v={batch_id}")
 
-    return (unique.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def count_windows(events: DataFrame, out_path: str, checkpoint: str, width: str = "5 minutes", watermark: str = "1 hour"):
-    """Finished windows appended to a table."""
+    """Finished windows appended to a table.
+
+    A window is appended once and only after the watermark passed it, so an event
+    that comes later than that is not in its count.  ``job_stream`` users who need
+    complete counts use ``window_counts`` over the stored events.
+    """
     counts = window_counts(_with_event_time(events).withWatermark("ts", watermark), width)
     return (counts.writeStream.outputMode("append").format("parquet").option("path", out_path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-
-
-def split_late(events: DataFrame, seen_until: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """(on time, late) of a batch, by the newest event time already seen per job (job_id, seen)."""
-    joined = events.join(seen_until, "job_id", "left")
-    late = F.coalesce(F.col("ts") < F.col("seen") - F.expr(f"INTERVAL {watermark}"), F.lit(False))
-    return joined.filter(~late).drop("seen"), joined.filter(late).drop("seen")

@@ -21,14 +21,14 @@ def test_stream_equals_batch_with_disorder_and_repeats(spark, tmp_path):
     for part in (rows[100:200], rows[:100] + rows[150:160], rows[200:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
     events = JS.read_events(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
-    JS.fold_stream(events, str(tmp_path / "state"), str(tmp_path / "ckpt"), "1 day", compact_every=2).awaitTermination()
+    JS.fold_stream(events, str(tmp_path / "state"), str(tmp_path / "ckpt"), compact_every=2).awaitTermination()
     got = J.job_view(JS.latest_state(spark, str(tmp_path / "state")), "2024-01-02")
     want = J.job_view(J.job_state(spark.createDataFrame(rows, SCHEMA)), "2024-01-02")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert len(JS._versions(spark, str(tmp_path / "state" / "delta"))) >= 3 and JS._versions(spark, str(tmp_path / "state" / "full"))
+    assert len(JS._versions(spark, str(tmp_path / "state" / "delta" / "jobs"))) >= 3 and JS._versions(spark, str(tmp_path / "state" / "full" / "jobs"))
     # a later run adds to the stored state
     spark.createDataFrame([(999, 0, T0 + dt.timedelta(days=1), "cancel", 0.0, "")], SCHEMA).coalesce(1).write.mode("append").parquet(src)
-    JS.fold_stream(events, str(tmp_path / "state"), str(tmp_path / "ckpt"), "1 day").awaitTermination()
+    JS.fold_stream(events, str(tmp_path / "state"), str(tmp_path / "ckpt")).awaitTermination()
     last = {r.job_id: r.status for r in J.job_view(JS.latest_state(spark, str(tmp_path / "state")), "2024-01-02").collect()}
     assert last[0] == "cancelled"
 
@@ -44,11 +44,16 @@ def test_window_counts_stream(spark, tmp_path):
     assert got == want
 
 
-def test_late_split(spark):
-    ev = spark.createDataFrame(log(20), SCHEMA)
-    seen = spark.createDataFrame([(0, T0 + dt.timedelta(hours=3))], "job_id long, seen timestamp_ntz")
-    on_time, late = JS.split_late(ev, seen, "1 hour")
-    assert late.count() == ev.filter("job_id = 0").count() and on_time.count() + late.count() == 20
+def test_events_days_late_and_repeated_later_count_once(spark, tmp_path):
+    rows = [(i, i % 3, T0 + dt.timedelta(hours=7 * ((i * 13) % 40)), ["fail", "start", "progress"][i % 3 if i % 2 else 0], 1.0, f"e{i}") for i in range(40)]
+    src = str(tmp_path / "in")
+    for part in (rows[30:], rows[:20], rows[25:35] + rows[20:30], rows[5:8]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    events = JS.read_events(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
+    JS.fold_stream(events, str(tmp_path / "state"), str(tmp_path / "ckpt"), compact_every=3).awaitTermination()
+    got = J.job_view(JS.latest_state(spark, str(tmp_path / "state")), "2024-02-02")
+    want = J.job_view(J.job_state(spark.createDataFrame(rows, SCHEMA)), "2024-02-02")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_health_and_retry(spark):
