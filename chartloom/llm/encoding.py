@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -55,10 +57,18 @@ class Encoder:
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.plain_ascii = array("I").itemsize == 4 and sys.byteorder == "little" and self._agrees()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _agrees(self) -> bool:
+        """Whether the model alone gives the tokenizer's ids of some words."""
+        some = ["the", "zq", "internationalization", "a"] if self.drops_space else ["The", " zq", " Internationalization", " a"]
+        self._learn_ascii(some)
+        return all(self.words.pop(w) == self._encode(w) for w in some)
+
     def _split(self, part: str) -> tuple[str, str, str]:
         """(front, word, signs) of a part made of white space, one run of letters and signs; the word is empty for other parts.
 
@@ -76,8 +86,17 @@ class Encoder:
             return "\n", core[1:], signs
         return "", core if core.isalpha() else "", signs
 
+    def _learn_ascii(self, words: list[str]) -> None:
+        """Words of ASCII letters are what the model works on, but for the sign of the space before them."""
+        split = self.model.tokenize
+        for word in words:
+            self.words[word] = array("I", [t.id for t in split("Ġ" + word[1:] if word[0] == " " else word)]).tobytes()
+
     def _learn_words(self, words: list[str], between: str) -> None:
         """Encode words together; the ids of each end at a mark or at the id between them."""
+        if self.plain_ascii:
+            self._learn_ascii([w for w in words if w.isascii()])
+            words = [w for w in words if not w.isascii()]
         own = np.frombuffer(self._encode(between), "<u4") if between.strip(" ") else None
         for i in range(0, len(words), 500):
             some = words[i:i + 500]
@@ -93,7 +112,7 @@ class Encoder:
                 self.words.update((w, self._encode(w)) for w in some)
                 continue
             raw = ids.tobytes()
-            self.words.update(zip(some, [raw[a:b] for a, b in zip(first, last, strict=True)], strict=True))
+            self.words.update(zip(some, map(raw.__getitem__, map(slice, first, last)), strict=True))
 
     def _tail(self, signs: str) -> bytes:
         if signs not in self.tails:
@@ -101,25 +120,30 @@ class Encoder:
         return self.tails[signs]
 
     def _learn(self, parts: set[str]) -> None:
-        plan, new = [], set()
-        for part in parts:
+        # most parts are one word and nothing else
+        if self.drops_space:
+            plain = [p for p in parts if p.isalpha()]
+            words = [p.lower() if p.isascii() else p for p in plain]
+        else:
+            words = plain = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        plan, new = [], set(words)
+        for part in parts.difference(plain):
             front, word, signs = self._split(part)
             if word:
                 plan.append((part, front, word, signs))
-                if word not in self.words:
-                    new.add(word)
+                new.add(word)
             else:
                 self.parts[part] = self._encode(part)
+        new.difference_update(self.words)
         if self.drops_space:
             self._learn_words(list(new), " ")
         else:
             self._learn_words([w for w in new if w[0] == " "], "")
             self._learn_words([w for w in new if w[0] != " "], "\n")
+        self.parts.update(zip(plain, map(self.words.__getitem__, words), strict=True))
         for part, front, word, signs in plan:
-            ids = self.words[word]
-            if front:
-                ids = self._tail(front) + ids
-            self.parts[part] = ids + self._tail(signs) if signs else ids
+            ids = self.words[word] + self._tail(signs) if signs else self.words[word]
+            self.parts[part] = self._tail(front) + ids if front else ids
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; texts are taken together in runs of about a million characters."""

@@ -23,7 +23,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -325,9 +325,15 @@ def link_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
 
 
 def kept_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of smallest key of each component, with all their columns; rows that repeat such a key and text stay once."""
-    result = link_documents(docs, percent, key, text).filter("NOT kept").select(F.col("key").alias("__gone")).distinct()
-    rows = docs.join(result, docs[key].cast("bigint") == F.col("__gone"), "left_anti")
-    return rows
-
+    """The document of smallest key of each component, with all its columns.
 
+    Documents without words and rows with a null key stay.  Rows that repeat a
+    key (or a null key) and a text stay once.
+    """
+    gone = link_documents(docs, percent, key, text).filter("NOT kept").select(F.col("key").alias("__gone")).distinct()
+    plain = F.xxhash64(whole_text(text))
+    # null keys are spread by their text; they meet no key that goes
+    rows = docs.withColumn("__text_hash", plain).withColumn("__place", F.coalesce(F.col(key).cast("bigint"), F.col("__text_hash")))
+    rows = rows.join(gone, (F.col("__place") == F.col("__gone")) & F.col(key).isNotNull(), "left_anti")
+    same = Window.partitionBy("__place", "__text_hash").orderBy(F.col(key))
+    return rows.withColumn("__turn", F.row_number().over(same)).filter("__turn = 1").select(*docs.columns)

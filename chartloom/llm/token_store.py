@@ -152,7 +152,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), whole_text(text).alias("t"))
     (rows.repartitionByRange(n, "k").sortWithinPartitions("k", "t").mapInArrow(pack, STORE_SCHEMA)
-     .write.option("compression", "zstd").parquet(path))
+     .write.option("compression", "lz4_raw").parquet(path))
 
 
 # ---------------------------------------------------------------- reading
