@@ -24,7 +24,7 @@ _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2
 _SIGNS = ".,;:!?$%&*#@^~|/+=_-()[]{}\"`"
 
 #: Parts kept per worker before the table starts anew.
-KEEP = 800_000
+KEEP = 1_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -55,6 +55,7 @@ class Encoder:
         self.mark = np.zeros(self.size, bool)
         self.mark[marks] = True
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.model = self.tokenizer.model
@@ -159,13 +160,16 @@ class Encoder:
     def _run(self, texts: list[str]) -> list[bytes]:
         cut = str.split if self.drops_space else _PART.findall
         rows = [None if _ODD_SPACE.search(t) else cut(t) for t in texts]
-        if len(self.parts) > KEEP:
-            self.parts = {}
+        if len(self.parts) > KEEP // 2:  # what recurs comes back from the older half
+            self.older, self.parts = self.parts, {}
         if len(self.words) > KEEP:
             self.words = {}
         found = [[] if r is None else list(map(self.parts.get, r)) for r in rows]
         gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
-        self._learn({r[i] for r, g in zip(rows, gaps, strict=True) for i in g})
+        missing = {r[i] for r, g in zip(rows, gaps, strict=True) for i in g}
+        known = [p for p in missing if p in self.older]
+        self.parts.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self._learn(missing.difference(known))
         out = []
         for text, row, have, gap in zip(texts, rows, found, gaps, strict=True):
             for i in gap:
