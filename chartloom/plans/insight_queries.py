@@ -60,13 +60,10 @@ def i01(spark, sf):
 @query("i02_condition_progression", f"""WITH {_SQL_CLINICAL}
 SELECT patient_id, name AS condition, min(visit_date)::VARCHAR AS start_date, CASE WHEN count(*) > 1 THEN max(visit_date)::VARCHAR END AS end_date, count(*) AS visits,
   CASE WHEN count(*) > 1 THEN (max(visit_date) - min(visit_date))::INT END AS time_to_response, 'Patient diagnosed with ' || name AS summary
-FROM ce JOIN visits USING (visit_id) WHERE type = 'DIAGNOSED_WITH' AND patient_id NOT IN (SELECT patient_id FROM pm_old) GROUP BY patient_id, name""".replace(
-    "SELECT patient_id FROM pm_old", "SELECT patient_id FROM visits JOIN ce USING (visit_id) WHERE type = 'PRESCRIBED' AND visit_date < DATE '1998-01-01'"))
+FROM ce JOIN visits USING (visit_id) WHERE type = 'DIAGNOSED_WITH' AND patient_id NOT IN (SELECT patient_id FROM visits JOIN ce USING (visit_id) WHERE type = 'PRESCRIBED') GROUP BY patient_id, name""")
 def i02(spark, sf):
-    """Patients count as treated by prescriptions before 1998, so that some are not."""
     _, v, e = _clinical(spark, sf)
-    early = e.filter("type = 'PRESCRIBED'").join(v.filter("visit_date < DATE '1998-01-01'").select("visit_id"), "visit_id", "left_semi")
-    out = I.condition_progression(v, e.filter("type <> 'PRESCRIBED'").unionByName(early))
+    out = I.condition_progression(v, e)
     return _days(out, "start_date", "end_date").select("patient_id", "condition", "start_date", "end_date", "visits", "time_to_response", "summary")
 
 
@@ -278,16 +275,22 @@ def i19(spark, sf):
 
 
 @query("i20_assembled_recommendations", f"""WITH {_SQL_CLINICAL}, {_SQL_MON}, {_SQL_LIFE},
-u AS (SELECT patient_id, 'MON_' || patient_id || '_' || condition || '_' || (i + 1) AS id, 1 AS source, 2 AS priority_rank FROM mon UNION ALL SELECT patient_id, 'LIFE_' || patient_id || '_' || (i + 1), 2, 1 FROM life)
-SELECT patient_id, id AS recommendation_id, row_number() OVER (PARTITION BY patient_id ORDER BY priority_rank DESC, source, id)::INT AS position FROM u""")
+mm AS (SELECT patient_id, string_agg(medication, '|' ORDER BY medication) AS meds FROM pm GROUP BY patient_id),
+mx AS (SELECT patient_id, condition, unnest({_sql_rules('treatment', 'condition', 3)}) AS description, unnest(range(3)) AS i FROM pc),
+u AS (SELECT patient_id, 'MED_' || patient_id || '_' || condition || '_' || (i + 1) AS id, description, 0 AS source, 2 AS priority_rank FROM mx WHERE length(description) > 10
+  UNION ALL SELECT patient_id, 'MON_' || patient_id || '_' || condition || '_' || (i + 1), description, 1, 2 FROM mon UNION ALL SELECT patient_id, 'LIFE_' || patient_id || '_' || (i + 1), description, 2, 1 FROM life)
+SELECT patient_id, id AS recommendation_id, description, row_number() OVER (PARTITION BY patient_id ORDER BY priority_rank DESC, source, id)::INT AS position FROM u""")
 def i20(spark, sf):
     from pyspark.sql import Window
     primary = _primary(spark, sf).withColumn("condition", F.coalesce("condition", F.lit("General Health Monitoring")))
-    parts = {"monitoring": I.monitoring_recommendations(primary, I.rule_texts("monitoring", F.col("condition"))),
+    _, v, e = _clinical(spark, sf)
+    meds = G.patient_entities(v, e.filter("type = 'PRESCRIBED'")).select("patient_id", F.col("name").alias("medication"))
+    parts = {"medication_management": I.medication_recommendations(_conditions(v, e), meds, I.rule_texts("treatment", F.col("condition"))),
+             "monitoring": I.monitoring_recommendations(primary, I.rule_texts("monitoring", F.col("condition"))),
              "lifestyle": I.lifestyle_recommendations(primary.select("patient_id"), I.rule_texts("preventive", F.lit("diabetes")))}
-    out = I.assemble_recommendations(parts, ["monitoring", "lifestyle"])
+    out = I.assemble_recommendations(parts)
     w = Window.partitionBy("patient_id").orderBy(F.desc("priority_rank"), "source", "recommendation_id")
-    return out.select("patient_id", "recommendation_id", F.row_number().over(w).alias("position"))
+    return out.select("patient_id", "recommendation_id", "description", F.row_number().over(w).alias("position"))
 
 
 _SQL_PARSE = f"""pieces AS (SELECT conv_id, turn, list_filter(list_transform(string_split(replace(replace(replace(text, chr(10), '|'), '. ', '|'), ': ', '|'), '|'), lambda p: trim(p)), lambda p: length(p) BETWEEN 15 AND 200) AS a FROM conversations),

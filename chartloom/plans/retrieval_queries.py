@@ -131,12 +131,12 @@ def h08(spark, sf):
     return H.population_rows(v, e).withColumn("common_medications", F.array_join("common_medications", ", "))
 
 
-@query("h09_named_interactions", f"""WITH {SQL_GRAPH}, {SQL_INTERACTIONS}, named AS (SELECT DISTINCT patient_id AS query_id, name FROM edges JOIN visits USING (visit_id) WHERE type = 'PRESCRIBED' AND visit_date >= DATE '2000-01-01')
+@query("h09_named_interactions", f"""WITH {SQL_GRAPH}, {SQL_INTERACTIONS}, named AS (SELECT DISTINCT patient_id AS query_id, name FROM edges JOIN visits USING (visit_id) WHERE type = 'PRESCRIBED')
 SELECT a.query_id, i.drug1, i.drug2, 'INTERACTS_WITH' AS interaction_types FROM interactions i JOIN named a ON a.name = i.drug1 JOIN named b ON b.name = i.drug2 AND b.query_id = a.query_id""")
 def h09(spark, sf):
     _, v, e = _graph(spark, sf)
-    recent = v.filter("visit_date >= DATE '2000-01-01'").select("visit_id", F.col("patient_id").alias("query_id"))
-    named = e.filter("type = 'PRESCRIBED'").join(recent, "visit_id").select("query_id", F.col("name").alias("medication")).distinct()
+    owners = v.select("visit_id", F.col("patient_id").alias("query_id"))
+    named = e.filter("type = 'PRESCRIBED'").join(owners, "visit_id").select("query_id", F.col("name").alias("medication")).distinct()
     out = H.named_interactions(star.interactions(spark, sf).withColumn("type", F.lit("INTERACTS_WITH")), named)
     return out.withColumn("interaction_types", F.array_join("interaction_types", ","))
 
@@ -147,7 +147,7 @@ def _evidence(spark, sf):
     vector = H.tag(found.withColumn("note", F.concat_ws(":", "result_type", F.lpad(F.col("position").cast("string"), 2, "0"), F.col("content").cast("string"))),
                    "vector", F.col("relevance"), ["vectors", "similar"], F.col("note"))
     _, v, e = _graph(spark, sf)
-    treated = H.current_treatments(v, e, 3)
+    treated = H.current_treatments(v, e)
     asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("patient_id")).distinct()
     graph = H.tag(treated.join(asked, "patient_id", "left_semi").select(F.col("patient_id").cast("string").alias("query_id"), F.concat_ws(
         ":", F.lpad(F.col("rank").cast("string"), 2, "0"), "medication").alias("note")), "current_treatments", F.lit(1.2), ["graph", "current_treatments"], F.col("note"))
@@ -156,7 +156,7 @@ def _evidence(spark, sf):
 
 _SQL_MERGED = f"""{SQL_GRAPH}, {_SQL_EVIDENCE},
 g3 AS (SELECT patient_id::VARCHAR AS query_id, lpad(rank::VARCHAR, 2, '0') || ':' || medication AS content FROM (SELECT patient_id, name AS medication, row_number() OVER (PARTITION BY patient_id ORDER BY visit_date DESC, visit_id, name) AS rank
-  FROM edges JOIN visits USING (visit_id) WHERE type = 'PRESCRIBED') WHERE rank <= 3 AND patient_id IN (SELECT conv_id FROM conversations)),
+  FROM edges JOIN visits USING (visit_id) WHERE type = 'PRESCRIBED') WHERE rank <= 10 AND patient_id IN (SELECT conv_id FROM conversations)),
 u AS (SELECT query_id, 'vector' AS result_type, least(greatest(relevance, 0), 1) AS relevance, kind || ':' || lpad(position::VARCHAR, 2, '0') || ':' || id AS content, 0 AS part FROM vec
   UNION ALL SELECT query_id, 'current_treatments', 1.0, content, 1 FROM g3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, part, content) AS rank FROM u)"""

@@ -9,6 +9,8 @@ from chartloom.operators import timeline as T
 from chartloom.operators import vectors as V
 from chartloom.plans.chunk_queries import (_SQL_CHUNKS, _SQL_DATED, _SQL_SUMMARY, _WORDS, _rounded_entries,
                                            _sql_date, dated_chunks)
+from chartloom import lexicons as L
+from chartloom.plans import sqltext as X
 from chartloom.plans.registry import query, table
 from chartloom.session import materialize
 
@@ -131,14 +133,14 @@ _SQL_LISTS = ", ".join(f"coalesce(string_agg(value, ', ' ORDER BY value) FILTER
 
 
 @query("v11_entry_texts", f"""WITH {_SQL_DATED},
-l AS (SELECT patient_id, visit_day, {_SQL_LISTS} FROM entry LEFT JOIN fset USING (patient_id, visit_day) GROUP BY ALL)
-SELECT patient_id, visit_day::VARCHAR AS visit_day, concat_ws(' ', 'Date: ' || visit_day, {', '.join(f"'{t}: ' || {k}" for t, k in _TITLES)}) AS text FROM l""")
+l AS (SELECT patient_id, visit_day, {_SQL_LISTS} FROM entry LEFT JOIN fset USING (patient_id, visit_day) GROUP BY ALL),
+nt AS (SELECT patient_id, visit_day, string_agg(CASE WHEN length(body) > 200 THEN substr(body, 1, 200) || '...' ELSE body END, ', ' ORDER BY doc_id, s) AS notes
+  FROM dated WHERE {X.contains_any('lower(body)', L.FACT_NOTES)} GROUP BY ALL)
+SELECT patient_id, visit_day::VARCHAR AS visit_day, concat_ws(' ', 'Date: ' || visit_day, {', '.join(f"'{t}: ' || {k}" for t, k in _TITLES)}, 'Notes: ' || coalesce(notes, '')) AS text
+FROM l LEFT JOIN nt USING (patient_id, visit_day)""")
 def v11(spark, sf):
     e = T.entries(dated_chunks(spark, sf), ["patient_id"], ["doc_id", "start_index"])
-    notes_part = F.concat(F.lit(" Notes: "), F.array_join("progress_notes", ", "))
-    text = F.expr("substring(full, 1, length(full) - length(tail))")
-    return (e.withColumn("full", T.entry_text()).withColumn("tail", notes_part)
-            .select("patient_id", F.col("visit_day").cast("string").alias("visit_day"), text.alias("text")))
+    return e.select("patient_id", F.col("visit_day").cast("string").alias("visit_day"), T.entry_text().alias("text"))
 
 
 @query("v12_group_cohesion", f"""WITH e AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
