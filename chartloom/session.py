@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,17 +27,22 @@ def get_session(cores: str | int = "*", app: str = "chartloom", partitions: int
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current or configured:
-        if not current:
-            spark.sparkContext.setCheckpointDir(configured)
-        return current or configured
-    path = tempfile.mkdtemp(prefix="chartloom-checkpoint-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+def checkpoint_dir(spark: SparkSession, path: str | None = None) -> str:
+    """The folder for intermediate tables that all executors share.
+
+    ``path``, else the one in ``spark.checkpoint.dir``.  Only a local-mode
+    session, whose executors are this process, gets a temporary folder when
+    neither is given; it goes when the process ends.  Elsewhere that is an error.
+    """
+    chosen = path or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not chosen:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a shared folder: pass a path or set spark.checkpoint.dir")
+        chosen = tempfile.mkdtemp(prefix="chartloom-checkpoint-")
+        atexit.register(shutil.rmtree, chosen, ignore_errors=True)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(chosen)
+    return chosen
 
 
 def materialize(df):
