@@ -26,7 +26,8 @@ def with_matches(df: DataFrame, text: str, name: str, pattern: str, may: Column
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     df = df.withColumn(m, found if may is None else F.when(may, found).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(p, F.when(F.size(m) > 0, F.split(text, pattern, -1)))
-    df = df.withColumn(z, F.when(F.size(m) > 0, F.transform(m, lambda x, i: F.struct(F.length(F.get(F.col(p), i)).alias("gap"), F.length(x).alias("n"), x.alias("m")))))
+    # a column that is read once would be moved into the lambda that reads it and worked out per element
+    df = df.withColumn(z, F.when(F.size(p) > 0, F.transform(m, lambda x, i: F.struct(F.length(F.get(F.col(p), i)).alias("gap"), F.length(x).alias("n"), x.alias("m")))))
 
     def fold(at):
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
@@ -34,7 +35,7 @@ def with_matches(df: DataFrame, text: str, name: str, pattern: str, may: Column
             (a["at"] + x["gap"] + x["n"]).alias("at"),
             F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("m")))).alias("out")))
 
-    df = df.withColumn(blocks, F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(1), F.size(m), F.lit(BLOCK)), fold)))
+    df = df.withColumn(blocks, F.when(F.size(z) > 0, F.transform(F.sequence(F.lit(1), F.size(z), F.lit(BLOCK)), fold)))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     df = df.withColumn(bases, F.aggregate(blocks, zero, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))))
     spans = F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda s: F.struct(

@@ -28,7 +28,7 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 IP_PARTS = "^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 
 #: Strings that may be identifiers: six signs or more with a digit or an at sign.
-CANDIDATE = "[^\\x20\\x09-\\x0D]*[0-9@][^\\x20\\x09-\\x0D]*"
+CANDIDATE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9@]*+[0-9@][^\\x20\\x09-\\x0D]*+"
 CANDIDATE_LEAST = 6
 #: Signs in front of a span in which its pattern is looked for: two words at most.
 CONTEXT = 80

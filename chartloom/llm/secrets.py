@@ -22,11 +22,11 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 LEAST_BITS = {"hex": 2.9, "mixed": 3.7}
-#: Candidates that are never secrets: words and compounds of words, numbers, dates and identifiers with a known form.
+#: Candidates that are never secrets (possessive groups, which need no stack on long candidates): words and compounds of words, numbers, dates and identifiers with a known form.
 ALLOW = (
-    "^[A-Za-z]+$",
-    "^[0-9]+([-/_=+][0-9]+)*$",
-    "^[A-Za-z]+([-/_=+]+[A-Za-z]+)*[-/_=+]*$",
+    "^[A-Za-z]++$",
+    "^[0-9]++(?:[-/_=+][0-9]++)*+$",
+    "^[A-Za-z]++(?:[-/_=+]++[A-Za-z]++)*+[-/_=+]*+$",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[-/_=+]+$",
 )
