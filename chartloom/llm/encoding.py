@@ -2,7 +2,8 @@
 
 A text is cut where a run of white space begins.  No token of these tokenizers
 crosses such a place, so the ids of the parts, joined, are the ids of the text.
-Parts recur, so their ids are kept in a bounded table per Python worker; new
+Parts recur: a batch of texts asks for its distinct parts only, and their ids
+are kept, by a 64-bit fingerprint, in a bounded table per Python worker.  New
 parts go through the tokenizers library.  Texts with white space outside ASCII
 go through the library whole.
 """
@@ -16,13 +17,24 @@ from array import array
 
 import numpy as np
 
+from chartloom.llm.shared import BASES, lower_ascii, range_hashes, word_bounds
+
 _ASCII_SPACE = " \t\n\x0b\x0c\r"
-_PART = re.compile(f"[{_ASCII_SPACE}]*[^{_ASCII_SPACE}]+|[{_ASCII_SPACE}]+")
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
 
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: First bytes of that white space in UTF-8.
+_ODD_LEAD = np.zeros(256, bool)
+_ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
 #: Signs that end a word and are ids of their own: no letter, digit, apostrophe or white space.
 _SIGNS = ".,;:!?$%&*#@^~|/+=_-()[]{}\"`"
 
+#: Bytes of texts whose parts are looked up together.
+CHUNK_BYTES = 4 << 20
+
 #: Parts kept per worker before the table starts anew.
 KEEP = 1_000_000
 
@@ -39,7 +51,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """``ids(text)`` gives little-endian unsigned 32-bit ids as bytes."""
+    """Ids are little-endian unsigned 32-bit numbers."""
 
     def __init__(self, name: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,11 +66,13 @@ class Encoder:
         marks = ends if self.drops_space else [i for t, i in vocabulary.items() if t.startswith("Ġ")]
         self.mark = np.zeros(self.size, bool)
         self.mark[marks] = True
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.parts: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.model = self.tokenizer.model
+        #: Whether capitals make no difference; then they share their parts.
+        self.folds = all(self._encode(x) == self._encode(x.lower()) for x in ("A", "Zq", "OF", "IT'S"))
         self.plain_ascii = array("I").itemsize == 4 and sys.byteorder == "little" and self._agrees()
 
     def _encode(self, text: str) -> bytes:
@@ -120,65 +134,106 @@ class Encoder:
             self.tails[signs] = self._encode(signs)
         return self.tails[signs]
 
-    def _learn(self, parts: set[str]) -> None:
-        # most parts are one word and nothing else
-        if self.drops_space:
-            plain = [p for p in parts if p.isalpha()]
-            words = [p.lower() if p.isascii() else p for p in plain]
-        else:
-            words = plain = [p for p in parts if p[0] == " " and p[1:].isalpha()]
-        plan, new = [], set(words)
-        for part in parts.difference(plain):
-            front, word, signs = self._split(part)
-            if word:
-                plan.append((part, front, word, signs))
-                new.add(word)
-            else:
-                self.parts[part] = self._encode(part)
-        new.difference_update(self.words)
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of new parts."""
+        if len(self.words) > KEEP:
+            self.words = {}
+        split = [self._split(p) for p in parts]
+        new = {w for _, w, _ in split if w}.difference(self.words)
         if self.drops_space:
             self._learn_words(list(new), " ")
         else:
             self._learn_words([w for w in new if w[0] == " "], "")
             self._learn_words([w for w in new if w[0] != " "], "\n")
-        self.parts.update(zip(plain, map(self.words.__getitem__, words), strict=True))
-        for part, front, word, signs in plan:
-            ids = self.words[word] + self._tail(signs) if signs else self.words[word]
-            self.parts[part] = self._tail(front) + ids if front else ids
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; texts are taken together in runs of about a million characters."""
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size > 1_000_000:
-                out += self._run(held)
-                held, size = [], 0
-        return out + self._run(held)
-
-    def _run(self, texts: list[str]) -> list[bytes]:
-        cut = str.split if self.drops_space else _PART.findall
-        rows = [None if _ODD_SPACE.search(t) else cut(t) for t in texts]
-        if len(self.parts) > KEEP // 2:  # what recurs comes back from the older half
-            self.older, self.parts = self.parts, {}
-        if len(self.words) > KEEP:
-            self.words = {}
-        found = [[] if r is None else list(map(self.parts.get, r)) for r in rows]
-        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
-        missing = {r[i] for r, g in zip(rows, gaps, strict=True) for i in g}
-        known = [p for p in missing if p in self.older]
-        self.parts.update(zip(known, map(self.older.__getitem__, known), strict=True))
-        self._learn(missing.difference(known))
         out = []
-        for text, row, have, gap in zip(texts, rows, found, gaps, strict=True):
-            for i in gap:
-                have[i] = self.parts[row[i]]
-            out.append(self._encode(text) if row is None else b"".join(have))
+        for part, (front, word, signs) in zip(parts, split, strict=True):
+            ids = self.words[word] if word else self._encode(part)
+            if signs and word:
+                ids += self._tail(signs)
+            out.append(self._tail(front) + ids if front else ids)
         return out
 
+    def _parts(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, first part of each text) of all parts: words, with the white space before them where it counts."""
+        begin, end, first = word_bounds(raw, starts)
+        if self.drops_space:
+            return self._cut_stops(raw, begin, end, first)
+        n = np.diff(first)
+        begin = np.concatenate([[0], end[:-1]]) if len(end) else begin
+        begin[first[:-1][n > 0]] = starts[:-1][n > 0]
+        last = np.where(n > 0, end[np.maximum(first[1:] - 1, 0)], starts[:-1]) if len(end) else starts[:-1]
+        rest = np.flatnonzero(last < starts[1:])  # white space that ends a text
+        if len(rest):
+            begin, end = np.insert(begin, first[1:][rest], last[rest]), np.insert(end, first[1:][rest], starts[1:][rest])
+            more = np.zeros(len(starts), np.int64)
+            more[rest + 1] = 1
+            first = first + np.cumsum(more)
+        return self._cut_stops(raw, begin, end, first)
+
+    @staticmethod
+    def _cut_stops(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A stop or comma behind an ASCII letter is a part of its own; tokens never cross that place either."""
+        long_ = np.flatnonzero(end - begin > 1)
+        at = long_[_STOP[raw[end[long_] - 1]] & _LETTER[raw[end[long_] - 2]]]
+        if not len(at):
+            return begin, end, first
+        cut = end.copy()
+        cut[at] -= 1
+        return np.insert(begin, at + 1, cut[at]), np.insert(cut, at + 1, end[at]), first + np.searchsorted(at, first)
+
+    def _known(self, prints: list[int], where: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """Ids of distinct parts, by their fingerprints; ``where`` has a place of each."""
+        if len(self.parts) > KEEP // 2:  # what recurs comes back from the older half
+            self.older, self.parts = self.parts, {}
+        found = list(map(self.parts.get, prints))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        older = [self.older.get(prints[i]) for i in gaps]
+        missing = [i for i, x in zip(gaps, older, strict=True) if x is None]
+        learned = iter(self._learn([raw[begin[k]:end[k]].tobytes().decode() for k in where[missing].tolist()] if missing else []))
+        for i, x in zip(gaps, older, strict=True):
+            found[i] = self.parts[prints[i]] = next(learned) if x is None else x
+        return found
+
+    def encode(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, first id of each text and the end) from UTF-8 bytes and text offsets."""
+        whole = raw
+        if self.folds and b"<|" not in raw.tobytes():
+            raw = lower_ascii(raw)
+        begin, end, first = self._parts(raw, starts)
+        prints = range_hashes(raw, begin, end, BASES[0])
+        order = np.argsort(prints)
+        ranked = prints[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        kind = np.empty(len(prints), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        ids = self._known(ranked[new].tolist(), order[new], raw, begin, end)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        n = size[kind]
+        after = np.cumsum(n)
+        shift = (np.cumsum(size) - size)[kind] - (after - n)
+        out = flat[np.repeat(shift, n) + np.arange(after[-1] if len(after) else 0)]
+        edges = np.concatenate([[0], after])[first]
+        odd = self._odd_texts(whole, starts)
+        if odd:
+            own = [out[edges[i]:edges[i + 1]] for i in range(len(starts) - 1)]
+            for i, text in odd:
+                own[i] = np.frombuffer(self._encode(text), "<u4")
+            out, edges = np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        return out, edges
+
+    @staticmethod
+    def _odd_texts(raw: np.ndarray, starts: np.ndarray) -> list[tuple[int, str]]:
+        """Texts with white space outside ASCII's usual six; found by its first bytes, then by the pattern."""
+        at = np.flatnonzero(_ODD_LEAD[raw])
+        texts = np.unique(np.searchsorted(starts, at, "right") - 1).tolist()
+        found = ((i, raw[starts[i]:starts[i + 1]].tobytes().decode()) for i in texts)
+        return [(i, t) for i, t in found if _ODD_SPACE.search(t)]
+
     def ids(self, text: str) -> bytes:
-        return self.ids_of([text])[0]
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode(raw, np.array([0, len(raw)]))[0].tobytes()
 
 
 def encoder(name: str) -> Encoder:

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.encoding import encoder
-from chartloom.llm.shared import saved, small_batches, whole_text
+from chartloom.llm.encoding import CHUNK_BYTES, encoder
+from chartloom.llm.shared import byte_chunks, saved, small_batches, text_bytes, whole_text
 
 PIECE_SCHEMA = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint, salt bigint"
 
@@ -143,14 +143,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int =
         schema = pa.schema([("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("salt", pa.int64())])
         for batch in batches:
             out: list[list] = [[] for _ in schema]
-            for k, ids in zip(batch.column(0).to_pylist(), code.ids_of(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n, at, number = len(ids) // 4, 0, 0
-                while at < n:
-                    length = (n % capacity or capacity) if at == 0 else capacity
-                    for column, value in zip(out, (k, number, at, length, zlib.crc32(ids[4 * at:4 * (at + length)]), salt), strict=True):
-                        column.append(value)
-                    at, number, salt = at + length, number + 1, salt + 1
+            keys, (raw, starts) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            for a, b in byte_chunks(starts, CHUNK_BYTES):
+                tokens, edges = code.encode(raw[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
+                for i in range(a, b):
+                    ids = tokens[edges[i - a]:edges[i - a + 1]].tobytes() + end
+                    n, at, number = len(ids) // 4, 0, 0
+                    while at < n:
+                        length = (n % capacity or capacity) if at == 0 else capacity
+                        for column, value in zip(out, (keys[i], number, at, length, zlib.crc32(ids[4 * at:4 * (at + length)]), salt), strict=True):
+                            column.append(value)
+                        at, number, salt = at + length, number + 1, salt + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), whole_text(text).alias("t"))

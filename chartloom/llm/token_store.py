@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chartloom.llm.encoding import encoder
-from chartloom.llm.shared import mix, small_batches, whole_text
+from chartloom.llm.encoding import CHUNK_BYTES, encoder
+from chartloom.llm.shared import byte_chunks, mix, small_batches, text_bytes, whole_text
 
 STORE_SCHEMA = ("part int, shard int, n_docs bigint, n_tokens bigint, first_key bigint, last_key bigint, "
                 "payload binary, index binary")
@@ -140,13 +140,16 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
         records: list = []
         held = 0
         for batch in batches:
-            for k, ids in zip(batch.column(0).to_pylist(), code.ids_of(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                records.append((k, ids))
-                held += len(ids)
-                if held >= shard_bytes * (1 if wide else 2):
-                    yield pa.RecordBatch.from_pylist([_shard(records, wide, part, shard)], schema)
-                    records, held, shard = [], 0, shard + 1
+            keys, (raw, starts) = batch.column(0).to_pylist(), text_bytes(batch.column(1))
+            for a, b in byte_chunks(starts, CHUNK_BYTES):
+                ids, edges = code.encode(raw[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
+                for i in range(a, b):
+                    own = ids[edges[i - a]:edges[i - a + 1]].tobytes() + end
+                    records.append((keys[i], own))
+                    held += len(own)
+                    if held >= shard_bytes * (1 if wide else 2):
+                        yield pa.RecordBatch.from_pylist([_shard(records, wide, part, shard)], schema)
+                        records, held, shard = [], 0, shard + 1
         if records:
             yield pa.RecordBatch.from_pylist([_shard(records, wide, part, shard)], schema)
 
