@@ -217,13 +217,18 @@ def pattern_rows(visits: DataFrame, edges: DataFrame, limit: int = 100) -> DataF
 def cross_patient_patterns(visits: DataFrame, edges: DataFrame, limit: int = 100, top: int = 10) -> DataFrame:
     """Most frequent medications and tests over the newest rows of each condition.
 
-    ``n`` counts (patient, date) rows that have the item; ties go by name.
+    ``n`` counts (patient, date) rows that have the item; ties go by name.  The
+    edges are read once: a visit's items travel with its conditions, and their
+    number is bounded by the visit.
     """
-    rows = pattern_rows(visits, edges, limit).drop("rank")
-    items = edges.filter(F.col("type").isin("PRESCRIBED", "PERFORMED"))
-    seen = (_condition_visits(visits, edges).join(rows, ["condition", "patient_id", "visit_date"], "left_semi")
-            .join(items, "visit_id").select("condition", "patient_id", "visit_date", "type", "name").distinct())
-    counts = seen.groupBy("condition", "type", "name").agg(F.count(F.lit(1)).alias("n"))
+    per_visit = edges.filter(F.col("type").isin("DIAGNOSED_WITH", "PRESCRIBED", "PERFORMED")).groupBy("visit_id").agg(
+        F.collect_set(F.when(F.col("type") == "DIAGNOSED_WITH", F.col("name"))).alias("conditions"),
+        F.collect_set(F.when(F.col("type") != "DIAGNOSED_WITH", F.struct("type", "name"))).alias("items")).filter(F.size("conditions") > 0)
+    rows = (per_visit.join(visits.select("visit_id", "patient_id", "visit_date"), "visit_id")
+            .select(F.explode("conditions").alias("condition"), "patient_id", "visit_date", "items")
+            .groupBy("condition", "patient_id", "visit_date").agg(F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
+    newest = top_k(rows, ["condition"], [F.desc("visit_date"), F.asc("patient_id")], limit)
+    counts = newest.select("condition", F.explode("items").alias("i")).groupBy("condition", "i.type", "i.name").agg(F.count(F.lit(1)).alias("n"))
     return top_k(counts, ["condition", "type"], [F.desc("n"), F.asc("name")], top)
 
 
@@ -276,14 +281,42 @@ def care_gaps(visits: DataFrame, edges: DataFrame, treatments: DataFrame) -> Dat
 
 
 def patient_bundle(patients, visits, edges, interactions, treatments) -> DataFrame:
-    """Summary counts, pair counts and gap counts of every patient in one row."""
-    gaps = care_gaps(visits, edges, treatments).groupBy("patient_id").agg(
-        F.count(F.lit(1)).alias("condition_rows"),
-        F.count_if(F.col("status") == "Treatment Gap").alias("gaps"))
-    return (patient_statistics(patients, visits, edges)
-            .join(co_prescription_counts(visits, edges, interactions), "patient_id", "left")
-            .join(gaps, "patient_id", "left")
-            .fillna(0, ["pairs", "interacting_pairs", "condition_rows", "gaps"]))
+    """Summary counts, pair counts and gap counts of every patient in one row.
+
+    One pass over the edges.  Each medication brings along its interaction
+    partners and the conditions it treats; a visit then knows its pairs and which
+    of its conditions are treated, and sums per patient and name give all counts.
+    """
+    both = interactions.select("drug1", "drug2").unionByName(interactions.select(F.col("drug2").alias("drug1"), F.col("drug1").alias("drug2")))
+    partners = both.groupBy(F.col("drug1").alias("name")).agg(F.collect_set("drug2").alias("partners"))
+    treats = treatments.groupBy(F.col("medication").alias("name")).agg(F.collect_set("condition").alias("treats"))
+    known = partners.join(treats, "name", "full").withColumn("type", F.lit("PRESCRIBED"))
+    rows = edges.select("visit_id", "type", "name").join(known, ["type", "name"], "left")
+    per_visit = rows.groupBy("visit_id").agg(
+        F.collect_set(F.struct("type", "name")).alias("items"),
+        F.collect_set(F.when(F.col("type") == "PRESCRIBED", F.struct("name", "partners", "treats"))).alias("meds"))
+    nothing = F.array().cast("array<string>")
+    names = F.transform("meds", lambda m: m["name"])
+    hits = F.aggregate("meds", F.lit(0), lambda n, m: n + F.size(F.array_intersect(F.coalesce(m["partners"], nothing), F.col("names"))))
+
+    def item(i):
+        treated = F.size(F.filter("meds", lambda m: F.array_contains(F.coalesce(m["treats"], nothing), i["name"])))
+        return F.struct(i["type"].alias("type"), i["name"].alias("name"), F.when(i["type"] == "DIAGNOSED_WITH", treated).otherwise(0).alias("n"))
+
+    size = F.size("meds")
+    measures = F.array(*[F.struct(F.lit(k).alias("type"), F.lit("").alias("name"), v.alias("n")) for k, v in (
+        ("visits", F.lit(1)), ("pairs", F.coalesce(size * (size - 1), F.lit(0))), ("interacting_pairs", F.coalesce(hits, F.lit(0))))])
+    all_visits = visits.select("visit_id", "patient_id").join(per_visit.withColumn("names", names), "visit_id", "left")
+    items = all_visits.select("patient_id", F.explode(F.concat(F.coalesce(F.transform("items", item), F.array().cast(
+        "array<struct<type:string,name:string,n:int>>")), measures)).alias("i"))
+    sums = items.groupBy("patient_id", "i.type", "i.name").agg(F.sum("i.n").alias("n"))
+    diagnosed = F.col("type") == "DIAGNOSED_WITH"
+    counts = sums.groupBy("patient_id").agg(
+        *[F.sum(F.when(F.col("type") == k, F.col("n"))).alias(k) for k in ("visits", "pairs", "interacting_pairs")],
+        *[F.count_if(F.col("type") == rel).alias(kind) for kind, rel in RELATIONS.items()],
+        F.count_if(diagnosed).alias("condition_rows"), F.count_if(diagnosed & (F.col("n") == 0)).alias("gaps"))
+    columns = ["visits", *RELATIONS, "pairs", "interacting_pairs", "condition_rows", "gaps"]
+    return patients.select("patient_id").join(counts, "patient_id", "left").fillna(0, columns).select("patient_id", *columns)
 
 
 # --- requests ----------------------------------------------------------------
@@ -294,7 +327,8 @@ def run_query(spark: SparkSession, views: dict[str, DataFrame], sql: str, args:
     if not sql.strip():
         raise ValueError("query is empty")
     upper = sql.upper()
-    refused = [w for w in REFUSED_QUERY_WORDS if w in upper]
+    outside = re.sub(r"'(?:[^'\\]|\\.|'')*'", "''", upper)  # words in literals are data
+    refused = [w for w in REFUSED_QUERY_WORDS if re.search(rf"\b{re.escape(w.strip())}\b", outside)]
     if refused or not re.match(r"\s*(SELECT|WITH)\b", upper):
         raise ValueError(f"only reading queries are allowed, refused: {refused or sql.split()[0]}")
     if limit is not None and not 1 <= limit <= 1000:

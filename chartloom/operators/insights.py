@@ -123,16 +123,17 @@ def patient_features(patients: DataFrame, visits: DataFrame, edges: DataFrame, t
 
     ``tests`` has patient_id, name, value and date.
     """
-    from chartloom.operators.graph import patient_entities
-    names = patient_entities(visits, edges).groupBy("patient_id").agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("type") == rel, F.col("name")))).alias(kind)
-        for kind, rel in (("conditions", "DIAGNOSED_WITH"), ("medications", "PRESCRIBED"))])
-    diagnosed = (edges.filter("type = 'DIAGNOSED_WITH'").select("visit_id").distinct()
-                 .join(visits.select("visit_id", "patient_id"), "visit_id").groupBy("patient_id").agg(F.count(F.lit(1)).alias("visit_count")))
+    owned = (edges.filter(F.col("type").isin("DIAGNOSED_WITH", "PRESCRIBED")).select("visit_id", "type", "name")
+             .join(visits.select("visit_id", "patient_id"), "visit_id"))
+    diagnosis = F.col("type") == "DIAGNOSED_WITH"
+    names = owned.groupBy("patient_id").agg(
+        F.array_sort(F.collect_set(F.when(diagnosis, F.col("name")))).alias("conditions"),
+        F.array_sort(F.collect_set(F.when(~diagnosis, F.col("name")))).alias("medications"),
+        F.count_distinct(F.when(diagnosis, F.col("visit_id"))).alias("visit_count"))
     labs = tests.select("patient_id", "name", "value", "date").distinct().groupBy("patient_id").agg(F.count(F.lit(1)).alias("labs"))
     nothing = F.array().cast("array<string>")
     return (patients.select("patient_id", "age", "gender", "name").join(names, "patient_id", "left").join(labs, "patient_id", "left")
-            .join(diagnosed, "patient_id", "left").fillna(0, ["labs", "visit_count"])
+            .fillna(0, ["labs", "visit_count"])
             .withColumn("conditions", F.coalesce("conditions", nothing)).withColumn("medications", F.coalesce("medications", nothing)))
 
 
