@@ -22,7 +22,7 @@ from chartloom.llm.shared import BASES, byte_chunks, range_hashes, saved, small_
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
 DIMENSION = 12
-EPOCHS = 6
+EPOCHS = 12
 RATE = 0.3
 #: Labelled rows of each label that training sees; the only bound, scoring and label shares have none.
 SAMPLE_DOCS = 1500
@@ -41,12 +41,20 @@ def _gram_buckets(raw: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (h >> np.uint32(32 - bits)).astype(np.int64)
 
 
+def n_buckets(bits: int) -> int:
+    return ((len(ORDERS) + 1) << bits) + 2
+
+
 def feature_blocks(raw: np.ndarray, starts: np.ndarray, bits: int = BUCKET_BITS):
     """(bucket ids, document of each) per feature kind; words first, each kind in its own range of buckets."""
     n = len(starts) - 1
     begin, end, first = word_bounds(raw, starts)
     words = (range_hashes(raw, begin, end, BASES[0]) >> np.uint64(64 - bits)).astype(np.int64)
     yield words, np.repeat(np.arange(n), np.diff(first))
+    # word pairs by kind: a word that repeats, and any other pair
+    word_owner = np.repeat(np.arange(n), np.diff(first))
+    inside = word_owner[1:] == word_owner[:-1]
+    yield (words[1:] == words[:-1])[inside].astype(np.int64) + ((len(ORDERS) + 1) << bits), word_owner[1:][inside]
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
     for kind, order in enumerate(ORDERS, 1):
         if len(raw) < order:
@@ -77,7 +85,7 @@ def train(texts: list[bytes], labels: np.ndarray, bits: int = BUCKET_BITS, dimen
         ids = np.concatenate([b for b, _ in feature_blocks(raw, np.array([0, len(raw)]), bits)] or [np.zeros(0, np.int64)])
         at, counts = np.unique(ids, return_counts=True)
         docs.append((at.astype(np.int32), (counts / max(counts.sum(), 1)).astype(np.float32)))
-    size = (len(ORDERS) + 1) << bits
+    size = n_buckets(bits)
     vectors = rng.normal(0, 0.1, (size, dimension)).astype(np.float32)
     squares = np.full(size, 1e-6, np.float32)
     output = rng.normal(0, 0.5, (dimension, 2)).astype(np.float32)
@@ -122,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = (labels.select(F.col(key).cast("bigint").alias("key"), F.col(label).cast("int").alias("label")).filter("key IS NOT NULL AND label IN (0, 1)")
              .filter(~is_held_out("key")).groupBy("key").agg(F.max("label").alias("label")))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = (len(ORDERS) + 1) << BUCKET_BITS
+    size = n_buckets(BUCKET_BITS)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1) if counts else 1 - 1e-6
     prior = math.log(share / (1 - share))
     if len(counts) < 2:
