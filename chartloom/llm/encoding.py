@@ -33,10 +33,12 @@ _ODD_LEAD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _SIGNS = ".,;:!?$%&*#@^~|/+=_-()[]{}\"`"
 
 #: Bytes of texts whose parts are looked up together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: Parts kept per worker before the table starts anew.
-KEEP = 1_000_000
+KEEP = 600_000
+#: Words kept next to them, for parts that differ from a word by signs.
+KEEP_WORDS = 200_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -136,7 +138,7 @@ class Encoder:
 
     def _learn(self, parts: list[str]) -> list[bytes]:
         """Ids of new parts."""
-        if len(self.words) > KEEP:
+        if len(self.words) > KEEP_WORDS:
             self.words = {}
         split = [self._split(p) for p in parts]
         new = {w for _, w, _ in split if w}.difference(self.words)

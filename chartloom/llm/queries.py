@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import mixing, near_dup, packing, private_data, quality, repeats, secrets, token_store, topk, vector_links
+from chartloom.llm import mixing, near_dup, oracles, packing, private_data, quality, repeats, secrets, token_store, topk, vector_links
 from chartloom.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,24 +64,24 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("key", "doc_id")
 
 
-@query("op1_top_k")
+@query("op1_top_k", oracles.TOP_K)
 def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.nearest(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
-@query("op9_vector_links")
+@query("op9_vector_links", oracles.VECTOR_LINKS)
 def vector_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = vector_links.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
     return linked.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
-@query("op5_repeats")
+@query("op5_repeats", oracles.REPEATS)
 def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=35).withColumnRenamed("key", "doc_id")
 
 
-@query("op6_near_duplicates")
+@query("op6_near_duplicates", oracles.NEAR_DUPLICATES)
 def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_dup.link_documents(table(spark, sf_dir, "documents"), percent=75)
     return linked.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
