@@ -57,7 +57,8 @@ def inventory(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     mime = F.coalesce(F.element_at(string_map({e: m for e, (m, _) in L.FILE_TYPES.items()}), extension(name)),
                       F.lit("application/octet-stream"))
-    return files.select("path", name.alias("filename"), F.col("length").alias("size"), format_bytes(F.col("length"), "").alias("size_human"),
+    kept = [c for c in files.columns if c not in ("path", "length", "modificationTime")]
+    return files.select(*kept, "path", name.alias("filename"), F.col("length").alias("size"), format_bytes(F.col("length"), "").alias("size_human"),
                         mime.alias("mime"), mime_category(mime).alias("category"), F.col("modificationTime").alias("modified"),
                         extension(name).alias("extension"))
 

@@ -110,17 +110,27 @@ _SQL_FIXED = """fixed AS (SELECT * FROM (SELECT *, min(CASE WHEN length(trim(w,
 
 
 @query("c05_fixed_chunks", f"""WITH {_SQL_FIXED}
-SELECT doc_id, 'fixed_chunk_' || (pos // 300 + 1)::INT AS chunk_id, pos AS start_index, (pos + length(w))::INT AS end_index, length(w) AS char_count FROM fixed""")
+SELECT doc_id, 'fixed_chunk_' || (pos // 300 + 1)::INT AS chunk_id, pos AS start_index, (pos + length(w))::INT AS end_index, length(w) AS char_count, w AS text FROM fixed""")
 def c05(spark, sf):
     rows = C.chunk(spread(table(spark, sf, "documents")), ["doc_id"], SMALL)
-    return rows.select("doc_id", "chunk_id", "start_index", "end_index", "char_count")
+    return rows.select("doc_id", "chunk_id", "start_index", "end_index", "char_count", "text")
+
+
+_SQL_SENTENCES = f"""sentence AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM documents)),
+packed AS (SELECT doc_id, i, t, length(t) AS n, 1 AS g FROM sentence WHERE i = 1
+  UNION ALL SELECT q.doc_id, q.i, q.t, CASE WHEN r.n + length(q.t) > 400 THEN length(q.t) ELSE r.n + length(q.t) END, CASE WHEN r.n + length(q.t) > 400 THEN g + 1 ELSE g END
+  FROM packed r JOIN sentence q ON q.doc_id = r.doc_id AND q.i = r.i + 1),
+grouped AS (SELECT doc_id, g, string_agg(t, '. ' ORDER BY i) AS body FROM packed GROUP BY ALL),
+placed AS (SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s FROM grouped)"""
 
 
-@query("c06_sentence_chunks")
+@query("c06_sentence_chunks", f"""WITH RECURSIVE {_SQL_SENTENCES} SELECT doc_id, 'sentence_chunk_' || g AS chunk_id, s AS start_index, s + length(body) AS end_index,
+  length(body) AS char_count, {_WORDS.format('body')} AS word_count, body AS text FROM placed""")
 def c06(spark, sf):
-    """Sentence packing over all documents (sequential fold, no SQL twin)."""
+    """Sentences of all documents packed up to 400 characters."""
     rows = C.chunk(spread(table(spark, sf, "documents")), ["doc_id"], C.ChunkConfig("sentence_boundary", chunk_size=400))
-    return rows.select("doc_id", "chunk_id", "start_index", "end_index", "char_count", "word_count")
+    return rows.select("doc_id", "chunk_id", "start_index", "end_index", "char_count", "word_count", "text")
 
 
 @query("c07_paragraph_chunks", f"""WITH {_SQL_PARAGRAPHS.format(source='documents', mark='chr(10)')}

@@ -150,11 +150,21 @@ def s03(spark, sf):
     return spark.read.parquet(path).select("doc_id", "patient_id", "category", "size")
 
 
-@query("s04_inventory")
+_SQL_KNOWN_MIME = X.lookup("extension", {e: m for e, (m, _) in L.FILE_TYPES.items()})
+
+
+@query("s04_inventory", f"""WITH {_SQL_FILES}, f AS (SELECT doc_id, filename, size, {_SQL_EXT} AS extension FROM files),
+m AS (SELECT *, coalesce({_SQL_KNOWN_MIME}, 'application/octet-stream') AS mime FROM f)
+SELECT doc_id, filename, size, CASE WHEN size = 0 THEN '0B' WHEN size < 1024 THEN printf('%.1fB', size::DOUBLE) WHEN size < 1048576 THEN printf('%.1fKB', size / 1024.0::DOUBLE)
+  WHEN size < 1073741824 THEN printf('%.1fMB', size / 1048576.0::DOUBLE) ELSE printf('%.1fGB', size / 1073741824.0::DOUBLE) END AS size_human, mime,
+  CASE WHEN starts_with(mime, 'image/') THEN 'image' WHEN mime = 'application/pdf' THEN 'pdf' WHEN starts_with(mime, 'application/vnd.openxmlformats-officedocument') THEN 'office_document'
+  WHEN starts_with(mime, 'text/') THEN 'text' ELSE 'other' END AS category, extension FROM m""")
 def s04(spark, sf):
-    """Listing of the data files themselves (file times have no SQL twin)."""
-    rows = S.inventory(FS.read_files(spark, sf, "*.parquet", with_content=False))
-    return rows.select("filename", "size", "size_human", "mime", "category", "extension")
+    """The stored documents as files: name, size and type of each."""
+    files = _files(spark, sf).select("doc_id", F.concat(F.lit("/store/in/"), "filename").alias("path"), F.col("size").alias("length"),
+                                     F.lit(None).cast("timestamp").alias("modificationTime"))
+    rows = S.inventory(files)
+    return rows.select("doc_id", "filename", "size", "size_human", "mime", "category", "extension")
 
 
 @query("s05_expired", "SELECT event_id, user_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR")
