@@ -221,12 +221,17 @@ def with_chunks(docs: DataFrame, cfg: ChunkConfig, text: str = "text", reference
 
 
 def chunk(docs: DataFrame, keys: list[str], cfg: ChunkConfig, text: str = "text",
-          reference_dispatch: bool = False) -> DataFrame:
-    """One row per chunk.  With a ``spans`` column each chunk gets the spans that start in it."""
+          reference_dispatch: bool = False, keep_empty: bool = False) -> DataFrame:
+    """One row per chunk.  With a ``spans`` column each chunk gets the spans that start in it.
+
+    ``keep_empty`` keeps a row without chunk for a document that has none.
+    """
     kind = resolve_strategy(cfg.strategy, reference_dispatch)
     has_spans = "spans" in docs.columns
     exploded = with_chunks(docs, cfg, text, reference_dispatch).select(
-        *keys, *(["spans"] if has_spans else []), F.explode_outer("chunks").alias("c")).filter(F.col("c").isNotNull())
+        *keys, *(["spans"] if has_spans else []), F.explode_outer("chunks").alias("c"))
+    if not keep_empty:
+        exploded = exploded.filter(F.col("c").isNotNull())
     body = F.col("c.text")
     visit_date = (parse_date(F.col("c.key")) if kind == "temporal" else visit_date_of(body) if kind == "visit"
                   else F.lit(None).cast("timestamp_ntz"))
@@ -299,8 +304,8 @@ def chunk_quality(chunks: DataFrame, documents: DataFrame, key: str) -> DataFram
         F.coalesce("entities_found", F.lit(0)).alias("entities_found"))
 
 
-def document_chunks_with_spans(docs: DataFrame, keys: list[str], cfg: ChunkConfig) -> DataFrame:
+def document_chunks_with_spans(docs: DataFrame, keys: list[str], cfg: ChunkConfig, keep_empty: bool = False) -> DataFrame:
     """Pattern spans, then chunks with their spans; the usual way into a timeline."""
-    return chunk(E.extract_patterns(docs), keys, cfg)
+    return chunk(E.extract_patterns(docs), keys, cfg, keep_empty=keep_empty)
 
 

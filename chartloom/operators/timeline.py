@@ -55,25 +55,31 @@ def fact_rows(chunks_with_facts: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "p.kind", F.explode("p.values").alias("value")).distinct())
 
 
-def entries(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def entries(chunks: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
     """One entry per (keys, day) from chunks with facts, day and confidence.
 
+    ``sums`` are summed over the chunks of an entry.  Rows without a chunk (text
+    null) give an entry without chunks.
+
     Lists are sets in name order; notes and chunk ids keep duplicates in the
     order given.  Facts and chunks go through one aggregate: the sets are
     de-duplicated on the map side and the chunks are read once.
     """
     parts = ", ".join(f"transform({k}, v -> struct('{k}' AS kind, v AS value))" for k in FACTS)
-    items = F.expr(f"concat({parts}, array(struct('chunk' AS kind, CAST(NULL AS STRING) AS value)))")
-    rows = chunks.select(*keys, "visit_day", "chunk_confidence", *order, "chunk_id", "progress_notes", F.explode(items).alias("i"))
+    alone = "array(struct(CASE WHEN text IS NULL THEN 'none' ELSE 'chunk' END AS kind, CAST(NULL AS STRING) AS value))"
+    items = F.expr(f"concat(CASE WHEN text IS NOT NULL THEN concat({parts}) ELSE array() END, {alone})")
+    extra = [v.alias(f"__sum_{k}") for k, v in (sums or {}).items()]
+    rows = chunks.select(*keys, "visit_day", "chunk_confidence", *order, "chunk_id", "progress_notes", *extra, F.explode(items).alias("i"))
     is_chunk = F.col("i.kind") == "chunk"
     per = rows.groupBy(*keys, "visit_day").agg(
         *[F.array_sort(F.collect_set(F.when(F.col("i.kind") == k, F.col("i.value")))).alias(k) for k in FACTS],
         F.avg(F.when(is_chunk, F.col("chunk_confidence"))).alias("confidence"), F.count_if(is_chunk).alias("n_chunks"),
+        *[F.sum(F.when(is_chunk, F.col(f"__sum_{k}"))).alias(k) for k in sums or {}],
         F.array_sort(F.collect_list(F.when(is_chunk, F.struct(*order, "chunk_id", "progress_notes")))).alias("__c"))
     return per.select(
         *keys, "visit_day", F.concat(F.lit("visit_"), F.col("visit_day").cast("string")).alias("visit_id"), *FACTS,
         F.flatten(F.transform("__c", lambda c: c["progress_notes"])).alias("progress_notes"),
-        F.transform("__c", lambda c: c["chunk_id"]).alias("chunk_ids"), "confidence", "n_chunks")
+        F.transform("__c", lambda c: c["chunk_id"]).alias("chunk_ids"), "confidence", "n_chunks", *(sums or {}))
 
 
 def threshold_report(entry_rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
@@ -116,31 +122,45 @@ def assemble(patients: DataFrame, entry_rows: DataFrame, key: str, threshold: fl
     return patients.select(key).join(per, key, "left").withColumn("total_visits", F.coalesce("total_visits", F.lit(0)))
 
 
-def entry_text() -> Column:
-    """An entry rendered for embedding."""
+def entry_text(entry: Column | None = None) -> Column:
+    """An entry rendered for embedding; ``entry`` is a struct, or the row itself."""
+    at = (lambda k: entry[k]) if entry is not None else F.col
     titles = [("Symptoms", "symptoms"), ("Tests", "tests"), ("Medications", "medications"), ("Diagnoses", "diagnoses"),
               ("Procedures", "procedures"), ("Notes", "progress_notes")]
-    return F.concat_ws(" ", F.concat(F.lit("Date: "), F.col("visit_day").cast("string")),
-                       *[F.concat(F.lit(f"{t}: "), F.array_join(c, ", ")) for t, c in titles])
+    return F.concat_ws(" ", F.concat(F.lit("Date: "), at("visit_day").cast("string")),
+                       *[F.concat(F.lit(f"{t}: "), F.array_join(at(c), ", ")) for t, c in titles])
 
 
 def structure_documents(docs: DataFrame, key: str, cfg, as_of: str, threshold: float = 0.5) -> DataFrame:
-    """Text to timeline and quality per document.
+    """Text to timeline and quality per document, from one extraction.
 
-    Visit chunks with their spans, entries by day, then the mean of timeline
-    confidence, coherence and spread of spans.
+    Visit chunks with their spans go into entries by day, with the sums that the
+    quality needs; entries go into the document's timeline.  Quality is the mean
+    of timeline confidence, coherence and spread of spans.  A document without
+    chunks has an empty timeline and zeros.
     """
-    from chartloom.operators.chunks import chunk_quality, document_chunks_with_spans
-    chunks = document_chunks_with_spans(docs, [key], cfg)
-    dated = chunks.withColumn("visit_day", visit_day(F.col("visit_date"), F.col("text"), as_of)).withColumn(
+    from chartloom.operators.chunks import document_chunks_with_spans
+    chunks = facts(document_chunks_with_spans(docs, [key], cfg, keep_empty=True))
+    dated = chunks.withColumn("visit_day", F.when(F.col("text").isNotNull(), visit_day(F.col("visit_date"), F.col("text"), as_of))).withColumn(
         "chunk_confidence", chunk_confidence())
-    per_day = dated.groupBy(key, "visit_day").agg(F.avg("chunk_confidence").alias("confidence"))
-    header = threshold_report(per_day, [key], threshold)
-    quality = chunk_quality(chunks.withColumn("n_spans", F.size("spans")),
-                            docs.select(key, F.length("text").alias("text_length")), key)
-    score = F.coalesce("confidence_score", F.lit(0.0))
-    return quality.join(header, key, "left").select(
-        key, F.col("total_chunks").alias("chunks_created"), F.coalesce("total_visits", F.lit(0)).alias("timeline_entries"),
-        "entities_found", score.alias("timeline_confidence"), "coherence", "entity_distribution",
-        ((score + F.col("coherence") + F.col("entity_distribution")) / 3).alias("overall_quality"),
-        F.coalesce(F.col("dropped") > 0, F.lit(False)).alias("dropped_entries"))
+    n = F.size("spans").cast("double")
+    days = entries(dated, [key], ["start_index"], {"spans": n, "squares": n * n, "score": F.col("semantic_score")})
+    kept = F.col("visit_day").isNotNull() & (F.col("confidence") >= threshold)
+    dropped = F.col("visit_day").isNotNull() & ~kept
+    fields = ["visit_day", *FACTS, "progress_notes", "chunk_ids", "confidence", "n_chunks"]
+    per = days.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.when(kept, F.struct(*fields)))).alias("timeline"),
+        F.coalesce(F.avg(F.when(kept, F.col("confidence"))), F.lit(0.0)).alias("timeline_confidence"),
+        F.min(F.when(kept, F.col("visit_day"))).alias("first_day"), F.max(F.when(kept, F.col("visit_day"))).alias("last_day"),
+        (F.count_if(dropped) > 0).alias("dropped_entries"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_chunks", "spans", "squares", "score")])
+    count = F.col("n_chunks")
+    mean = F.col("spans") / count
+    spread = F.sqrt(F.greatest(F.col("squares") / count - mean * mean, F.lit(0.0)))
+    per = per.withColumn("coherence", F.when(count > 0, F.col("score") / count).otherwise(F.lit(0.0))).withColumn(
+        "entity_distribution", F.when(count > 0, 1.0 - spread / (mean + 1e-6)).otherwise(F.lit(0.0)))
+    return per.select(
+        key, count.alias("chunks_created"), F.size("timeline").alias("timeline_entries"), F.col("spans").cast("bigint").alias("entities_found"),
+        "timeline_confidence", "coherence", "entity_distribution",
+        ((F.col("timeline_confidence") + F.col("coherence") + F.col("entity_distribution")) / 3).alias("overall_quality"),
+        "dropped_entries", "timeline", "first_day", "last_day")

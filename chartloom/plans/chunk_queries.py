@@ -110,7 +110,7 @@ _SQL_FIXED = """fixed AS (SELECT * FROM (SELECT *, min(CASE WHEN length(trim(w,
 
 
 @query("c05_fixed_chunks", f"""WITH {_SQL_FIXED}
-SELECT doc_id, 'fixed_chunk_' || (pos // 300 + 1)::INT AS chunk_id, pos AS start_index, (pos + length(w))::INT AS end_index, length(w) AS char_count, w AS text FROM fixed""")
+SELECT doc_id, 'fixed_chunk_' || (pos // 300 + 1)::INT AS chunk_id, pos AS start_index, (pos + length(w))::INT AS end_index, length(w) AS char_count, {_STRIP.format('w')} AS text FROM fixed""")
 def c05(spark, sf):
     rows = C.chunk(spread(table(spark, sf, "documents")), ["doc_id"], SMALL)
     return rows.select("doc_id", "chunk_id", "start_index", "end_index", "char_count", "text")
@@ -325,11 +325,15 @@ def t07(spark, sf):
 de AS (SELECT doc_id, visit_day, avg(chunk_confidence) AS c FROM dated JOIN cc USING (doc_id, number) GROUP BY ALL),
 dh AS (SELECT doc_id, count(*) FILTER (c >= 0.5) AS timeline_entries, coalesce(avg(c) FILTER (c >= 0.5), 0) AS tc, count(*) FILTER (c < 0.5) > 0 AS dropped FROM de GROUP BY doc_id),
 ck AS (SELECT d.doc_id, d.number, count(cs.conf) AS n FROM dated d LEFT JOIN cs USING (doc_id, number) GROUP BY ALL),
-cq AS (SELECT doc_id, count(*) AS chunks_created, sum(n)::BIGINT AS entities_found, 1 - stddev_pop(n) / (avg(n) + 1e-6) AS ed FROM ck GROUP BY doc_id)
-SELECT n.doc_id, coalesce(chunks_created, 0) AS chunks_created, coalesce(timeline_entries, 0) AS timeline_entries, coalesce(entities_found, 0) AS entities_found,
+cq AS (SELECT doc_id, count(*) AS chunks_created, sum(n)::BIGINT AS entities_found, 1 - stddev_pop(n) / (avg(n) + 1e-6) AS ed FROM ck GROUP BY doc_id),
+dfs AS (SELECT DISTINCT doc_id, visit_day, kind, value FROM fact JOIN dated USING (doc_id, number)),
+dl AS (SELECT doc_id, visit_day, {', '.join(f"coalesce(string_agg(value, ', ' ORDER BY value) FILTER (kind = '{k}'), '') AS {k}" for k in T.FACTS)} FROM de LEFT JOIN dfs USING (doc_id, visit_day) WHERE c >= 0.5 GROUP BY ALL),
+dn AS (SELECT doc_id, visit_day, string_agg(CASE WHEN length(body) > 200 THEN substr(body, 1, 200) || '...' ELSE body END, ', ' ORDER BY s) AS notes FROM dated WHERE {X.contains_any('lower(body)', L.FACT_NOTES)} GROUP BY ALL),
+dt AS (SELECT doc_id, string_agg('Date: ' || visit_day || {" || ".join(f"' {k.title()}: ' || {k}" for k in ("symptoms", "tests", "medications", "diagnoses", "procedures"))} || ' Notes: ' || coalesce(notes, ''), chr(10) ORDER BY visit_day) AS timeline FROM dl LEFT JOIN dn USING (doc_id, visit_day) GROUP BY doc_id)
+SELECT n.doc_id, coalesce(timeline, '') AS timeline, coalesce(chunks_created, 0) AS chunks_created, coalesce(timeline_entries, 0) AS timeline_entries, coalesce(entities_found, 0) AS entities_found,
   round((coalesce(tc, 0) + CASE WHEN cq.doc_id IS NULL THEN 0 ELSE 0.85 END + coalesce(ed, 0)) / 3, 6) AS overall_quality, coalesce(dropped, false) AS dropped_entries
-FROM notes n LEFT JOIN cq USING (doc_id) LEFT JOIN dh USING (doc_id)""")
+FROM notes n LEFT JOIN cq USING (doc_id) LEFT JOIN dh USING (doc_id) LEFT JOIN dt USING (doc_id)""")
 def t08(spark, sf):
     out = T.structure_documents(notes(spark, sf), "doc_id", CFG, AS_OF)
-    return out.select("doc_id", "chunks_created", "timeline_entries", "entities_found",
+    return out.select("doc_id", F.array_join(F.transform("timeline", T.entry_text), "\n").alias("timeline"), "chunks_created", "timeline_entries", "entities_found",
                       F.round("overall_quality", 6).alias("overall_quality"), "dropped_entries")
