@@ -10,14 +10,21 @@ from chartloom.operators import graph as G
 
 def build_graph(requests: DataFrame, entities: DataFrame, stored_nodes: DataFrame | None = None,
                 strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of requests (visit_id, patient_id) and entities (visit_id, label, text, confidence, seq)."""
+    """(nodes, edges) of requests (visit_id, patient_id) and entities (visit_id, label, text, confidence, seq).
+
+    Nodes are the patients, their visits and the routed entities; edges lead from
+    patients to visits and from visits to entities.
+    """
     typed = G.route_entities(entities)
     updates = typed.select("node_type", "id", F.col("text").alias("name"), "confidence", "seq")
     stored = stored_nodes if stored_nodes is not None else updates.drop("seq").limit(0)
     nodes = G.merge_first_keep_max(stored, updates, ["node_type", "id"], "seq", ["name"])
-    visit = F.concat(F.lit("visit_"), "visit_id")
-    has_visit = requests.select(F.concat(F.lit("patient_"), "patient_id").alias("src"),
-                                F.lit("HAS_VISIT").alias("type"), visit.alias("dst"))
+    patient, visit = F.concat(F.lit("patient_"), "patient_id"), F.concat(F.lit("visit_"), "visit_id")
+    for kind, node, name in (("PATIENT", patient, "patient_id"), ("VISIT", visit, "visit_id")):
+        own = requests.select(F.lit(kind).alias("node_type"), node.alias("id"), F.col(name).cast("string").alias("name"),
+                              F.lit(None).cast(nodes.schema["confidence"].dataType).alias("confidence")).distinct()
+        nodes = nodes.unionByName(own)
+    has_visit = requests.select(patient.alias("src"), F.lit("HAS_VISIT").alias("type"), visit.alias("dst"))
     mentions = typed.select(visit.alias("src"), G.relation_of(F.col("label"), strict).alias("type"),
                             F.col("id").alias("dst"))
     return nodes, has_visit.unionByName(mentions).distinct()

@@ -476,3 +476,30 @@ FROM visits v LEFT JOIN raw_edges e USING (visit_id) GROUP BY v.patient_id""")
 def g26(spark, sf):
     from chartloom.plans.graph_build import build_counts
     return build_counts(star.visits(spark, sf), star.raw_edges(spark, sf))
+
+
+def _built(spark, sf):
+    from chartloom.plans.graph_build import build_graph
+    order = F.struct("visit_id", "edge_date", "seq", "part_id", "facility_id").alias("seq")
+    entities = _entities(spark, sf).select("visit_id", "label", "text", "confidence", order)
+    return build_graph(star.visits(spark, sf), entities)
+
+
+_SQL_BUILT = f"""{SQL_GRAPH}, en AS (SELECT visit_id, {_SQL_LABEL} AS label, name AS text, confidence, row(visit_id, edge_date, seq, part_id, facility_id) AS k FROM raw_edges),
+ty AS (SELECT *, sha256(lower(label) || '|' || text) AS id, {_sql_case(ENTITY_ROUTES, 'upper(label)', 'upper(label)')} AS node_type,
+  {_sql_case(ENTITY_RELATIONS, 'upper(label)', "'RELATED_TO'")} AS type FROM en)"""
+
+
+@query("g26_built_nodes", f"""WITH {_SQL_BUILT}
+SELECT node_type, id, arg_min(text, k) AS name, max(confidence) AS confidence FROM ty GROUP BY node_type, id
+UNION ALL SELECT DISTINCT 'PATIENT', 'patient_' || patient_id, patient_id::VARCHAR, NULL FROM visits
+UNION ALL SELECT DISTINCT 'VISIT', 'visit_' || visit_id, visit_id::VARCHAR, NULL FROM visits""")
+def g26_nodes(spark, sf):
+    return _built(spark, sf)[0].select("node_type", "id", "name", "confidence")
+
+
+@query("g26_built_edges", f"""WITH {_SQL_BUILT}
+SELECT 'patient_' || patient_id AS src, 'HAS_VISIT' AS type, 'visit_' || visit_id AS dst FROM visits
+UNION SELECT 'visit_' || visit_id, type, id FROM ty""")
+def g26_edges(spark, sf):
+    return _built(spark, sf)[1]
