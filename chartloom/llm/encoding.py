@@ -17,7 +17,7 @@ from array import array
 
 import numpy as np
 
-from chartloom.llm.shared import BASES, lower_ascii, range_hashes, word_bounds
+from chartloom.llm.shared import BASES, WORKER_TABLES, claim_worker, lower_ascii, range_hashes, word_bounds
 
 _ASCII_SPACE = " \t\n\x0b\x0c\r"
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
@@ -41,6 +41,7 @@ KEEP = 600_000
 KEEP_WORDS = 200_000
 
 _encoders: dict[str, Encoder] = {}
+WORKER_TABLES.append(_encoders)
 
 
 def tokenizer_path(name: str) -> str:
@@ -240,6 +241,7 @@ class Encoder:
 
 def encoder(name: str) -> Encoder:
     """One encoder per worker and tokenizer."""
+    claim_worker("encoding")
     if name not in _encoders:
         _encoders[name] = Encoder(name)
     return _encoders[name]

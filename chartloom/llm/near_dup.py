@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chartloom.llm.links import components
-from chartloom.llm.shared import BASES, byte_chunks, lower_ascii, range_hashes, saved, small_batches, sorted_groups, text_bytes, whole_text, word_bounds
+from chartloom.llm.shared import BASES, byte_chunks, claim_worker, lower_ascii, range_hashes, saved, small_batches, sorted_groups, text_bytes, whole_text, word_bounds
 from chartloom.llm.vector_links import _unite
 
 SHINGLE = 5
@@ -39,6 +39,8 @@ BASE, RATE, LIMIT = 1.02, 20.0, 2000
 #: Meetings with a lower estimate are chance; far below any link.
 LEAST_ESTIMATE = 0.2
 BLOCK = 1024
+#: Pairs added at a time when intersections are counted.
+PAIRS = 1_000_000
 
 
 # ---------------------------------------------------------------- shingles and sketches
@@ -120,6 +122,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     def work(batches):
         import pyarrow as pa
 
+        claim_worker("near_dup")
         for batch in batches:
             raw, starts = text_bytes(batch.column(1))
             for a, b in byte_chunks(starts, 1 << 20):
@@ -188,8 +191,10 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(col_b, kind="stable")
     sorted_rows, edge = row_b[order], np.concatenate([[0], np.cumsum(in_b)])
     some = np.flatnonzero((work > 0)[col_a] & ~dense[col_a])
-    for i in range(0, len(some), 20_000):
-        part = some[i:i + 20_000]
+    grown = np.cumsum(in_b[col_a[some]])
+    edges = [0, *(np.flatnonzero(np.diff(grown // PAIRS)) + 1).tolist(), len(some)]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        part = some[i:j]
         n = in_b[col_a[part]]
         places = np.repeat(edge[col_a[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         np.add.at(out, (np.repeat(row_a[part], n), sorted_rows[places]), 1)
@@ -220,6 +225,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFr
     def work(batches):
         import pyarrow as pa
 
+        claim_worker("near_dup")
         for batch in batches:
             raw, starts = text_bytes(batch.column(0))
             nodes = batch.column(1).to_pylist()

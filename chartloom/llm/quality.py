@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from chartloom.llm.shared import BASES, byte_chunks, range_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
+from chartloom.llm.shared import BASES, byte_chunks, claim_worker, range_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
 
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
@@ -163,6 +163,7 @@ def scorer(model: tuple[np.ndarray, float]):
     def score(texts):
         import pyarrow as pa
 
+        claim_worker("quality")
         raw, starts = text_bytes(texts)
         out = [score_texts(raw[starts[a]:starts[b]], starts[a:b + 1] - starts[a], weights, bias) for a, b in byte_chunks(starts)]
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())

@@ -18,6 +18,18 @@ BATCH_ROWS = 500
 
 _local_folder: dict[str, str] = {}
 
+#: Tables that a Python worker keeps between tasks, and the operator that filled them.
+WORKER_TABLES: list[dict] = []
+_claims: list[str] = []
+
+
+def claim_worker(operator: str) -> None:
+    """Called by the tasks of an operator: a worker that served another one forgets its tables."""
+    if _claims != [operator]:
+        for table in WORKER_TABLES:
+            table.clear()
+        _claims[:] = [operator]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
@@ -103,6 +115,7 @@ def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+WORKER_TABLES.append(_POWERS)
 #: Odd multipliers of the two word fingerprints.
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 

@@ -237,10 +237,10 @@ def fetch(spark: SparkSession, path: str, tokenizer: str, keys: list[int]) -> Da
                 inside = [k for k in wanted if row["first_key"] <= k <= row["last_key"]]
                 for key, at in zip(inside, Index(row["index"]).find(np.array(inside, np.int64)).tolist(), strict=True):
                     if at >= 0:
-                        stored, _, n = _HEAD.unpack_from(row["payload"], at)
+                        _, stored, first, n = next(_records(row["payload"][at:], 1, wide))
                         if stored == key:
                             out["key"].append(key)
-                            out["ids"].append(_ids(row["payload"], at + _HEAD.size, n, wide).tolist())
+                            out["ids"].append(_ids(row["payload"], at + first, n, wide).tolist())
             yield pa.RecordBatch.from_pydict(out, pa.schema([("key", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
     may = F.lit(False)
