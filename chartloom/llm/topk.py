@@ -50,7 +50,7 @@ def _statistics(x: np.ndarray, segments: list[tuple[int, int]]) -> np.ndarray:
     for a, b in segments:
         part = x[:, a:b]
         columns += [part.mean(1) * np.sqrt(b - a), part.std(1) * np.sqrt(b - a)]
-    return np.stack(columns, 1)
+    return np.stack(columns, 1) if columns else np.zeros((len(x), 0))
 
 
 def _exact(candidates: np.ndarray, query: np.ndarray, safe: bool) -> np.ndarray:
@@ -126,7 +126,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "v
             n = table.num_rows
             flat = table.column("v").combine_chunks()
             values = (flat.flatten() if n else pa.array([], pa.int64())).to_numpy(zero_copy_only=False).astype(np.int64)
-            return table.column("id").to_numpy(), values.reshape(n, -1) if n else values.reshape(0, 0)
+            return table.column("id").to_numpy(), values.reshape(n, len(values) // max(n, 1))
 
         (query_ids, q), (ids, x) = matrix(one), matrix(other)
         columns = best_of_slice(query_ids, q, ids, x, k)
