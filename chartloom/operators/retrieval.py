@@ -258,17 +258,23 @@ def population_report(rows: DataFrame) -> DataFrame:
 SEARCHES = {"patient": 5, "condition": 3, "query": 3, "entity": 2}
 
 
-def vector_evidence(corpus: DataFrame, searches: DataFrame, metric: str = "cosine") -> DataFrame:
+def vector_evidence(corpus: DataFrame, searches: DataFrame, metric: str = "cosine", own: DataFrame | None = None) -> DataFrame:
     """Evidence rows of all searches (query_id, kind, embedding) in one scan of the corpus.
 
     Every kind keeps its own number of results; the scan finds the largest
-    number once and the smaller kinds are cut by rank.
+    number once and the smaller kinds are cut by rank.  ``own`` (query_id,
+    content) names the asker's own timeline, which comes first with relevance 1.
     """
     from chartloom.operators.vectors import nearest
     keyed = searches.select(F.concat_ws("|", "kind", F.col("query_id").cast("string")).alias("query_id"), "embedding")
     found = nearest(corpus, keyed, max(SEARCHES.values()), metric)
     kind, parts = F.substring_index("query_id", "|", 1), F.substring_index("query_id", "|", -1)
     limit = F.element_at(F.create_map(*[x for k, n in SEARCHES.items() for x in (F.lit(k), F.lit(n))]), kind)
-    return found.filter(F.col("rank") <= limit).select(
+    rows = found.filter(F.col("rank") <= limit).select(
         parts.alias("query_id"), kind.alias("result_type"), F.col("similarity").alias("relevance"), F.col("id").alias("content"),
         F.col("rank").alias("position"))
+    if own is None:
+        return rows
+    first = own.select(F.col("query_id").cast("string").alias("query_id"), F.lit("timeline").alias("result_type"), F.lit(1.0).alias("relevance"),
+                       F.col("content").cast(rows.schema["content"].dataType).alias("content"), F.lit(0).alias("position"))
+    return first.unionByName(rows)

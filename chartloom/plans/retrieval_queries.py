@@ -52,20 +52,22 @@ def _searches(spark, sf):
     own = corpus.join(asked, "id").join(means, "label").withColumn("v", F.col("embedding").cast("array<double>"))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("embedding")) for k, v in (
         ("patient", F.col("v")), ("condition", F.col("mean")), ("query", F.reverse("v")), ("entity", F.reverse("mean")))])
-    return corpus, own.select(F.col("id").alias("query_id"), F.explode(kinds).alias("s")).select("query_id", "s.kind", "s.embedding")
+    timelines = own.select(F.col("id").alias("query_id"), F.col("id").alias("content"))
+    return corpus, own.select(F.col("id").alias("query_id"), F.explode(kinds).alias("s")).select("query_id", "s.kind", "s.embedding"), timelines
 
 
 _SQL_EVIDENCE = f"""{_SQL_CENTROIDS}, own AS (SELECT e.id AS query_id, e.v, cen.v AS m FROM e JOIN cen ON cen.query_id = e.label WHERE e.id IN (SELECT conv_id FROM conversations)),
 search AS (SELECT query_id, 'patient' AS kind, v, 5 AS k FROM own UNION ALL SELECT query_id, 'condition', m, 3 FROM own
   UNION ALL SELECT query_id, 'query', list_reverse(v), 3 FROM own UNION ALL SELECT query_id, 'entity', list_reverse(m), 2 FROM own),
 vec AS (SELECT query_id::VARCHAR AS query_id, kind, id, 1 - d AS relevance, position FROM (SELECT query_id, kind, k, id, d, row_number() OVER (PARTITION BY query_id, kind ORDER BY d, id) AS position FROM (
-  SELECT s.query_id, kind, k, e.id, round(1 - list_cosine_similarity(s.v, e.v), 9) AS d FROM search s JOIN e ON true)) WHERE position <= k)"""
+  SELECT s.query_id, kind, k, e.id, round(1 - list_cosine_similarity(s.v, e.v), 9) AS d FROM search s JOIN e ON true)) WHERE position <= k
+  UNION ALL SELECT query_id::VARCHAR, 'timeline', query_id, 1.0, 0 FROM own)"""
 
 
 @query("h04_vector_evidence", f"WITH {_SQL_EVIDENCE} SELECT query_id, kind AS result_type, id AS content, round(relevance, 6) AS relevance, position::INT AS position FROM vec")
 def h04(spark, sf):
-    corpus, searches = _searches(spark, sf)
-    return H.vector_evidence(spread(corpus), searches).withColumn("relevance", F.round("relevance", 6))
+    corpus, searches, own = _searches(spark, sf)
+    return H.vector_evidence(spread(corpus), searches, own=own).withColumn("relevance", F.round("relevance", 6))
 
 
 def _graph(spark, sf):
@@ -142,8 +144,8 @@ def h09(spark, sf):
 
 
 def _evidence(spark, sf):
-    corpus, searches = _searches(spark, sf)
-    found = H.vector_evidence(spread(corpus), searches)
+    corpus, searches, own = _searches(spark, sf)
+    found = H.vector_evidence(spread(corpus), searches, own=own)
     vector = H.tag(found.withColumn("note", F.concat_ws(":", "result_type", F.lpad(F.col("position").cast("string"), 2, "0"), F.col("content").cast("string"))),
                    "vector", F.col("relevance"), ["vectors", "similar"], F.col("note"))
     _, v, e = _graph(spark, sf)

@@ -20,17 +20,18 @@ def read_files(spark: SparkSession, path: str, pattern: str | None = None, with_
 def write_documents(docs: DataFrame, path: str, patient: str = "patient_id", buckets: int | None = None) -> None:
     """Documents by category and patient; rows of one patient meet in few files per category.
 
-    The rows are spread over (category, patient, salt), so a patient with very
-    many documents is written by several tasks.  With very many patients pass
+    The rows are rebalanced by folder: large folders are split and small ones
+    joined by their measured sizes, so a patient with very many documents is
+    written by as many tasks as they need.  With very many patients pass
     ``buckets``: folders then hold a hash bucket of patients each.
     """
     category = F.when(mime_category(F.col("mime")) == "image", "image").otherwise("document")
-    salted = docs.withColumn("category", category).withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    salted = docs.withColumn("category", category)
     folder = patient
     if buckets:
         folder = "patient_bucket"
         salted = salted.withColumn(folder, F.pmod(F.xxhash64(patient), F.lit(buckets)))
-    (salted.repartition("category", folder, "__salt").drop("__salt")
+    (salted.hint("rebalance", "category", folder)
      .write.mode("overwrite").partitionBy("category", folder).parquet(path))
 
 
