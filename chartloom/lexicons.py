@@ -450,8 +450,6 @@ FACT_NOTES = ["assessment", "plan", "progress", "follow-up"]
 
 NODE_LABELS = ["Patient", "Visit", "Condition", "Medication", "Test", "Procedure", "Symptom",
                "Provider", "Facility"]
-NODE_ALIASES = {"Person": "Patient", "MedicalEncounter": "Visit", "MedicalCondition": "Condition",
-                "Drug": "Medication", "LabTest": "Test", "MedicalProcedure": "Procedure"}
 RELATION_TYPES = [
     "HAS_VISIT", "DIAGNOSED_WITH", "PRESCRIBED", "PERFORMED", "UNDERWENT", "TREATED_WITH",
     "INDICATES", "EXHIBITS_SYMPTOM", "CONTRAINDICATED_WITH", "ALLERGIC_TO", "RELATED_TO",

@@ -145,7 +145,8 @@ def similar_patients(patients: DataFrame, conditions: DataFrame, seeds: DataFram
     the same gender (null means any) and an age within the span; the first ``limit`` by id.
 
     The join is on condition and age, not on condition alone: a seed asks for
-    each age in its range, and gender is part of the key where it is given.
+    each age in its range.  Only the first rows of each (condition, age, gender)
+    meet it, so a seed sees a few hundred rows at most.
     """
     cohort = conditions.select("patient_id", "condition").distinct().join(patients.select("patient_id", "age", "gender"), "patient_id")
     wanted = seeds.select("seed_id", "condition", F.col("gender").alias("seed_gender"),
@@ -203,7 +204,7 @@ def population_insight(cohort: DataFrame, n_patients: DataFrame, medications: Da
                .groupBy("condition").agg(F.count(F.lit(1)).alias("treated")))
     total = n_patients.agg(F.count(F.lit(1)).alias("n_all"))
     df = per.join(bands, "condition").join(treated, "condition", "left").fillna(0, ["treated"])
-    df = df.withColumn("__k", F.lit(1)).join(total.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    df = df.crossJoin(total)  # one row
     return df.select("condition", "population_size", "patients", (F.col("patients") / F.col("n_all")).alias("prevalence_rate"),
                      F.when(F.col("recent") > F.col("earlier"), "increasing").when(F.col("recent") < F.col("earlier"), "decreasing")
                      .otherwise("stable").alias("trend_direction"), "age_18_40", "age_41_65", "age_65_plus",

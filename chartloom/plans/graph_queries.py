@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chartloom.lexicons import ENTITY_RELATIONS, ENTITY_ROUTES, NODE_LABELS, RELATION_TYPES
+from chartloom.lexicons import ENTITY_RELATIONS, ENTITY_ROUTES, NODE_LABELS, NODE_MERGE, RELATION_TYPES
 from chartloom.operators import graph as G
 from chartloom.plans import star
 from chartloom.plans.registry import query, table
@@ -86,15 +86,20 @@ def g03(spark, sf):
             .agg(F.count(F.lit(1)).alias("mentions")))
 
 
-def _register_entity_merge(name, relation, attrs_sql, defaults, label):
+def _register_entity_merge(name, relation, node, label):
+    """Merge rule of a node label: declared defaults, and which confidences keep their maximum."""
+    defaults, kept = NODE_MERGE[node]
+    score = "confidence_score" in kept
+    score_sql = (""", CASE WHEN arg_min(row(confidence_score), k)[1] IS NULL THEN CASE WHEN max(confidence_score) > 0 THEN max(confidence_score) END
+       ELSE max(confidence_score) END AS confidence_score""" if score else "")
     default_sql = ", ".join(f"'{v}' AS {k}" for k, v in defaults.items())
 
     @query(name, f"""
 WITH {SQL_RAW_EDGES},
 u AS (SELECT sha256(lower('{label}') || '|' || name) AS id, name, visit_id, row(visit_id, edge_date, seq, part_id, facility_id) AS k,
-             nullif(confidence, 0.07) AS confidence FROM raw_edges WHERE type = '{relation}')
+             nullif(confidence, 0.07) AS confidence, nullif(quantity, 7) / 50.0 AS confidence_score FROM raw_edges WHERE type = '{relation}')
 SELECT id, arg_min(name, k) AS name, arg_min(visit_id, k) AS first_visit, {default_sql + ', ' if default_sql else ''}
-       CASE WHEN arg_min(row(confidence), k)[1] IS NULL THEN NULL ELSE max(confidence) END AS confidence
+       CASE WHEN arg_min(row(confidence), k)[1] IS NULL THEN NULL ELSE max(confidence) END AS confidence{score_sql}
 FROM u GROUP BY id""")
     def run(spark, sf):
         e = star.raw_edges(spark, sf).filter(F.col("type") == relation)
@@ -102,16 +107,17 @@ FROM u GROUP BY id""")
                            F.col("visit_id").alias("first_visit"),
                            *[F.lit(None).cast("string").alias(d) for d in defaults],
                            F.struct("visit_id", "edge_date", "seq", "part_id", "facility_id").alias("seq"),
-                           F.nullif(F.col("confidence"), F.lit(0.07)).alias("confidence"))
+                           F.nullif(F.col("confidence"), F.lit(0.07)).alias("confidence"),
+                           (F.nullif(F.col("quantity").cast("double"), F.lit(7.0)) / 50.0).alias("confidence_score"))
         attrs = ["name", "first_visit", *defaults]
-        return G.merge_first_keep_max(updates.limit(0), updates, ["id"], "seq", attrs, ["confidence"], defaults)
+        return G.merge_first_keep_max(updates.limit(0), updates, ["id"], "seq", attrs, kept, defaults)
     return run
 
 
-_register_entity_merge("g04_condition_merge", "DIAGNOSED_WITH", "", {"status": "active"}, "CONDITION")
-_register_entity_merge("g05_medication_merge", "PRESCRIBED", "", {}, "MEDICATION")
-_register_entity_merge("g06_test_merge", "PERFORMED", "", {"status": "completed", "test_category": "lab"}, "TEST")
-_register_entity_merge("g07_procedure_merge", "UNDERWENT", "", {"status": "completed"}, "PROCEDURE")
+_register_entity_merge("g04_condition_merge", "DIAGNOSED_WITH", "Condition", "CONDITION")
+_register_entity_merge("g05_medication_merge", "PRESCRIBED", "Medication", "MEDICATION")
+_register_entity_merge("g06_test_merge", "PERFORMED", "Test", "TEST")
+_register_entity_merge("g07_procedure_merge", "UNDERWENT", "Procedure", "PROCEDURE")
 
 
 @query("g08_generic_merge", """

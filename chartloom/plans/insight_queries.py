@@ -173,11 +173,11 @@ def i12(spark, sf):
     return _similar(spark, sf)[1]
 
 
-@query("i13_outcome_comparison", f"""WITH {_SQL_CLINICAL}, {_SQL_SIMILAR} SELECT seed_id, count(patient_id) AS n, count(patient_id) // 3 AS better,
+@query("i13_outcome_comparison", f"""WITH {_SQL_CLINICAL}, {_SQL_SIMILAR} SELECT seed_id, count(patient_id) AS n, count(patient_id) // 3 AS better, count(patient_id) // 3 AS similar, count(patient_id) // 3 AS worse,
   CASE WHEN count(patient_id) > 0 THEN 0.8 ELSE 0 END::DOUBLE AS similarity_score, CASE WHEN count(patient_id) > 0 THEN 'medium' ELSE 'low' END AS confidence
 FROM seeds LEFT JOIN sim USING (seed_id) GROUP BY seed_id""")
 def i13(spark, sf):
-    return I.compare_outcomes(*_similar(spark, sf)).select("seed_id", "n", "better", "similarity_score", "confidence")
+    return I.compare_outcomes(*_similar(spark, sf)).select("seed_id", "n", "better", "similar", "worse", "similarity_score", "confidence")
 
 
 @query("i14_cohort_rows", f"""WITH {_SQL_CLINICAL} SELECT patient_id, age, gender, visit_date::VARCHAR AS visit_date, ce.name AS condition FROM ce JOIN visits USING (visit_id) JOIN p USING (patient_id)
@@ -204,6 +204,7 @@ def i15(spark, sf):
 t AS (SELECT DISTINCT c.patient_id, condition FROM c JOIN ce ON ce.visit_id = c.visit_id AND ce.type = 'PRESCRIBED')
 SELECT condition, count(*) AS population_size, count(DISTINCT patient_id) AS patients, round(count(DISTINCT patient_id) / (SELECT count(*) FROM p)::DOUBLE, 6) AS prevalence_rate,
   CASE WHEN count(*) FILTER (visit_date >= DATE '{AS_OF}' - 365) > count(*) FILTER (visit_date < DATE '{AS_OF}' - 365) THEN 'increasing' WHEN count(*) FILTER (visit_date >= DATE '{AS_OF}' - 365) < count(*) FILTER (visit_date < DATE '{AS_OF}' - 365) THEN 'decreasing' ELSE 'stable' END AS trend_direction,
+  count(DISTINCT patient_id) FILTER (age BETWEEN 18 AND 40) AS age_18_40, count(DISTINCT patient_id) FILTER (age BETWEEN 41 AND 65) AS age_41_65,
   count(DISTINCT patient_id) FILTER (age > 65) AS age_65_plus, round((SELECT count(*) FROM t WHERE t.condition = c.condition) / count(DISTINCT patient_id)::DOUBLE, 6) AS treated_share,
   CASE WHEN count(*) > 50 THEN 'medium' ELSE 'low' END AS confidence FROM c GROUP BY condition""")
 def i16(spark, sf):
@@ -215,7 +216,7 @@ def i16(spark, sf):
             .join(e.filter("type = 'PRESCRIBED'").select("visit_id"), "visit_id", "left_semi").select("patient_id", "condition"))
     out = I.population_insight(cohort, p, both, AS_OF)
     return out.select("condition", "population_size", "patients", F.round("prevalence_rate", 6).alias("prevalence_rate"), "trend_direction",
-                      "age_65_plus", F.round("treated_share", 6).alias("treated_share"), "confidence")
+                      "age_18_40", "age_41_65", "age_65_plus", F.round("treated_share", 6).alias("treated_share"), "confidence")
 
 
 # --- recommendations ---------------------------------------------------------
