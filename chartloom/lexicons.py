@@ -88,7 +88,6 @@ LABEL_CONFIDENCE = {
 }
 DEFAULT_CONFIDENCE = 0.75
 
-_RANGE = r"(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?"
 CLINICAL_LEXICON = {
     "MEDICATION": [
         r"\b\w+\s*(?:mg|g|ml|mcg|units?|tablets?|capsules?|drops?|patches?)\b",
@@ -97,12 +96,12 @@ CLINICAL_LEXICON = {
         r"\b\w+\s*(?:injection|infusion|IV|intramuscular|subcutaneous)\b",
     ],
     "LAB_VALUE": [
-        r"\b(?:hemoglobin|hgb|hb)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:g/dL|g/dl)?\s*" + _RANGE + r"(?:\s*g/dL|g/dl)?)?\b",
-        r"\b(?:platelet count|platelets|plt)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?\s*" + _RANGE + r"(?:\s*/uL|/ul|k/uL|k/ul)?)?\b",
-        r"\b(?:neutrophils|lymphocytes|monocytes|eosinophils|basophils)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*%?\s*" + _RANGE + r"%?)?\b",
-        r"\b(?:white blood cell count|wbc|white cell count)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?\s*" + _RANGE + r"(?:\s*/uL|/ul|k/uL|k/ul)?)?\b",
-        r"\b(?:red blood cell count|rbc|red cell count)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:/uL|/ul|M/uL|M/ul|×10⁶/μL)?\s*" + _RANGE + r"(?:\s*/uL|/ul|M/uL|M/ul)?)?\b",
-        r"\b(?:hematocrit|hct)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*%?\s*" + _RANGE + r"%?)?\b",
+        r"\b(?:hemoglobin|hgb|hb)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:g/dL|g/dl)?\s*(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?(?:\s*g/dL|g/dl)?)?\b",
+        r"\b(?:platelet count|platelets|plt)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?\s*(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?(?:\s*/uL|/ul|k/uL|k/ul)?)?\b",
+        r"\b(?:neutrophils|lymphocytes|monocytes|eosinophils|basophils)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*%?\s*(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?%?)?\b",
+        r"\b(?:white blood cell count|wbc|white cell count)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?\s*(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?(?:\s*/uL|/ul|k/uL|k/ul)?)?\b",
+        r"\b(?:red blood cell count|rbc|red cell count)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*(?:/uL|/ul|M/uL|M/ul|×10⁶/μL)?\s*(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?(?:\s*/uL|/ul|M/uL|M/ul)?)?\b",
+        r"\b(?:hematocrit|hct)\s*(?:\(.*?\))?\s*[:=]?\s*\d+(?:\.\d+)?\s*%?\s*(?:,?\s*range?\s*[:=]?\s*\d+(?:\.\d+)?\s*[-–]\s*\d+(?:\.\d+)?%?)?\b",
         r"\b\w+\s*[:=]\s*\d+(?:\.\d+)?\s*(?:mg/dL|mmol/L|%|mEq/L|g/dL|IU/L|ng/mL|pg/mL|mcg/L)\b",
         r"\bHbA1c\s*[:=]\s*\d+(?:\.\d+)?%?\b",
         r"\b(?:glucose|cholesterol|triglycerides|HDL|LDL|creatinine|BUN|TSH|PSA)\s*[:=]\s*\d+(?:\.\d+)?\s*\w+/?\w*\b",
@@ -176,15 +175,13 @@ TEMPORAL_LEXICON = [
     ("TEMPORAL_RELATIVE", "relative_time", r"\b(yesterday|today|tomorrow|last week|next week|last month|next month)\b"),
 ]
 
-_LAB_TAIL = r"\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)"
-_LAB_HEAD = r"\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)"
 LAB_RANGE_PATTERNS = [
-    r"\b(?:hemoglobin|hgb|hb)" + _LAB_HEAD + r"\s*(?:g/dL|g/dl)?" + _LAB_TAIL + r"(?:\s*g/dL|g/dl)?)?",
-    r"\b(?:platelet\s*count|platelets|plt)" + _LAB_HEAD + r"\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?" + _LAB_TAIL + r"(?:\s*/uL|/ul|k/uL|k/ul)?)?",
-    r"\b(?:neutrophils|lymphocytes|monocytes|eosinophils|basophils)" + _LAB_HEAD + r"\s*%?" + _LAB_TAIL + r"%?)?",
-    r"\b(?:white\s*blood\s*cell\s*count|wbc|white\s*cell\s*count)" + _LAB_HEAD + r"\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?" + _LAB_TAIL + r"(?:\s*/uL|/ul|k/uL|k/ul)?)?",
-    r"\b(?:red\s*blood\s*cell\s*count|rbc|red\s*cell\s*count)" + _LAB_HEAD + r"\s*(?:/uL|/ul|M/uL|M/ul|×10⁶/μL)?" + _LAB_TAIL + r"(?:\s*/uL|/ul|M/uL|M/ul)?)?",
-    r"\b(?:hematocrit|hct)" + _LAB_HEAD + r"\s*%?" + _LAB_TAIL + r"(?:\s*g/dL|g/dl)?)?",
+    r"\b(?:hemoglobin|hgb|hb)\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*(?:g/dL|g/dl)?\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)(?:\s*g/dL|g/dl)?)?",
+    r"\b(?:platelet\s*count|platelets|plt)\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)(?:\s*/uL|/ul|k/uL|k/ul)?)?",
+    r"\b(?:neutrophils|lymphocytes|monocytes|eosinophils|basophils)\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*%?\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)%?)?",
+    r"\b(?:white\s*blood\s*cell\s*count|wbc|white\s*cell\s*count)\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*(?:/uL|/ul|k/uL|k/ul|×10³/μL)?\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)(?:\s*/uL|/ul|k/uL|k/ul)?)?",
+    r"\b(?:red\s*blood\s*cell\s*count|rbc|red\s*cell\s*count)\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*(?:/uL|/ul|M/uL|M/ul|×10⁶/μL)?\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)(?:\s*/uL|/ul|M/uL|M/ul)?)?",
+    r"\b(?:hematocrit|hct)\s*(?:\([^)]*\))?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*%?\s*(?:,?\s*range?\s*[:=]?\s*(\d+(?:\.\d+)?)\s*[-–]\s*(\d+(?:\.\d+)?)(?:\s*g/dL|g/dl)?)?",
 ]
 
 # --- fixed values: label maps ----------------------------------------------
