@@ -204,9 +204,30 @@ def e13(spark, sf):
                                     F.expr(E.entity_artifact_sql("text")).alias("entity_artifact"))
 
 
-@query("e14_ocr_corrections")
+def _sql_ocr(text):
+    """The corrections without look-ahead: the next sign is captured and put back, the end is a step of its own."""
+    table_, gates = {}, {"digit": f"regexp_matches({text}, '[0-9]')", "letters": f"regexp_matches({text}, '[a-zA-Z]{{3,}}')"}
+    for wrong, right in L.OCR_CORRECTIONS.items():
+        table_.setdefault(wrong.lower(), right)
+    fixed = text
+    for gate, pattern, replacement in L.OCR_STEPS:
+        if "(?=" in pattern:
+            head, ahead = pattern[:-1].split("(?=")
+            signs = "|".join(x for x in ahead.split("|") if x != "$")
+            step = f"regexp_replace({fixed}, '{head}({signs})', '{replacement}\\1', 'g')"
+            if "$" in ahead.split("|"):
+                step = f"regexp_replace({step}, '{head}$', '{replacement}')"
+        else:
+            step = f"regexp_replace({fixed}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
+        fixed = f"CASE WHEN {gates[gate]} THEN {step} ELSE {fixed} END" if gate else step
+    return f"coalesce({X.lookup(f'lower({text})', table_)}, {fixed})"
+
+
+@query("e14_ocr_corrections", f"""WITH {SQL_NOTES}, {_SQL_WORDS},
+al AS (SELECT text FROM words UNION ALL SELECT unnest(string_split_regex(text, '\\s+')) FROM documents)
+SELECT text, count(*) AS n, {_sql_ocr('text')} AS corrected FROM al GROUP BY text""")
 def e14(spark, sf):
-    """Corrections of the words of all documents and notes (look-ahead rules, no SQL twin)."""
+    """Corrections of the words of all documents and notes."""
     words = _documents(spark, sf).select(F.explode(F.split("text", r"\s+")).alias("text"))
     both = words.unionAll(_words(spark, sf).select("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     return both.withColumn("corrected", F.expr(E.ocr_fix_sql("text")))
