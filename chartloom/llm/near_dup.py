@@ -7,8 +7,9 @@ registerwise maxima, and equal registers are as likely as shared shingles.
 
 Equal sets are one node.  Bands of registers bring nodes together; a joint
 likelihood over the registers estimates their similarity and drops chance
-meetings; what is left forms groups.  Links are only made on full sets.  Each
-group has a hub, the node that shares most bands, and every node is compared
+meetings; what is left forms groups.  In a band's bucket all nodes meet its
+smallest and its largest node; those that neither is near enough to speak for
+meet each other, in blocks.  Links are only made on full sets.  Each group has a hub, the node that shares most bands, and every node is compared
 with it.  Nodes that do not link to their hub are compared with all nodes of
 their group, in blocks.  Nodes that are all linked to the hub need no more
 comparisons: they are in one component.
@@ -38,6 +39,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.02, 20.0, 2000
 #: Meetings with a lower estimate are chance; far below any link.
 LEAST_ESTIMATE = 0.2
+#: Below the least similarity of a link: how far an estimate may lie under the similarity (7 deviations at 0.75).
+MARGIN = 0.25
 BLOCK = 1024
 #: Pairs added at a time when intersections are counted.
 PAIRS = 1_000_000
@@ -85,23 +88,29 @@ def merge(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.maximum(one, other)
 
 
-def estimate(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.ndarray) -> np.ndarray:
-    """Most likely similarity of each pair of sketches, given the set sizes.
-
-    Registers are larger on one side, on the other, or equal; their chances
-    follow from the similarity, and the likelihood has one maximum.
-    """
+def _likelihood(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.ndarray):
+    """(log likelihood of a similarity, largest similarity that the sizes allow) of each pair of sketches."""
     larger, smaller = (one > other).sum(1), (one < other).sum(1)
     equal = one.shape[1] - larger - smaller
     u = n_one / (n_one + n_other)
     v = 1 - u
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
-    low, high = np.zeros(len(u)), np.minimum(u, v) / np.maximum(u, v)
 
     def likelihood(j):
         a, b = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
         return larger * np.log(a) + smaller * np.log(b) + equal * np.log(np.maximum(1 - a - b, 1e-12))
 
+    return likelihood, np.minimum(u, v) / np.maximum(u, v)
+
+
+def estimate(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.ndarray) -> np.ndarray:
+    """Most likely similarity of each pair of sketches, given the set sizes.
+
+    Registers are larger on one side, on the other, or equal; their chances
+    follow from the similarity, and the likelihood has one maximum.
+    """
+    likelihood, high = _likelihood(one, other, n_one, n_other)
+    low = np.zeros(len(high))
     for _ in range(40):
         third = (high - low) / 3
         left, right = low + third, high - third
@@ -110,13 +119,21 @@ def estimate(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.
     return (low + high) / 2
 
 
+def reaches(one: np.ndarray, other: np.ndarray, n_one: np.ndarray, n_other: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate of each pair is ``least`` or more: the likelihood still rises there."""
+    if least <= 0:
+        return np.ones(len(n_one), bool)
+    likelihood, high = _likelihood(one, other, n_one, n_other)
+    return (high >= least) & (likelihood(np.minimum(least + 1e-4, high)) >= likelihood(np.minimum(least, high)))
+
+
 def _digest(prints: np.ndarray) -> tuple[int, bytes]:
     raw = hashlib.blake2b(prints.tobytes(), digest_size=16).digest()
     return int.from_bytes(raw[:8], "little", signed=True), raw
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n (shingles), node (of the set), registers; node and registers are null for empty sets."""
+    """key, print (of the text), n (shingles), node (of the set), registers; node and registers are null for empty sets."""
     small_batches(docs.sparkSession)
 
     def work(batches):
@@ -124,7 +141,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         claim_worker("near_dup")
         for batch in batches:
-            raw, starts = text_bytes(batch.column(1))
+            raw, starts = text_bytes(batch.column(2))
             for a, b in byte_chunks(starts, 1 << 20):
                 prints, first = shingle_sets(raw[starts[a]:starts[b]], starts[a:b + 1] - starts[a])
                 nodes, registers = [], []
@@ -132,39 +149,89 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                     own = prints[first[i]:first[i + 1]]
                     nodes.append(_digest(own)[0] if len(own) else None)
                     registers.append(sketch(own).tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(nodes, pa.int64()),
-                                                  pa.array(registers, pa.binary())], ["key", "n", "node", "registers"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:2]), pa.array(np.diff(first)), pa.array(nodes, pa.int64()),
+                                                  pa.array(registers, pa.binary())], ["key", "print", "n", "node", "registers"])
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), whole_text(text).alias("text"))
-    return rows.mapInArrow(work, "key bigint, n bigint, node bigint, registers binary")
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64(whole_text(text)).alias("print"), whole_text(text).alias("text"))
+    return rows.mapInArrow(work, "key bigint, print bigint, n bigint, node bigint, registers binary")
 
 
 # ---------------------------------------------------------------- groups of nodes that may link
 
+def _registers(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
+
+
 @F.arrow_udf(DoubleType())
 def _estimated(one, other, n_one, n_other):
     import pyarrow as pa
 
-    def registers(column):
-        return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
-
     if not len(one):
         return pa.array([], pa.float64())
-    return pa.array(estimate(registers(one), registers(other), n_one.to_numpy().astype(float), n_other.to_numpy().astype(float)))
+    return pa.array(estimate(_registers(one), _registers(other), n_one.to_numpy().astype(float), n_other.to_numpy().astype(float)))
+
+
+def unsettled(crowded: DataFrame, settled: DataFrame) -> DataFrame:
+    """(h, node) of the nodes that are no centre of their bucket and that no centre settles; ``settled`` has a, b."""
+    rest = crowded.filter("node <> low AND node <> high")
+    for center in ("low", "high"):
+        rest = rest.join(settled, (F.least("node", center) == F.col("a")) & (F.greatest("node", center) == F.col("b")), "left_anti")
+    return rest.select("h", "node")
+
+
+def rest_meetings(rest: DataFrame, nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): enough meetings of an estimate from ``least`` on among the nodes of each bucket; all pairs of them are compared, in blocks."""
+    counts = rest.groupBy("h").agg(F.count(F.lit(1)).alias("left")).filter("left > 1")
+    blocks = F.ceil(F.col("left") / block).cast("int")
+    rows = rest.join(counts, "h").select("h", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"))
+    rows = rows.join(nodes.select("node", "n", "registers"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grid = rows.select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "n", "registers")
+    parts = max(1, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def work(batches):
+        import pyarrow as pa
+
+        for table in sorted_groups(batches, ["h", "i", "j"]):
+            i, j, mine, ids = (table.column(c).to_numpy() for c in ("i", "j", "mine", "node"))
+            n, registers = table.column("n").to_numpy().astype(float), _registers(table.column("registers"))
+            left, right = np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0])
+            names, where = np.unique(ids, return_inverse=True)
+            root = np.arange(len(names))
+            for k, x in enumerate(left):
+                to = right[k + 1:] if i[0] == j[0] else right
+                to = to[root[where[to]] != root[where[x]]]  # the others are in one group already
+                if not len(to):
+                    continue
+                to = to[reaches(registers[x][None], registers[to], np.full(len(to), n[x]), n[to], least)]
+                moved, went = _unite(root, np.full(len(to), where[x]), where[to])
+                if len(moved):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[went])], ["a", "b"])
+
+    grid = grid.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j")
+    return grid.mapInArrow(work, "a bigint, b bigint")
 
 
-def groups(nodes: DataFrame) -> DataFrame:
-    """(node, part, hub, size) of nodes that may link with others; ``nodes`` has node, n, registers."""
+def groups(nodes: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
+    """(node, part, hub, size) of nodes that may link with others; ``nodes`` has node, n, registers.
+
+    A node so near to a centre of its bucket that whatever links with it must
+    meet that centre too is settled; the others of the bucket meet each other.
+    """
     width = 2 * ROWS
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", i * width + 1, width)) for i in range(BANDS)])
     spots = nodes.select("node", F.explode(bands).alias("h"))
     crowds = spots.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("low"), F.max("node").alias("high")).filter("m > 1")
-    crowded = saved(spots.join(crowds, "h").drop("h"), "near-crowded")
-    # a bucket's nodes meet its smallest and its largest node; all pairs never appear
+    crowded = saved(spots.join(crowds, "h"), "near-crowded")
+    # a bucket's nodes meet its smallest and its largest node first
     pairs = (crowded.select("node", F.explode(F.array("low", "high")).alias("center")).filter("node <> center")
              .select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct())
     sides = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab"]
-    near = (pairs.join(sides[0], "a").join(sides[1], "b").filter(_estimated("r_a", "r_b", "n_a", "n_b") >= LEAST_ESTIMATE).select("a", "b"))
+    met = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", _estimated("r_a", "r_b", "n_a", "n_b").alias("estimate"))
+    met = saved(met.filter(F.col("estimate") >= LEAST_ESTIMATE), "near-met")
+    # distances add up: what has a similarity of percent with a settled node has LEAST_ESTIMATE and the margin with its centre
+    settled = met.filter(F.col("estimate") >= 1 - percent / 100 + LEAST_ESTIMATE + MARGIN)
+    rest = saved(unsettled(crowded, settled), "near-rest")
+    near = met.select("a", "b").unionByName(rest_meetings(rest, nodes, percent / 100 - MARGIN, block))
     members = components(near)
     popular = crowded.groupBy("node").agg(F.sum(F.col("m") - 1).alias("met"))
     members = saved(members.withColumnRenamed("id", "node").withColumnRenamed("component", "part").join(popular, "node"), "near-members")
@@ -314,7 +381,7 @@ def link_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
     rows = saved(sketches(docs, key, text), "near-sketches")
     own = rows.filter("key IS NOT NULL AND node IS NOT NULL")
     nodes = saved(own.groupBy("node", "n", "registers").agg(F.min("key").alias("key")), "near-nodes")
-    grouped = groups(nodes)
+    grouped = groups(nodes, percent, block)
     sets = saved(full_sets(docs, grouped.join(nodes.select("node", "key"), "node"), key, text), "near-sets")
     small_batches(docs.sparkSession, 200)
     hubbed = saved(hub_links(sets, percent, block), "near-hubs")

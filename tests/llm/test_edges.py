@@ -175,6 +175,24 @@ def test_near_duplicates(docs, texts):
     assert sorted(x for x in ids if x is not None) == sorted(k for k, (_, c) in want.items() if k == c) and ids.count(None) == 2
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_near_duplicates_between_strangers_of_a_bucket(spark, block):
+    """Of a bucket's nodes the smallest and the largest are strangers to the others; these are pairs of near duplicates."""
+    rng = np.random.default_rng(3)
+    draw = lambda: rng.integers(500, 1500, near_dup.REGISTERS)
+    sketches, pairs = {1: draw(), 100: draw()}, [(10, 20), (11, 21), (12, 22)]
+    for x, y in pairs:
+        sketches[x] = draw()
+        sketches[y] = sketches[x].copy()
+        sketches[y][7::4] += rng.choice([-300, 300], len(sketches[y][7::4]))  # no band but the first stays the same
+    for registers in sketches.values():
+        registers[:near_dup.ROWS] = 777
+    nodes = spark.createDataFrame([(i, 1000, bytearray(r.astype("<u2").tobytes())) for i, r in sketches.items()], "node bigint, n bigint, registers binary")
+    part = {r["node"]: r["part"] for r in near_dup.groups(nodes, 75, block).collect()}
+    assert {i for pair in pairs for i in pair} == set(part)
+    assert all(part[x] == part[y] for x, y in pairs) and len(set(part.values())) == len(pairs)
+
+
 def test_near_duplicate_families_without_a_common_hub(spark):
     """A base with variants that link to it only, chains, and a passage that many share."""
     rng = random.Random(21)
