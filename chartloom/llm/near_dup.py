@@ -368,16 +368,8 @@ def rest_links(sets: DataFrame, hubbed: DataFrame, percent: int, block: int = BL
     return grid.mapInArrow(work, "a bigint, b bigint")
 
 
-def link_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """key, n_shingles, component, kept of every row.
-
-    Words are lower-cased (A-Z) and not otherwise changed; a text of fewer words
-    than a shingle is one shingle; null and empty texts have none and link with
-    nothing, nor do null keys.  Documents link where 100 * intersection >=
-    percent * union.  The component is the smallest key reachable; of rows that
-    repeat a key, equal texts are one set and different ones are different sets.
-    An empty table gives no rows.
-    """
+def _linked(docs: DataFrame, percent: int, key: str, text: str, block: int = BLOCK) -> DataFrame:
+    """key, print (of the text), n_shingles, component, kept of every row, as ``link_documents`` describes."""
     rows = saved(sketches(docs, key, text), "near-sketches")
     own = rows.filter("key IS NOT NULL AND node IS NOT NULL")
     nodes = saved(own.groupBy("node", "n", "registers").agg(F.min("key").alias("key")), "near-nodes")
@@ -392,21 +384,35 @@ def link_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
     least = named.groupBy("component").agg(F.min("key").alias("least"))
     linked = named.join(least, "component").select(F.col("id").alias("node"), "least")
     alone = nodes.select("node", F.col("key").alias("own"))
-    out = rows.select("key", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")).join(alone, "node", "left").join(linked, "node", "left")
+    out = rows.select("key", "print", "n", F.when(F.col("key").isNotNull(), F.col("node")).alias("node")).join(alone, "node", "left").join(linked, "node", "left")
     component = F.coalesce("least", "own", "key")
-    return out.select("key", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    return out.select("key", "print", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+
+
+def link_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """key, n_shingles, component, kept of every row.
+
+    Words are lower-cased (A-Z) and not otherwise changed; a text of fewer words
+    than a shingle is one shingle; null and empty texts have none and link with
+    nothing, nor do null keys.  Documents link where 100 * intersection >=
+    percent * union.  The component is the smallest key reachable; of rows that
+    repeat a key, equal texts are one set and different ones are different sets.
+    An empty table gives no rows.
+    """
+    return _linked(docs, percent, key, text, block).drop("print")
 
 
 def kept_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The document of smallest key of each component, with all its columns.
 
     Documents without words and rows with a null key stay.  Rows that repeat a
-    key (or a null key) and a text stay once.
+    key (or a null key) and a text stay once; rows that repeat a key with
+    different texts stay or go each by its own text.
     """
-    gone = link_documents(docs, percent, key, text).filter("NOT kept").select(F.col("key").alias("__gone")).distinct()
+    gone = _linked(docs, percent, key, text).filter("NOT kept").select(F.col("key").alias("__gone"), F.col("print").alias("__gone_hash")).distinct()
     plain = F.xxhash64(whole_text(text))
     # null keys are spread by their text; they meet no key that goes
     rows = docs.withColumn("__text_hash", plain).withColumn("__place", F.coalesce(F.col(key).cast("bigint"), F.col("__text_hash")))
-    rows = rows.join(gone, (F.col("__place") == F.col("__gone")) & F.col(key).isNotNull(), "left_anti")
+    rows = rows.join(gone, (F.col("__place") == F.col("__gone")) & (F.col("__text_hash") == F.col("__gone_hash")) & F.col(key).isNotNull(), "left_anti")
     same = Window.partitionBy("__place", "__text_hash").orderBy(F.col(key))
     return rows.withColumn("__turn", F.row_number().over(same)).filter("__turn = 1").select(*docs.columns)

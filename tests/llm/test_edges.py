@@ -175,6 +175,12 @@ def test_near_duplicates(docs, texts):
     assert sorted(x for x in ids if x is not None) == sorted(k for k, (_, c) in want.items() if k == c) and ids.count(None) == 2
 
 
+def test_one_key_with_two_texts_goes_by_text(spark):
+    one, other = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    docs = spark.createDataFrame([(3, one), (5, one), (5, other), (5, other)], "doc_id bigint, text string")
+    assert sorted(collected(near_dup.kept_documents(docs))) == [(3, one), (5, other)]
+
+
 @pytest.mark.parametrize("block", [1024, 2])
 def test_near_duplicates_between_strangers_of_a_bucket(spark, block):
     """Of a bucket's nodes the smallest and the largest are strangers to the others; these are pairs of near duplicates."""
