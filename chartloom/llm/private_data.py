@@ -5,10 +5,12 @@ front of a seed are its lexical pattern.  Patterns and the identifier-like
 strings behind them form a graph: a pattern is as good as the share of its
 strings that are good, a string as good as the patterns it follows, and a few
 rounds spread the scores.  Good patterns then find identifiers that no base
-pattern knows.
+pattern knows; these bring in the other patterns they follow, and so on until no
+pattern is added.
 
 The texts are read once.  The graph has one edge per pattern and string, summed
-before the exchange, and only patterns with several seeds stay in it.
+before the exchange, and only patterns that several known identifiers follow
+are in it.
 """
 
 from __future__ import annotations
@@ -90,27 +92,45 @@ def occurrences(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__seen", F.filter(seen, lambda x: x["pattern"] != "")).drop("__candidate", "__matches")
 
 
+def _scores(graph: DataFrame, confidence: DataFrame) -> DataFrame:
+    """(value, of, score): a string is good unless every pattern it follows is wrong about it; seeds have 1."""
+    values = graph.join(confidence, ["pattern", "of"]).groupBy("value", "of").agg(
+        F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
+    return values.select("value", "of", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("score")).alias("score"))
+
+
+def _supported(edges: DataFrame, known: DataFrame, least_seeds: int) -> DataFrame:
+    """(pattern, of, seeds, good) of patterns that ``least_seeds`` different seeds or ``known`` strings (value, of, score) of a kind follow."""
+    own = edges.filter("kind IS NOT NULL").select("pattern", F.col("kind").alias("of"), F.lit(1.0).alias("score"))
+    found = edges.join(known, "value").filter(~F.col("kind").eqNullSafe(F.col("of"))).select("pattern", "of", "score")
+    return own.unionByName(found).groupBy("pattern", "of").agg(F.count(F.lit(1)).alias("seeds"), F.sum("score").alias("good")).filter(F.col("seeds") >= least_seeds)
+
+
 def good_patterns(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least: float = GOOD_PATTERN) -> DataFrame:
     """(pattern, kind, confidence) of patterns that lead to identifiers of a kind.
 
-    ``seen`` has value, pattern, kind.  Scores are computed per kind.  A pattern
-    without ``least_seeds`` different seeds of a kind cannot pass for it and is
-    left out before any join.
+    ``seen`` has value, pattern, kind.  Scores are computed per kind, in
+    ``rounds`` rounds.  A pattern enters with ``least_seeds`` different seeds of
+    a kind, or strings that scored ``least`` before; then all are scored again
+    from the shares they entered with, until no pattern is added.
     """
     edges = saved(seen.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    support = (edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("kind") == k).cast("bigint")).alias(k) for k in KINDS])
-               .select("pattern", "n", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*KINDS))).alias("of", "seeds"))
-               .filter(F.col("seeds") >= least_seeds))
-    support = saved(support, "pii-support")
-    graph = saved(edges.join(support, "pattern").select("pattern", "value", "of", "n", (F.col("kind").eqNullSafe(F.col("of"))).alias("seed")), "pii-graph")
-    confidence = support.select("pattern", "of", (F.col("seeds") / F.col("n")).alias("confidence"))
-    for _ in range(rounds):
-        scored = graph.join(confidence, ["pattern", "of"])
-        # a string is good unless every pattern it follows is wrong about it
-        values = scored.groupBy("value", "of").agg(
-            F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("score"))
-        values = values.select("value", "of", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.col("score")).alias("score"))
-        confidence = saved(graph.join(values, ["value", "of"]).groupBy("pattern", "of").agg((F.sum("score") / F.max("n")).alias("confidence")), "pii-confidence")
+    spark = edges.sparkSession
+    added = _supported(edges, spark.createDataFrame([], "value string, of string, score double"), least_seeds)
+    support = graph = None
+    while True:
+        size = edges.join(added.select("pattern").distinct(), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+        added = saved(added.join(size, "pattern").select("pattern", "of", "n", (F.col("good") / F.col("n")).alias("confidence")), "pii-support")
+        if support is not None and added.isEmpty():
+            break
+        more = edges.join(added, "pattern").select("pattern", "value", "of", "n", (F.col("kind").eqNullSafe(F.col("of"))).alias("seed"))
+        support = added if support is None else saved(support.unionByName(added), "pii-support")
+        graph = saved(more if graph is None else graph.unionByName(more), "pii-graph")
+        confidence = support.select("pattern", "of", "confidence")
+        for _ in range(rounds):
+            confidence = saved(graph.join(_scores(graph, confidence), ["value", "of"]).groupBy("pattern", "of").agg((F.sum("score") / F.max("n")).alias("confidence")), "pii-confidence")
+        known = saved(_scores(graph, confidence).filter(F.col("score") >= least), "pii-known")
+        added = _supported(edges, known, least_seeds).join(support.select("pattern", "of"), ["pattern", "of"], "left_anti")
     return confidence.filter(F.col("confidence") >= least).select("pattern", F.col("of").alias("kind"), "confidence")
 
 

@@ -175,6 +175,18 @@ def test_near_duplicates(docs, texts):
     assert sorted(x for x in ids if x is not None) == sorted(k for k, (_, c) in want.items() if k == c) and ids.count(None) == 2
 
 
+def test_contexts_found_by_found_identifiers(spark):
+    """Seeds lead to 'reach me', its unseen strings to 'badge number', and the strings of that to 'locker code'."""
+    texts = [f"reach me +1632555{1000 + i}" for i in range(30)]
+    texts += [f"reach me ab{100000 + i}" for i in range(6)]
+    texts += [f"badge number ab{100000 + i}" for i in range(12)]
+    texts += [f"locker code ab{100006 + i}" for i in range(8)]
+    texts += [f"order was zz{100000 + i}" for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["key"]: r["n_context"] for r in private_data.find_private_data(docs).collect()}
+    assert [i for i, n in sorted(got.items()) if n] == list(range(30, 56)) and max(got.values()) == 1
+
+
 def test_one_key_with_two_texts_goes_by_text(spark):
     one, other = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
     docs = spark.createDataFrame([(3, one), (5, one), (5, other), (5, other)], "doc_id bigint, text string")
