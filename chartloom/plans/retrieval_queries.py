@@ -243,13 +243,21 @@ def h18(spark, sf):
     return H.population_report(H.population_rows(v, e))
 
 
-@query("h18_patient_reports", f"""WITH {_SQL_SUMMARY.replace('header AS', 'header AS')}
-SELECT patient_id, chr(10) || '**Clinical Timeline Summary:**' || chr(10) || '- ' || summary AS timeline FROM summaries""")
+@query("h18_patient_reports", f"""WITH {SQL_GRAPH}, {_SQL_OVERVIEW}, {_SQL_TREATED}, {_SQL_LINES}, {_SQL_SUMMARY}
+SELECT o.patient_id, 1 + CASE WHEN n > 0 THEN 1 ELSE 0 END + CASE WHEN summary IS NOT NULL THEN 1 ELSE 0 END AS data_points,
+  concat_ws(chr(10), 'Patient ID: ' || o.patient_id, CASE WHEN visits > 0 THEN 'Total Visits: ' || visits END,
+  CASE WHEN len(l_conditions) > 0 THEN 'Conditions: ' || array_to_string(l_conditions[1:3], ', ') END, CASE WHEN len(l_medications) > 0 THEN 'Medication History: ' || array_to_string(l_medications[1:3], ', ') END,
+  CASE WHEN n > 0 THEN 'Active Treatments: ' || n || ' medications' END, CASE WHEN n > 0 THEN 'Key Medications: ' || key_meds END) AS overview, concat_ws(chr(10), '**Treatment Analysis for Patient ' || o.patient_id || '**' || chr(10),
+  chr(10) || 'I''ve analyzed ' || (1 + CASE WHEN n > 0 THEN 1 ELSE 0 END + CASE WHEN summary IS NOT NULL THEN 1 ELSE 0 END) || ' relevant data points from the medical knowledge base to answer your query.' || chr(10),
+  '**Patient Overview:**', '- Patient ID: ' || o.patient_id, '- Patient Name: ' || name, CASE WHEN visits > 0 THEN '- Total Medical Visits: ' || visits END, CASE WHEN visits > 0 THEN '- Latest Visit: ' || last_visit END,
+  CASE WHEN len(l_medications) > 0 THEN '- All Prescribed Medications: ' || all_medications END, CASE WHEN n > 0 THEN chr(10) || '**Current Active Treatments:**' || chr(10) || tl.lines END,
+  chr(10) || '**Clinical Timeline Summary:**' || chr(10) || '- ' || summary)
+  || chr(10) || '*This analysis is based on data from: ' || CASE WHEN n > 0 THEN 'current_treatments, ' ELSE '' END || 'graph, patient_graph' || CASE WHEN summary IS NOT NULL THEN ', patient_timeline, vectors' ELSE '' END || '*' AS report
+FROM ov o LEFT JOIN tl USING (patient_id) LEFT JOIN summaries USING (patient_id)""")
 def h18_patients(spark, sf):
-    """The timeline part of the prepared report of every patient with a timeline."""
+    """Overview with conditions and the whole prepared report of every patient, with the timeline part where there is a timeline."""
     p, v, e = _graph(spark, sf)
     entry_rows = materialize(_rounded_entries(spark, sf))
     summaries = T.summary(T.threshold_report(entry_rows, ["patient_id"], 0.9), entry_rows, ["patient_id"], 0.9)
     out = H.report_lines(H.patient_overview(p, v, e), H.current_treatments(v, e), summaries=summaries)
-    part = F.regexp_extract("report", r"(?s)(\n\*\*Clinical Timeline Summary:\*\*\n- .*)\n\*This analysis", 1)
-    return out.select("patient_id", part.alias("timeline")).filter("timeline <> ''")
+    return out.select("patient_id", "data_points", F.col("summary").alias("overview"), "report")

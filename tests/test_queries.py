@@ -19,6 +19,15 @@ def test_query_equals_sql(spark, sf, con, name):
     assert why is None, why
 
 
+def test_patient_reports_are_whole(spark, sf):
+    rows = QUERIES["h18_patient_reports"](spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert all(r["report"].startswith("**Treatment Analysis for Patient ") and r["report"].endswith("*") and "**Patient Overview:**" in r["report"] for r in rows)
+    for part in ("**Current Active Treatments:**", "**Clinical Timeline Summary:**"):
+        assert any(part in r["report"] for r in rows)
+    assert any("Conditions: " in r["overview"] for r in rows)
+
+
 def test_contract(spark):
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 170
