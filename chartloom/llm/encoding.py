@@ -3,7 +3,7 @@
 A text is cut where a run of white space begins.  No token of these tokenizers
 crosses such a place, so the ids of the parts, joined, are the ids of the text.
 Parts recur: a batch of texts asks for its distinct parts only, and their ids
-are kept, by a 64-bit fingerprint, in a bounded table per Python worker.  New
+are kept, by the bytes of the part, in a bounded table per Python worker.  New
 parts go through the tokenizers library.  Texts with white space outside ASCII
 go through the library whole.
 """
@@ -17,7 +17,7 @@ from array import array
 
 import numpy as np
 
-from chartloom.llm.shared import BASES, WORKER_TABLES, claim_worker, lower_ascii, range_hashes, word_bounds
+from chartloom.llm.shared import WORKER_TABLES, claim_worker, distinct_ranges, lower_ascii, word_bounds
 
 _ASCII_SPACE = " \t\n\x0b\x0c\r"
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]")
@@ -69,8 +69,8 @@ class Encoder:
         marks = ends if self.drops_space else [i for t, i in vocabulary.items() if t.startswith("Ġ")]
         self.mark = np.zeros(self.size, bool)
         self.mark[marks] = True
-        self.parts: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.model = self.tokenizer.model
@@ -184,17 +184,17 @@ class Encoder:
         cut[at] -= 1
         return np.insert(begin, at + 1, cut[at]), np.insert(cut, at + 1, end[at]), first + np.searchsorted(at, first)
 
-    def _known(self, prints: list[int], where: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
-        """Ids of distinct parts, by their fingerprints; ``where`` has a place of each."""
+    def _known(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
         if len(self.parts) > KEEP // 2:  # what recurs comes back from the older half
             self.older, self.parts = self.parts, {}
-        found = list(map(self.parts.get, prints))
+        found = list(map(self.parts.get, parts))
         gaps = [i for i, x in enumerate(found) if x is None]
-        older = [self.older.get(prints[i]) for i in gaps]
+        older = [self.older.get(parts[i]) for i in gaps]
         missing = [i for i, x in zip(gaps, older, strict=True) if x is None]
-        learned = iter(self._learn([raw[begin[k]:end[k]].tobytes().decode() for k in where[missing].tolist()] if missing else []))
+        learned = iter(self._learn([parts[i].decode() for i in missing]))
         for i, x in zip(gaps, older, strict=True):
-            found[i] = self.parts[prints[i]] = next(learned) if x is None else x
+            found[i] = self.parts[parts[i]] = next(learned) if x is None else x
         return found
 
     def encode(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,14 +203,9 @@ class Encoder:
         if self.folds and b"<|" not in raw.tobytes():
             raw = lower_ascii(raw)
         begin, end, first = self._parts(raw, starts)
-        prints = range_hashes(raw, begin, end, BASES[0])
-        order = np.argsort(prints)
-        ranked = prints[order]
-        new = np.ones(len(ranked), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        kind = np.empty(len(prints), np.int64)
-        kind[order] = np.cumsum(new) - 1
-        ids = self._known(ranked[new].tolist(), order[new], raw, begin, end)
+        kind, where = distinct_ranges(raw, begin, end)
+        text = raw.tobytes()
+        ids = self._known([text[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")
         n = size[kind]

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from chartloom.llm.links import components
-from chartloom.llm.shared import BASES, byte_chunks, claim_worker, lower_ascii, range_hashes, saved, small_batches, sorted_groups, text_bytes, whole_text, word_bounds
+from chartloom.llm.shared import (
+    SEEDS, byte_chunks, byte_hashes, claim_worker, lower_ascii, saved, small_batches, sorted_groups, text_bytes, whole_text, window_hashes, word_bounds,
+)
 from chartloom.llm.vector_links import _unite
 
 SHINGLE = 5
@@ -52,12 +54,17 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, size: int = SHINGLE) -> tu
     """(sorted distinct shingle fingerprints of all texts, first of each text and the end)."""
     raw = lower_ascii(raw)
     begin, end, first = word_bounds(raw, starts)
-    words = range_hashes(raw, begin, end, BASES[0])
+    words = byte_hashes(raw, begin, end)
     n = np.diff(first)
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     owner = np.repeat(np.arange(len(n)), count)
     at = first[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
-    prints = range_hashes(words, at, np.minimum(at + size, first[1:][owner]), BASES[1])
+    prints = np.empty(len(at), np.uint64)
+    length = np.minimum(n, size)[owner]
+    for k in range(1, size + 1):  # shorter texts are one shingle of all their words
+        some = np.flatnonzero(length == k)
+        if len(some):
+            prints[some] = window_hashes(words, at[some], k, SEEDS[1])
     order = np.lexsort((prints, owner))
     prints, owner = prints[order], owner[order]
     new = np.ones(len(prints), bool)

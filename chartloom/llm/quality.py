@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from chartloom.llm.shared import BASES, byte_chunks, claim_worker, range_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
+from chartloom.llm.shared import byte_chunks, byte_hashes, claim_worker, join_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
 
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
@@ -42,19 +42,18 @@ def _gram_buckets(raw: np.ndarray, order: int, bits: int) -> np.ndarray:
 
 
 def n_buckets(bits: int) -> int:
-    return ((len(ORDERS) + 1) << bits) + 2
+    return (len(ORDERS) + 2) << bits
 
 
 def feature_blocks(raw: np.ndarray, starts: np.ndarray, bits: int = BUCKET_BITS):
-    """(bucket ids, document of each) per feature kind; words first, each kind in its own range of buckets."""
+    """(bucket ids, document of each) per feature kind: words, word pairs, n-grams of letters; each kind in its own range of buckets."""
     n = len(starts) - 1
     begin, end, first = word_bounds(raw, starts)
-    words = (range_hashes(raw, begin, end, BASES[0]) >> np.uint64(64 - bits)).astype(np.int64)
-    yield words, np.repeat(np.arange(n), np.diff(first))
-    # word pairs by kind: a word that repeats, and any other pair
-    word_owner = np.repeat(np.arange(n), np.diff(first))
+    prints, word_owner = byte_hashes(raw, begin, end), np.repeat(np.arange(n), np.diff(first))
+    bucket = lambda h: (h >> np.uint64(64 - bits)).astype(np.int64)
+    yield bucket(prints), word_owner
     inside = word_owner[1:] == word_owner[:-1]
-    yield (words[1:] == words[:-1])[inside].astype(np.int64) + ((len(ORDERS) + 1) << bits), word_owner[1:][inside]
+    yield bucket(join_hashes(prints[:-1], prints[1:]))[inside] + ((len(ORDERS) + 1) << bits), word_owner[1:][inside]
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(starts))
     for kind, order in enumerate(ORDERS, 1):
         if len(raw) < order:

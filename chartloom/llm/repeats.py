@@ -11,7 +11,7 @@ decided inside it recur too.
 So a window can only recur if every symbol decided inside it does.  High-level
 symbols, a fraction of the words, are counted first; the windows that no unique
 symbol rules out send fingerprints of all their words, and equal fingerprints
-(96 bits) are the repeats.  Windows without any symbol of their own are sent as
+(128 bits, inside a batch and between batches) are the repeats.  Windows without any symbol of their own are sent as
 they are.
 
 Texts travel in compressed batches.  A batch sends each fingerprint once,
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartloom.llm.shared import BASES, byte_chunks, mix, range_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
+from chartloom.llm.shared import SEEDS, byte_chunks, byte_hashes, join_hashes, mix, saved, small_batches, text_bytes, whole_text, window_hashes, word_bounds
 
 WINDOW = 35
 ROUNDS = 6
@@ -40,7 +40,7 @@ BUCKET_WORDS = 1 << 20
 # ---------------------------------------------------------------- recompression of one batch
 
 def _pair_name(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix(left * np.uint64(BASES[0]) ^ (right + np.uint64(0x5BD1E995)) * np.uint64(BASES[1]))
+    return join_hashes(left, right, SEEDS[1])
 
 
 def recompress(words: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ class _Batch:
         data = np.frombuffer(raw, np.uint8)
         self.begin, self.end, self.first = word_bounds(data, starts)
         self.data = data
-        self.words = range_hashes(data, self.begin, self.end, BASES[0])
+        self.words = byte_hashes(data, self.begin, self.end)
 
     def symbols(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols that some window holds with all that decided them."""
@@ -111,11 +111,52 @@ class _Batch:
         return np.flatnonzero(np.cumsum(ok)[:-1] > 0)
 
     def prints(self, at: np.ndarray) -> np.ndarray:
-        return range_hashes(self.words, at, at + self.window, BASES[1])
+        """128 bits for each window: two columns, from two independent fingerprints of every word."""
+        others = byte_hashes(self.data, self.begin, self.end, SEEDS[1])
+        return np.stack([window_hashes(self.words, at, self.window, SEEDS[1]), window_hashes(others, at, self.window, SEEDS[0])], 1)
 
-    def second_prints(self, at: np.ndarray) -> np.ndarray:
-        others = range_hashes(self.data, self.begin, self.end, BASES[1])
-        return (range_hashes(others, at, at + self.window, BASES[0]) >> np.uint64(32)).astype(np.uint32)
+
+def _sorted_pairs(prints: np.ndarray) -> np.ndarray:
+    """Order of the rows by both columns; only rows with equal first halves need the second."""
+    order = np.argsort(prints[:, 0], kind="stable")
+    ranked = prints[order]
+    same = ranked[1:, 0] == ranked[:-1, 0]
+    return np.lexsort((prints[:, 1], prints[:, 0])) if (same & (ranked[1:, 1] != ranked[:-1, 1])).any() else order
+
+
+def _recurring(prints: np.ndarray) -> np.ndarray:
+    """Which rows equal another one in both columns."""
+    order = _sorted_pairs(prints)
+    same = (prints[order][1:] == prints[order][:-1]).all(1)
+    twice = np.zeros(len(prints), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return twice
+
+
+def _distinct(prints: np.ndarray) -> np.ndarray:
+    """The distinct rows, sorted."""
+    ranked = prints[_sorted_pairs(prints)]
+    new = np.ones(len(ranked), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(1)
+    return ranked[new]
+
+
+def _found(prints: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which rows are among the wanted ones."""
+    wanted = _distinct(wanted)
+    hit = _member(prints[:, 0], wanted[:, 0])
+    some = np.flatnonzero(hit)
+    at = np.searchsorted(wanted[:, 0], prints[some, 0])
+    right = wanted[at, 1] == prints[some, 1]
+    for step in range(1, len(wanted)):  # wanted rows with equal first halves stand together
+        open_ = np.flatnonzero(~right & (at + step < len(wanted)))
+        open_ = open_[wanted[at[open_] + step, 0] == prints[some[open_], 0]]
+        if not len(open_):
+            break
+        right[open_] = wanted[at[open_] + step, 1] == prints[some[open_], 1]
+    hit[some] = right
+    return hit
 
 
 def _member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -186,25 +227,15 @@ def _send(rows: list[tuple], names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
 
-def _repeated(table, width: str | None):
-    """Per batch, the fingerprints of a bucket that at least two batches sent."""
+def _repeated(table, names: list[str]):
+    """Per batch, the fingerprints of a bucket that at least two batches sent; all the columns of a fingerprint count."""
     import pyarrow as pa
 
     batches = table.column("batch").to_pylist()
-    one = [np.frombuffer(x, np.uint64) for x in table.column("one").to_pylist()]
-    sizes = [len(x) for x in one]
-    values = np.concatenate(one) if one else np.zeros(0, np.uint64)
-    if width:
-        two = np.concatenate([np.frombuffer(x, width) for x in table.column("two").to_pylist()])
-        order = np.lexsort((two, values))
-    else:
-        order = np.argsort(values, kind="stable")
-    same = values[order][1:] == values[order][:-1]
-    if width:
-        same &= two[order][1:] == two[order][:-1]
-    twice = np.zeros(len(values), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    columns = [[np.frombuffer(x, np.uint64) for x in table.column(name).to_pylist()] for name in names]
+    sizes = [len(x) for x in columns[0]]
+    values = np.stack([np.concatenate(x) if x else np.zeros(0, np.uint64) for x in columns], 1)
+    twice = _recurring(values if len(names) > 1 else np.repeat(values, 2, 1))
     out, at = [], 0
     for batch, n in zip(batches, sizes, strict=True):
         hit = values[at:at + n][twice[at:at + n]]
@@ -214,9 +245,9 @@ def _repeated(table, width: str | None):
     return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["batch", "hits"])
 
 
-def _hits(table) -> np.ndarray:
-    found = [np.frombuffer(x, np.uint64) for x in table.column("hits").to_pylist()]
-    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+def _hits(table, width: int = 1) -> np.ndarray:
+    found = [np.frombuffer(x, np.uint64).reshape(-1, width) for x in table.column("hits").to_pylist()]
+    return np.concatenate(found) if found else np.zeros((0, width), np.uint64)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES,
@@ -247,25 +278,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     def send_windows(left, right):
         import pyarrow as pa
 
-        repeated, rows = _hits(right), []
+        repeated, rows = np.sort(_hits(right)[:, 0]), []
         for row in left.to_pylist():
             batch = _unpack(row, window)
             at = candidate_windows(batch, repeated)
-            one, where = np.unique(batch.prints(at), return_index=True)
-            two = batch.second_prints(at[where])
+            prints = _distinct(batch.prints(at))
+            one, two = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(prints[:, 1])
             rows += [(bucket, row["batch"], one[a:b].tobytes(), two[a:b].tobytes()) for bucket, a, b in _by_bucket(one, bits)]
         return pa.Table.from_batches([_send(rows, ["bucket", "batch", "one", "two"])])
 
     def finish(left, right):
         import pyarrow as pa
 
-        repeated, out = _hits(right), {"key": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
+        repeated, out = _hits(right, 2), {"key": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept_text": []}
         for row in left.to_pylist():
             batch = _unpack(row, window)
             at = batch.places()
             prints = batch.prints(at)
-            here, counts = np.unique(prints, return_counts=True)
-            again = at[_member(prints, repeated) | _member(prints, here[counts > 1])]
+            again = at[_recurring(prints) | _found(prints, repeated)]
             cover = np.zeros(len(batch.words) + 1, np.int64)
             np.add.at(cover, again, 1)
             np.add.at(cover, again + window, -1)
@@ -284,10 +314,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         return pa.table(out, pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
 
     def symbol_repeats(table):
-        return _repeated(table, None)
+        return _repeated(table, ["one"])
 
     def window_repeats(table):
-        return _repeated(table, "<u4")
+        return _repeated(table, ["one", "two"])
 
     by_batch = packed.groupBy("batch")
     names = packed.mapInArrow(name_symbols, "bucket int, batch bigint, one binary").groupBy("bucket").applyInArrow(symbol_repeats, "batch bigint, hits binary")

@@ -28,9 +28,26 @@ def claim_worker(operator: str) -> None:
     if _claims != [operator]:
         for table in WORKER_TABLES:
             table.clear()
+        if _claims:
+            release_memory()
         _claims[:] = [operator]
 
 
+def release_memory() -> None:
+    """Give memory that this worker holds but does not use back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        return
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
@@ -114,25 +131,8 @@ def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, end, np.searchsorted(begin, starts)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-WORKER_TABLES.append(_POWERS)
-#: Odd multipliers of the two word fingerprints.
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        both = []
-        for b in (base, inverse):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _POWERS[base] = have = (both[0], both[1])
-    return have
+#: Odd starting values of the two fingerprints.
+SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -145,17 +145,96 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def range_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Fingerprint of values[begin:end] for each range: a polynomial modulo 2**64, then mixed.
+#: Places in a word that have a table of values; later ones are calculated.
+_PLACES = 64
+_place_values: dict[int, np.ndarray] = {}
+
+
+def _values(cells: np.ndarray, seed: int) -> np.ndarray:
+    return mix(cells.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
-    Equal ranges have equal fingerprints wherever they stand.
+
+def byte_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """64-bit fingerprint of raw[begin:end] for ranges in order that do not overlap.
+
+    Every (place in the range, byte) has a pseudo-random value of its own, and a
+    range is the mixed sum of its values and its length.
+    """
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    table = _place_values.get(seed)
+    if table is None:
+        table = _place_values[seed] = _values(np.arange(_PLACES * 256), seed)
+    length = end - begin
+    after = np.cumsum(length)
+    first = after - length
+    narrow = np.int32 if len(raw) < 1 << 22 else np.int64  # cells fit
+    at = np.arange(after[-1], dtype=narrow)
+    place = at - np.repeat(first.astype(narrow), length)
+    signs = raw[at + np.repeat((begin - first).astype(narrow), length)] if after[-1] != end[-1] - begin[0] else raw[begin[0]:end[-1]]
+    cells = (place << 8) + signs
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        far_values = _values(cells[far], seed)
+        cells[far] = 0
+    values = table[cells]
+    if len(far):
+        values[far] = far_values
+    total = np.add.reduceat(values, first) if (length > 0).all() else np.diff(np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])[np.concatenate([[0], after])])
+    return mix(total + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def join_hashes(left: np.ndarray, right: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """Fingerprint of two parts in their order; both are mixed, so it is no sum of theirs."""
+    return mix(mix(left + np.uint64(seed)) + right)
+
+
+def window_hashes(values: np.ndarray, at: np.ndarray, window: int, seed: int = SEEDS[0]) -> np.ndarray:
+    """Fingerprint of values[i:i + window] for each i of ``at``, from fingerprints of powers of two."""
+    level, size, rest, out, place = values, 1, window, None, at + window
+    while rest:
+        if rest & 1:
+            place = place - size
+            part = level[place]
+            out = part if out is None else join_hashes(part, out, seed)
+        rest >>= 1
+        if rest:
+            level = join_hashes(level[:-size], level[size:], seed) if len(level) > size else level[:0]
+            size *= 2
+    return mix(out + np.uint64(window)) if out is not None else np.zeros(len(at), np.uint64)
+
+
+def same_bytes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every range raw[begin:end] holds the bytes of the range that starts at ``other`` and is as long."""
+    some = np.flatnonzero(begin != other)
+    begin, end, other = begin[some], end[some], other[some]
+    narrow = np.int32 if len(raw) < 1 << 31 else np.int64
+    length = end - begin
+    place = np.arange(length.sum(), dtype=narrow) + np.repeat((begin - np.cumsum(length) + length).astype(narrow), length)
+    return bool((raw[place] == raw[place + np.repeat((other - begin).astype(narrow), length)]).all())
+
+
+def distinct_ranges(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the kind of each range, a place of each kind); kinds are equal bytes.
+
+    Fingerprints group the ranges, and the bytes of every range are compared
+    with those of its kind.
     """
-    power, inverse = _powers(base, len(values) + 1)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[:len(values)], out=total[1:])
-    # the length enters too, so that no range equals a shorter one
-    return mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    prints = byte_hashes(raw, begin, end)
+    order = np.argsort(prints)
+    ranked = prints[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    kind = np.empty(len(prints), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    where = order[new]
+    model = where[kind]
+    if (end[model] - begin[model] == end - begin).all() and same_bytes(raw, begin, end, begin[model]):
+        return kind, where
+    # two different ranges share a fingerprint: by their bytes, one by one
+    known: dict[bytes, int] = {}
+    kind = np.array([known.setdefault(raw[a:b].tobytes(), len(known)) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+    return kind, np.unique(kind, return_index=True)[1]
 
 
 def byte_chunks(starts: np.ndarray, limit: int = 2 << 20) -> list[tuple[int, int]]:
