@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartloom.llm import mixing, near_dup, oracles, packing, private_data, quality, repeats, secrets, token_store, topk, vector_links
+from chartloom.llm import (
+    centroid_clusters, chat_format, mixing, near_dup, oracles, packing, private_data, quality, repeats, secrets, source_audit, token_store, topk, vector_links,
+)
 from chartloom.llm.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +87,21 @@ def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_dup.link_documents(table(spark, sf_dir, "documents"), percent=75)
     return linked.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+@query("op11_chat_format", oracles.CHATS)
+def chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signs = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", signs), (-1, 1, "assistant", signs)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_chats(chat_format.format_chats(turns)).withColumnRenamed("key", "conv_id")
+
+
+@query("op12_source_audit", oracles.SOURCE_AUDIT)
+def source_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op13_clusters", oracles.CLUSTERS)
+def clusters_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")

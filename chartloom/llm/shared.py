@@ -116,9 +116,14 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
 
 def word_bounds(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each text) of all words; words never cross texts."""
+    return range_bounds(raw, starts, ~_IS_SPACE)
+
+
+def range_bounds(raw: np.ndarray, starts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first range of each text) of all runs of wanted bytes; ``wanted`` has 256 flags."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    inside = ~_IS_SPACE[raw]
+    inside = wanted[raw]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     edge = starts[:-1][starts[:-1] < len(raw)]
