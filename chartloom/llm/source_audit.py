@@ -88,38 +88,40 @@ def collapse_texts(docs: DataFrame, lang: str = "lang", source: str = "source",
 
 
 class _Sums:
-    """Sums by (owner, term) of one task; owners are languages and (language, source) pairs."""
+    """Occurrences and documents by (owner, term) of one task; owners are pairs of language and source."""
 
     def __init__(self):
         self.owners: dict[tuple, int] = {}
         self.terms: dict[bytes, int] = {}
         self.cells, self.values, self.held = [], [], 0
 
-    def owner(self, lang: str, source: str | None) -> int:
+    def owner(self, lang: str, source: str) -> int:
         return self.owners.setdefault((lang, source), len(self.owners))
 
-    def add(self, owner: np.ndarray, term: np.ndarray, n: np.ndarray) -> None:
-        cells, where = np.unique(owner << 32 | term, return_inverse=True)
-        values = np.zeros(len(cells), np.int64)
-        np.add.at(values, where, n)
-        self.cells.append(cells)
-        self.values.append(values)
-        self.held += len(cells)
+    def add(self, owner: np.ndarray, term: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
+        self._merge([owner << 32 | term], [np.stack([n, docs], 1)])
         if self.held > HELD_SUMS:
             self.compact()
 
+    def _merge(self, cells: list[np.ndarray], values: list[np.ndarray]) -> None:
+        merged, where = np.unique(np.concatenate(cells), return_inverse=True)
+        sums = np.zeros((len(merged), 2), np.int64)
+        np.add.at(sums, where, np.concatenate(values))
+        self.cells.append(merged)
+        self.values.append(sums)
+        self.held += len(merged)
+
     def compact(self) -> None:
         if len(self.cells) > 1:
-            cells, where = np.unique(np.concatenate(self.cells), return_inverse=True)
-            values = np.zeros(len(cells), np.int64)
-            np.add.at(values, where, np.concatenate(self.values))
-            self.cells, self.values, self.held = [cells], [values], len(cells)
+            cells, values = self.cells, self.values
+            self.cells, self.values, self.held = [], [], 0
+            self._merge(cells, values)
 
     def full(self) -> bool:
         return self.held > HELD_SUMS // 2 and len(self.cells) == 1
 
     def rows(self):
-        """lang, source, term, n; a null source is the language's document frequency."""
+        """lang, source, term, n, docs."""
         import pyarrow as pa
 
         self.compact()
@@ -130,8 +132,8 @@ class _Sums:
             for at in range(0, len(self.cells[0]), 50_000):
                 cells = self.cells[0][at:at + 50_000]
                 owner, term = pa.array(cells >> 32), pa.array(cells & 0xFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([langs.take(owner), sources.take(owner), terms.take(term), pa.array(self.values[0][at:at + 50_000])],
-                                                 ["lang", "source", "term", "n"])
+                yield pa.RecordBatch.from_arrays([langs.take(owner), sources.take(owner), terms.take(term), *(pa.array(self.values[0][at:at + 50_000, i]) for i in (0, 1))],
+                                                 ["lang", "source", "term", "n", "docs"])
         self.__init__()
 
 
@@ -148,20 +150,20 @@ def count_terms(texts: list[bytes], copies: list[tuple[str, dict[str, int]]], su
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     pairs, times = np.unique(text * len(where) + kind, return_counts=True)
     text, term = pairs // len(where), number[pairs % len(where)]
-    owner = np.array([sums.owner(lang, None) for lang, _ in copies], np.int64)
-    weight = np.array([sum(own.values()) for _, own in copies], np.int64)
-    sums.add(owner[text], term, weight[text])
     # the copies of a text by source, one after another
     spread = [(sums.owner(lang, s), n) for lang, own in copies for s, n in own.items()]
     owners, each = (np.array(x, np.int64) for x in zip(*spread, strict=True))
     many = np.array([len(own) for _, own in copies], np.int64)
     n = many[text]
     place = np.repeat((np.cumsum(many) - many)[text], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    sums.add(owners[place], np.repeat(term, n), each[place] * np.repeat(times, n))
+    sums.add(owners[place], np.repeat(term, n), each[place] * np.repeat(times, n), each[place])
+
 
+def term_counts(collapsed: DataFrame, least_docs: int) -> DataFrame:
+    """(lang, source, term, n): occurrences by source of the terms in ``least_docs`` documents of their language or more.
 
-def term_sums(collapsed: DataFrame) -> DataFrame:
-    """(lang, source, term, n): occurrences by source; the row with a null source has the number of documents."""
+    One exchange by (lang, term) serves both sums; a term has one row per source and task there.
+    """
     def work(batches):
         claim_worker("source_audit")
         sums, texts, copies, size = _Sums(), [], [], 0
@@ -188,8 +190,10 @@ def term_sums(collapsed: DataFrame) -> DataFrame:
             count_terms([*texts, text], [*copies, (now[0], own)], sums)
         yield from sums.rows()
 
-    sent = collapsed.mapInArrow(work, "lang string, source string, term string, n bigint")
-    return sent.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    sent = collapsed.mapInArrow(work, "lang string, source string, term string, n bigint, docs bigint").repartition("lang", "term")
+    sums = sent.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    in_lang = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    return sums.withColumn("docs", in_lang).filter(F.col("docs") >= least_docs).select("lang", "source", "term", "n")
 
 
 # ---------------------------------------------------------------- rates and divergences
@@ -263,18 +267,16 @@ def audit_sources(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = TE
     documents of their own.  Ties go by the UTF-8 item.  An empty table gives no
     rows.
     """
-    sums = saved(term_sums(collapse_texts(docs, lang, source, text)), "audit-sums")
+    counts = saved(term_counts(collapse_texts(docs, lang, source, text), least_docs), "audit-counts")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    kept = sums.filter(F.col("source").isNull() & (F.col("n") >= least_docs)).select("lang", "term")
-    counts = saved(sums.filter("source IS NOT NULL").join(kept, ["lang", "term"], "left_semi"), "audit-counts")
+    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = saved(docs.select(blank(lang).alias("lang"), blank(source).alias("source")).distinct().join(totals, ["lang", "source"], "left"), "audit-groups")
     langs = (known.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"), F.sum("total").alias("lang_total"))
-             .join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept")), "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0))))
+             .join(whole.groupBy("lang").agg(F.count(F.lit(1)).alias("kept")), "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0))))
     total = F.coalesce("total", F.lit(0))
     groups = saved(known.join(langs, "lang").select("lang", "source", "sources", "kept", total.alias("total"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"),
                                                     _rate(F.lit(0), total, F.col("kept")).alias("base")), "audit-bases")
-    whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     rates = counts.join(groups, ["lang", "source"]).withColumn("p", _rate(F.col("n"), F.col("total"), F.col("kept")))
     terms = rates.join(whole, ["lang", "term"]).withColumn("q", _rate(F.col("lang_n"), F.col("lang_total"), F.col("kept"))).filter("p > q")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
