@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartloom.functions.ranking import position_in_group, top_k
-
-MAX_BLOCK_BYTES = 64 * 1024 * 1024
-QUERY_STEP = 512
+from chartloom.operators.vector_index import build_index, search
 
 
 # --- store -------------------------------------------------------------------
@@ -79,98 +75,14 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _block_distances(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Distances (rows of ``vectors`` by queries)."""
-    if metric == "cosine":
-        a = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        b = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-        return 1.0 - a @ b.T
-    inner = vectors @ queries.T
-    if metric == "inner":
-        return 1.0 - inner
-    return np.maximum((vectors ** 2).sum(1)[:, None] + (queries ** 2).sum(1)[None, :] - 2 * inner, 0.0)
-
-
-class _Best:
-    """The ``k`` nearest corpus rows per query seen so far; ties go to the smaller id."""
-
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.queries, self.k, self.metric = queries, k, metric
-        self.ids = [np.empty(0, dtype=object)] * len(queries)
-        self.distances = [np.empty(0)] * len(queries)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        for first in range(0, len(self.queries), QUERY_STEP):
-            part = np.round(_block_distances(vectors, self.queries[first:first + QUERY_STEP], self.metric), 9)
-            for j in range(part.shape[1]):
-                self._merge(first + j, ids, part[:, j])
-
-    def _merge(self, q: int, ids: np.ndarray, distances: np.ndarray) -> None:
-        if len(distances) > self.k:
-            edge = np.partition(distances, self.k - 1)[self.k - 1]
-            keep = distances <= edge
-            ids, distances = ids[keep], distances[keep]
-        all_ids = np.concatenate([self.ids[q], ids])
-        all_distances = np.concatenate([self.distances[q], distances])
-        order = sorted(range(len(all_ids)), key=lambda i: (all_distances[i], all_ids[i]))[:self.k]
-        self.ids[q], self.distances[q] = all_ids[order], all_distances[order]
-
-    def frame(self, query_ids: list) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": [q for q, ids in zip(query_ids, self.ids) for _ in ids],
-                             "id": [i for ids in self.ids for i in ids],
-                             "distance": np.concatenate(self.distances) if self.distances else []})
-
-
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
-            max_bytes: int = MAX_BLOCK_BYTES, slice_rows: int = 200_000) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", **index_options) -> DataFrame:
     """Exact ``k`` nearest rows of ``corpus`` (id, embedding) for each query (query_id, embedding).
 
-    Queries up to ``max_bytes`` are sent to every task; the corpus is scanned
-    once and each task returns its own ``k`` best per query.  More queries are
-    cut into blocks of that size: slices of the corpus meet blocks of queries
-    in a cogroup, so a task holds one slice and one block, whatever the totals.
+    The corpus is indexed in the shared folder and searched once; callers that
+    search a corpus again keep the index of ``vector_index.build_index``.
     """
-    spark = corpus.sparkSession
-    schema = (f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-              f"id {corpus.schema['id'].dataType.simpleString()}, distance double")
-    sizes = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")).first()
-    n, dims = sizes["n"], sizes["d"]
-    wide = corpus.select("id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"))
-    if n * dims * 8 <= max_bytes:
-        rows = asked.collect()
-        sent = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["v"] for r in rows], dtype=float)))
-
-        def scan(batches):
-            ids, vectors = sent.value
-            best = _Best(vectors, k, metric)
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    best.add(pdf["id"].to_numpy(dtype=object), np.stack(pdf["v"].to_numpy()))
-            yield best.frame(ids)
-
-        found = wide.mapInPandas(scan, schema)
-    else:
-        blocks = -(-n * dims * 8 // max_bytes)
-        slices = max(1, -(-wide.count() // slice_rows))
-
-        def numbered(df, key, mine, others, count_mine, count_others):
-            return (df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(count_mine)).cast("int"))
-                    .withColumn(others, F.explode(F.sequence(F.lit(0), F.lit(count_others - 1)))))
-
-        left = numbered(wide, "id", "__slice", "__block", slices, blocks)
-        right = numbered(asked, "query_id", "__block", "__slice", blocks, slices)
-
-        def meet(corpus_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
-            if not len(corpus_part) or not len(query_part):
-                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-            best = _Best(np.stack(query_part["v"].to_numpy()), k, metric)
-            best.add(corpus_part["id"].to_numpy(dtype=object), np.stack(corpus_part["v"].to_numpy()))
-            return best.frame(query_part["query_id"].tolist())
-
-        found = (left.groupBy("__slice", "__block").cogroup(right.groupBy("__slice", "__block")).applyInPandas(meet, schema))
-    ranked = top_k(found, ["query_id"], [F.asc("distance"), F.asc("id")], k)
-    return ranked.withColumn("similarity", 1 - F.col("distance"))
+    found = search(build_index(corpus, metric, **index_options), queries, k)
+    return found.withColumn("similarity", 1 - F.col("distance"))
 
 
 def group_cohesion(rows: DataFrame, key: str, dims_column: str = "embedding") -> DataFrame:

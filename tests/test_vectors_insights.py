@@ -4,26 +4,60 @@ from pyspark.sql import functions as F
 
 from chartloom.operators import insights as I
 from chartloom.operators import retrieval as H
+from chartloom.operators import vector_index as VI
 from chartloom.operators import vectors as V
 
 
+def _plain(a, q, metric):
+    if metric == "euclidean":
+        d = ((a[:, None] - q[None]) ** 2).sum(2)
+    else:
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if metric == "cosine" else v for v in (a, q))
+        d = 1 - x @ y.T
+    return d.round(9)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "inner"])
-@pytest.mark.parametrize("limit", [V.MAX_BLOCK_BYTES, 600])
-def test_nearest_is_exact_on_both_ways(spark, metric, limit):
+@pytest.mark.parametrize("cell_rows", [VI.CELL_ROWS, 15])
+def test_nearest_is_exact(spark, metric, cell_rows):
     rng = np.random.default_rng(1)
     a, q = rng.normal(size=(400, 8)).round(3), rng.normal(size=(23, 8)).round(3)
-    a[50:60] = a[40:50]
-    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(a)], "id long, embedding array<float>").repartition(7)
-    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(q)], "query_id string, embedding array<float>")
+    a[50:60], a[70], a[80:200], q[3], q[4] = a[40:50], 0, a[300], 0, a[300]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(a)]
+    odd = [(900, None), (901, [1.0]), (902, [float("nan")] * 8), (None, [1.0] * 8), (903, [None] * 8)]
+    corpus = spark.createDataFrame(rows + odd, "id long, embedding array<float>").repartition(7)
+    queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(q)] + [("bad", None), ("short", [1.0])], "query_id string, embedding array<float>")
     got = {}
-    for r in V.nearest(corpus, queries, 4, metric, max_bytes=limit, slice_rows=90).collect():
+    for r in V.nearest(corpus, queries, 4, metric, pivots=9, rings=3, cell_rows=cell_rows).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id))
-    d = V._block_distances(a.astype(np.float32).astype(float), q.astype(np.float32).astype(float), metric).round(9)
+    d = _plain(a.astype(np.float32).astype(float), q.astype(np.float32).astype(float), metric)
+    assert set(got) == {f"q{i}" for i in range(len(q))}
     for i in range(len(q)):
         want = sorted(range(len(a)), key=lambda k: (d[k, i], k))[:4]
         assert [x for _, x in sorted(got[f"q{i}"])] == want
 
 
+def test_index_compares_few_pairs_and_is_opened_again(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(20, 16)) * 5
+    a = np.repeat(middle, 150, 0) + 0.2 * rng.normal(size=(3000, 16))
+    corpus = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(a)], "id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, (middle[i % 20] + 0.2 * rng.normal(size=16)).tolist()) for i in range(60)], "query_id int, embedding array<double>")
+    VI.build_index(corpus, "euclidean", str(tmp_path / "index"), pivots=60, cell_rows=100)
+    index = VI.open_index(spark, str(tmp_path / "index"))
+    compared = VI.visits(index, queries, 5).agg(F.sum("n")).first()[0]
+    assert 60 * 5 <= compared < 0.2 * len(a) * 60
+    assert VI.search(index, queries, 5).count() == 300
+    # more rows asked for than there are: all of them
+    assert VI.search(index, queries.limit(1), 4000).count() == 3000
+
+
+def test_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
+    assert not V.nearest(none, queries, 3).collect()
+
+
 def test_cohesion(spark):
     v = np.random.default_rng(2).normal(size=(20, 5))
     df = spark.createDataFrame([(1, [float(x) for x in r]) for r in v], "k int, embedding array<double>")
