@@ -28,7 +28,7 @@ def test_nearest_is_exact(spark, metric, cell_rows):
     corpus = spark.createDataFrame(rows + odd, "id long, embedding array<float>").repartition(7)
     queries = spark.createDataFrame([(f"q{i}", [float(x) for x in v]) for i, v in enumerate(q)] + [("bad", None), ("short", [1.0])], "query_id string, embedding array<float>")
     got = {}
-    for r in V.nearest(corpus, queries, 4, metric, pivots=9, rings=3, cell_rows=cell_rows).collect():
+    for r in V.nearest(corpus, queries, 4, metric, pivots=9, cell_rows=cell_rows).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id))
     d = _plain(a.astype(np.float32).astype(float), q.astype(np.float32).astype(float), metric)
     assert set(got) == {f"q{i}" for i in range(len(q))}
