@@ -8,6 +8,7 @@ from chartloom.lexicons import ENTITY_RELATIONS, ENTITY_ROUTES, NODE_LABELS, NOD
 from chartloom.operators import graph as G
 from chartloom.plans import star
 from chartloom.plans.registry import query, table
+from chartloom.plans.stores import halves, stored
 from chartloom.plans.star import (SQL_EDGES, SQL_GRAPH, SQL_INTERACTIONS, SQL_PATIENTS,
                                   SQL_RAW_EDGES, SQL_TREATMENTS, SQL_VISITS)
 
@@ -110,7 +111,11 @@ FROM u GROUP BY id""")
                            F.nullif(F.col("confidence"), F.lit(0.07)).alias("confidence"),
                            (F.nullif(F.col("quantity").cast("double"), F.lit(7.0)) / 50.0).alias("confidence_score"))
         attrs = ["name", "first_visit", *defaults]
-        return G.merge_first_keep_max(updates.limit(0), updates, ["id"], "seq", attrs, kept, defaults)
+
+        def merge(old, new):
+            return G.merge_first_keep_max(new.limit(0) if old is None else old, new, ["id"], "seq", attrs, kept, defaults)
+
+        return stored(name, halves(updates, "first_visit"), merge, ["id"]).read()
     return run
 
 
@@ -166,7 +171,13 @@ def g10(spark, sf):
         F.col("o_orderkey").cast("string").alias("src"))
     p, s = table(spark, sf, "part"), table(spark, sf, "supplier").filter("s_acctbal > 0")
     targets = (p.select(F.col("p_name").alias("dst")).union(p.select("p_type")).union(s.select("s_name")))
-    return G.merge_edges(new.limit(0), new, sources, targets, "seq", ["confidence", "quantity"])
+
+    def merge(old, part):
+        return G.merge_edges(part.limit(0) if old is None else old, part, sources, targets, "seq", ["confidence", "quantity"])
+
+    day = F.unix_date(F.col("seq.edge_date").cast("date"))
+    parts = [p.drop("day") for p in halves(new.withColumn("day", day), "day")]
+    return stored("edges", parts, merge, ["src", "type", "dst"]).read()
 
 
 _SQL_CUSTOM = """SELECT l_suppkey AS src, l_partkey AS dst,

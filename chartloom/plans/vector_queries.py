@@ -12,6 +12,7 @@ from chartloom.plans.chunk_queries import (_SQL_CHUNKS, _SQL_DATED, _SQL_SUMMARY
 from chartloom import lexicons as L
 from chartloom.plans import sqltext as X
 from chartloom.plans.registry import query, table
+from chartloom.plans.stores import halves, stored
 from chartloom.session import materialize
 
 _TITLES = [("Symptoms", "symptoms"), ("Tests", "tests"), ("Medications", "medications"), ("Diagnoses", "diagnoses"),
@@ -79,9 +80,13 @@ _SQL_STORE = """raw AS (SELECT 'timeline_' || o_custkey || '_' || year(o_orderda
 store AS (SELECT id, arg_max(patient_id, version) AS patient_id, max(version) AS version, arg_max(total, version) AS total FROM raw GROUP BY id)"""
 
 
+def _filled(spark, sf):
+    """The rows up to the mean version stored, then the later ones merged into them."""
+    return stored("timelines", halves(_store(spark, sf), "version"), lambda old, new: V.upsert(new.limit(0) if old is None else old, new), ["id"])
+
+
 def _upserted(spark, sf):
-    rows = _store(spark, sf)
-    return V.upsert(rows.limit(0), rows)
+    return _filled(spark, sf).read()
 
 
 @query("v04_lookup_latest", f"WITH {_SQL_STORE} SELECT * FROM store WHERE id IN (SELECT 'timeline_' || c_custkey || '_1999' FROM customer)")
@@ -102,8 +107,10 @@ def v06(spark, sf):
 
 @query("v07_delete_timelines", f"WITH {_SQL_STORE} SELECT * FROM store WHERE patient_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def v07(spark, sf):
+    store = _filled(spark, sf)
     gone = table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("patient_id"))
-    return V.delete(_upserted(spark, sf), gone)
+    store.delete(store.read().join(gone, "patient_id", "left_semi"))
+    return store.read()
 
 
 def _chunk_store(spark, sf):
