@@ -15,8 +15,10 @@ from chartloom.operators import intake as S
 from chartloom.operators import jobs as J
 from chartloom.plans import sqltext as X
 from chartloom.plans.registry import query, table
+from chartloom.plans.stores import halves, scratch
 from chartloom.session import checkpoint_dir
 from chartloom.sources import files as FS
+from chartloom.sources.keyed_store import DuplicateKeys, KeyedStore
 from chartloom.streaming import job_stream as JS
 
 NOW = "2024-02-01 00:00:00"
@@ -245,6 +247,20 @@ def s11(spark, sf):
     return FS.read_csv(spark, path, df.schema)
 
 
+@query("s12_unique_write", "SELECT o_orderkey AS id, o_custkey AS patient_id FROM orders")
+def s12_write(spark, sf):
+    """Visits written in two batches; a batch that repeats stored ids is refused as a whole in between."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("patient_id"))
+    first, second = halves(rows, "id")
+    store = KeyedStore.create(spark, scratch(spark, "visits"), rows.schema, ["id"], buckets=8)
+    store.insert(first)
+    try:
+        store.insert(rows)
+    except DuplicateKeys:
+        store.insert(second)
+    return store.read()
+
+
 @query("s12_duplicate_ids", """WITH n AS (SELECT 'Patient' AS label, c_custkey::VARCHAR AS id FROM customer UNION ALL SELECT 'Visit', o_orderkey::VARCHAR FROM orders
   UNION ALL SELECT 'Medication', p_name FROM part UNION ALL SELECT 'Edge', l_orderkey || '-' || l_linenumber FROM lineitem)
 SELECT label, id, count(*) AS n FROM n GROUP BY ALL HAVING count(*) > 1""")
@@ -349,6 +365,17 @@ def j05_windows(spark, sf):
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("j05_window_fold", f"""WITH {_SQL_JOBS} SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event, count(*) AS n FROM ev GROUP BY ALL""")
+def j05_window_fold(spark, sf):
+    """The same counts kept by a stream over several files that are out of time order; late rows correct finished windows."""
+    log = table(spark, sf, "events")
+    source, store = _scratch(spark, "window-log"), _scratch(spark, "window-store")
+    log.repartition(3, F.xxhash64("event_id")).write.parquet(source)
+    events = job_events(JS.read_events(spark, source, log.schema, files_per_batch=1))
+    JS.fold_windows(events, store, _scratch(spark, "window-fold")).awaitTermination()
+    return KeyedStore(spark, store).read().withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 _REQUEST = ["o_orderkey AS id", "o_orderkey % 3 AS n_documents", "o_custkey % 2 AS n_paths", "o_custkey % 14 - 1 AS max_retries",
             "o_orderkey % 4000 AS timeout_seconds", f"{_cycle('o_custkey', [*L.WORKFLOWS, 'nightly'])} AS workflow"]
 

@@ -55,6 +55,11 @@ class KeyedStore:
         spark.createDataFrame([(keys, buckets, fields.json())], "keys array<string>, buckets int, schema string").coalesce(1).write.parquet(f"{path}/meta")
         return cls(spark, path)
 
+    @staticmethod
+    def exists(spark: SparkSession, path: str) -> bool:
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+        return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
     # --- reading
 
     def versions(self) -> list[int]:

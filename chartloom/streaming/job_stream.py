@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartloom.operators.jobs import job_state, window_counts
+from chartloom.sources.keyed_store import KeyedStore
 
 
 def read_events(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int = 100) -> DataFrame:
@@ -100,9 +101,28 @@ def count_windows(events: DataFrame, out_path: str, checkpoint: str, width: str
     """Finished windows appended to a table.
 
     A window is appended once and only after the watermark passed it, so an event
-    that comes later than that is not in its count.  ``job_stream`` users who need
-    complete counts use ``window_counts`` over the stored events.
+    that comes later than that is not in its count; ``fold_windows`` keeps counts
+    that late events correct.
     """
     counts = window_counts(_with_event_time(events).withWatermark("ts", watermark), width)
     return (counts.writeStream.outputMode("append").format("parquet").option("path", out_path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def fold_windows(events: DataFrame, store_path: str, checkpoint: str, width: str = "5 minutes"):
+    """Counts of all windows in a keyed store (window_start, event, n), right after every batch.
+
+    A batch is counted by itself and its counts are added to those of its
+    windows, whenever these began; only the buckets of its windows are written.
+    A batch that runs again after a failure counts once.
+    """
+    spark = events.sparkSession
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counts = window_counts(batch, width)
+        store = KeyedStore(spark, store_path)
+        store.apply(counts, lambda old, new: old.unionByName(new.select(*old.columns)).groupBy(*store.keys).agg(F.sum("n").alias("n")), batch=str(batch_id))
+
+    if not KeyedStore.exists(spark, store_path):
+        KeyedStore.create(spark, store_path, "window_start timestamp_ntz, event string, n bigint", ["window_start", "event"])
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chartloom.operators import intake as S
 from chartloom.operators import jobs as J
+from chartloom.sources.keyed_store import KeyedStore
 from chartloom.streaming import job_stream as JS
 
 T0 = dt.datetime(2024, 1, 1)
@@ -56,6 +57,24 @@ def test_events_days_late_and_repeated_later_count_once(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_events_correct_finished_windows(spark, tmp_path):
+    """Files out of time order, a restart from the checkpoint in between: the stored counts are those of all events."""
+    rows = log(400)
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+
+    def run():
+        events = JS.read_events(spark, src, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
+        JS.fold_windows(events, store, str(tmp_path / "ckpt")).awaitTermination()
+
+    for parts in ((rows[300:], rows[:100]), (rows[200:300], rows[100:200])):
+        for part in parts:
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        run()
+    got = sorted(map(tuple, KeyedStore(spark, store).read().select("window_start", "event", "n").collect()))
+    assert got == sorted(map(tuple, J.window_counts(spark.createDataFrame(rows, SCHEMA)).select("window_start", "event", "n").collect()))
+    assert len(KeyedStore(spark, store).versions()) == 4
+
+
 def test_health_and_retry(spark):
     df = spark.createDataFrame([(11,), (6,), (5,)], "n int").select(J.queue_health(F.col("n")))
     assert [r[0] for r in df.collect()] == ["degraded", "warning", "healthy"]
