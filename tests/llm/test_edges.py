@@ -115,6 +115,19 @@ def test_entropy(spark):
     assert got == {1: "entropy:4:28", 2: ""}
 
 
+def test_entropy_leaves_paths_and_names_alone(spark):
+    plain = ["https://example.org/news/2021/03/how-to-bake-bread", "/usr/share/doc/python3-numpy/README", "gpt-neo-125M-wikitext-103-finetuned",
+             "see src/main/java/org/example/AbstractBeanFactory and MAX_CONNECTIONS_PER_HOST_2", "=" * 40, "2021-03-04/2021-05-06+2022-01-01",
+             "Donaudampfschifffahrtsgesellschaft", "springframeworkBeanFactoryPostProcessor", "a-" * 30_000]
+    secret = ["QwErTyUiOpAsDfGhJkLzXcVb", "q7x2m9k4v8b1n5c3z6p0w", "GHT7Q2ZK9XW4MB8VR5NC", "c2VjcmV0/dGhpcyBpcw+YmFzZTY0Zw==", "3F9A0C7E1B5D8264AE0F"]
+    docs = spark.createDataFrame(list(enumerate(plain + [f"x {t} y" for t in secret])), "doc_id bigint, text string")
+    got = {r["key"]: r["spans"] for r in secrets.scan_secrets(docs).collect()}
+    assert [got[i] for i in range(len(plain))] == [""] * len(plain)
+    assert [got[len(plain) + i] for i in range(len(secret))] == [f"entropy:2:{2 + len(t)}" for t in secret]
+    kept = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(docs, length=None).collect()}
+    assert all(kept[i] == t for i, t in enumerate(plain)) and kept[len(plain)] == "x [SECRET] y"
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rows = [(i, f"reach us by mail: u{i}@host{i}.example.org soon, item{i}a is sold") for i in range(30)]
     rows += [(100 + i, f"reach us by mail: u{i}(at)host{i} soon") for i in range(3)] + [(200, "nothing by heart: u7(at)host7x"), (201, None)]
