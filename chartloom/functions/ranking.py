@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartloom.session import materialize
 
 def position_in_group(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
                       name: str = "position") -> DataFrame:
@@ -32,6 +33,28 @@ def position_in_group(df: DataFrame, keys: list[str], order: list[Column], bucke
             .select(*columns, (ranked[name] + offsets[base]).cast("bigint").alias(name)))
 
 
+def global_position(df: DataFrame, order: list[Column], name: str = "position", parts: int | None = None) -> DataFrame:
+    """1-based position of each row of a whole table in ``order``, which should end in a unique column.
+
+    Ranges of the order, cut by Spark's sample of it, go to one partition each
+    and are numbered there; a partition's first position follows from the sizes
+    of those before it, one row a partition.  No window holds more than these,
+    whatever the values of the order columns.  The numbered rows are checkpointed,
+    as a second sample could cut the ranges elsewhere.
+    """
+    spark = df.sparkSession
+    parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    part, at = "__part", "__at"
+    row = F.monotonically_increasing_id()  # the partition in the upper 31 bits, the place in it in the lower 33
+    numbered = (df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*df.columns, row.alias(at))
+                .withColumn(part, F.shiftright(F.col(at), 33)))
+    numbered = materialize(numbered.withColumn(at, F.col(at).bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = numbered.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return numbered.join(bases, part).select(*df.columns, (F.col(at) + F.col("__base") + 1).cast("bigint").alias(name))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """First ``k`` rows of each key.
 

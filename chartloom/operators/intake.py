@@ -53,13 +53,18 @@ def validate_files(files: DataFrame, scan: bool = True) -> DataFrame:
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """File rows (path, length, modificationTime) as listed: name, size, type."""
+    """File rows (path, length, modificationTime) as listed: name, size, type, times.
+
+    ``created`` is a column ``created`` of the input where there is one, else the
+    time of the last change: file stores keep no other.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     mime = F.coalesce(F.element_at(string_map({e: m for e, (m, _) in L.FILE_TYPES.items()}), extension(name)),
                       F.lit("application/octet-stream"))
-    kept = [c for c in files.columns if c not in ("path", "length", "modificationTime")]
+    kept = [c for c in files.columns if c not in ("path", "length", "modificationTime", "created")]
+    created = F.col("created" if "created" in files.columns else "modificationTime")
     return files.select(*kept, "path", name.alias("filename"), F.col("length").alias("size"), format_bytes(F.col("length"), "").alias("size_human"),
-                        mime.alias("mime"), mime_category(mime).alias("category"), F.col("modificationTime").alias("modified"),
+                        mime.alias("mime"), mime_category(mime).alias("category"), created.alias("created"), F.col("modificationTime").alias("modified"),
                         extension(name).alias("extension"))
 
 

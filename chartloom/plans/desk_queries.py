@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chartloom import lexicons as L
 from chartloom.functions import columns as U
-from chartloom.functions.ranking import position_in_group
+from chartloom.functions.ranking import global_position
 from chartloom.operators import graph as G
 from chartloom.operators import intake as S
 from chartloom.operators import jobs as J
@@ -43,8 +43,7 @@ def u02(spark, sf):
 SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 50 AS batch FROM orders""")
 def u03(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    placed = position_in_group(rows, [], [F.col("id")], F.floor(F.col("id") / 262144))
-    return placed.select("id", F.floor((F.col("position") - 1) / 50).alias("batch"))
+    return global_position(rows, [F.col("id")]).select("id", F.floor((F.col("position") - 1) / 50).alias("batch"))
 
 
 @query("u04_patient_ids", "SELECT c_custkey AS id, coalesce(nullif(regexp_replace(c_name || CASE WHEN c_custkey % 7 = 0 THEN ' é/1' ELSE '-x' END, '[^\\pL\\pN_-]', '', 'g'), ''), 'unknown_patient') AS clean FROM customer")
@@ -142,14 +141,26 @@ def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-@query("s03_document_store", f"""WITH {_SQL_FILES} SELECT doc_id, source AS patient_id, CASE WHEN starts_with(mime, 'image/') THEN 'image' ELSE 'document' END AS category, size
-FROM files JOIN documents USING (doc_id)""")
-def s03(spark, sf):
-    """Written by category and patient, read back with the partition columns."""
+def _document_store(spark, sf):
+    """The valid form of every document with its checksum, written by category and patient."""
     docs = _files(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("patient_id")), "doc_id")
     path = _scratch(spark, "documents")
-    FS.write_documents(docs, path)
-    return spark.read.parquet(path).select("doc_id", "patient_id", "category", "size")
+    FS.write_documents(docs.withColumn("sha256", F.sha2("body", 256)), path)
+    return path
+
+
+_SQL_STORE = f"""{_SQL_FILES}, store AS (SELECT files.*, source AS patient_id, CASE WHEN starts_with(mime, 'image/') THEN 'image' ELSE 'document' END AS category
+  FROM files JOIN documents USING (doc_id))"""
+
+
+@query("s03_document_store", f"""WITH {_SQL_STORE} SELECT doc_id, patient_id, category, size, filename, mime, sha256(body) AS sha256,
+  'category=' || category || '/patient_id=' || patient_id AS folder, true AS has_size, true AS has_time FROM store""")
+def s03(spark, sf):
+    """Written by category and patient; a metadata row per document, with the file that Spark finds it in."""
+    rows = FS.stored_documents(spark, _document_store(spark, sf))
+    return rows.select("doc_id", "patient_id", "category", "size", "filename", "mime", "sha256",
+                       F.regexp_extract("stored_path", "/(category=[^/]*/patient_id=[^/]*)/[^/]*$", 1).alias("folder"),
+                       (F.col("stored_size") > 0).alias("has_size"), F.col("created_at").isNotNull().alias("has_time"))
 
 
 _SQL_KNOWN_MIME = X.lookup("extension", {e: m for e, (m, _) in L.FILE_TYPES.items()})
@@ -169,6 +180,17 @@ def s04(spark, sf):
     return rows.select("doc_id", "filename", "size", "size_human", "mime", "category", "extension")
 
 
+@query("s04_stored_files", f"""WITH {_SQL_STORE} SELECT category, patient_id, count(*) AS documents, 'parquet' AS extension, true AS has_size, true AS has_time
+FROM store GROUP BY category, patient_id""")
+def s04_stored(spark, sf):
+    """The inventory of the files that hold the stored documents, summed by folder."""
+    rows = S.inventory(FS.stored_files(spark, _document_store(spark, sf), ["category", "patient_id"]))
+    return rows.groupBy(F.col("folder_category").alias("category"), F.col("folder_patient_id").alias("patient_id")).agg(
+        F.sum("documents").alias("documents"), F.max("extension").alias("extension"),
+        F.min((F.col("size") > 0) & (F.col("size_human") != "0B")).alias("has_size"),
+        F.min((F.col("created") <= F.col("modified"))).alias("has_time"))
+
+
 @query("s05_expired", "SELECT event_id, user_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR")
 def s05(spark, sf):
     return S.expired(table(spark, sf, "events"), "ts", "2024-01-20 00:00:00", 24).select("event_id", "user_id")
