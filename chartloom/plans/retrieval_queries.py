@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chartloom import lexicons as L
 from chartloom.functions.spans import spread
 from chartloom.operators import retrieval as H
+from chartloom.operators import similar_cases as C
 from chartloom.operators import timeline as T
 from chartloom.operators import vectors as V
 from chartloom.plans import sqltext as X
@@ -261,3 +262,47 @@ def h18_patients(spark, sf):
     summaries = T.summary(T.threshold_report(entry_rows, ["patient_id"], 0.9), entry_rows, ["patient_id"], 0.9)
     out = H.report_lines(H.patient_overview(p, v, e), H.current_treatments(v, e), summaries=summaries)
     return out.select("patient_id", "data_points", F.col("summary").alias("overview"), "report")
+
+
+_PERIODS = [None, "last_12_months"]
+_SQL_CASES = f"""{SQL_GRAPH}, span AS (SELECT 'all' AS period, DATE '0001-01-01' AS start UNION ALL SELECT 'last_12_months', (max(visit_date) - INTERVAL 12 MONTH)::DATE FROM visits),
+tok AS (SELECT period, patient_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS t FROM visits JOIN edges USING (visit_id) JOIN span ON visit_date >= start),
+tf AS (SELECT period, patient_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 256 AS d, count(*) AS n FROM tok GROUP BY ALL),
+ids AS (SELECT period, count(DISTINCT patient_id) AS ids FROM tf GROUP BY period),
+idf AS (SELECT period, d, ln((any_value(ids) + 1)::DOUBLE / (count(*) + 1)) + 1 AS weight FROM tf JOIN ids USING (period) GROUP BY period, d),
+w AS (SELECT period, patient_id, d, n * weight AS w FROM tf JOIN idf USING (period, d)),
+size AS (SELECT period, patient_id, sqrt(sum(w * w)) AS size FROM w GROUP BY ALL),
+met AS (SELECT a.period, a.patient_id, b.patient_id AS id, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.period = b.period AND a.d = b.d AND a.patient_id <> b.patient_id
+  WHERE a.patient_id IN (SELECT conv_id FROM conversations) GROUP BY ALL),
+sim AS (SELECT met.period, met.patient_id, id, round(dot / s1.size / s2.size, 9) AS similarity FROM met JOIN size s1 ON s1.period = met.period AND s1.patient_id = met.patient_id
+  JOIN size s2 ON s2.period = met.period AND s2.patient_id = id),
+cases AS (SELECT *, row_number() OVER (PARTITION BY period, patient_id ORDER BY similarity DESC, id) AS rank FROM sim)"""
+
+
+def _cases(spark, sf, period):
+    _, v, e = _graph(spark, sf)
+    asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("patient_id"))
+    return C.patient_cases(v, e, asked, period).withColumn("period", F.lit(period or "all"))
+
+
+@query("h18_similar_cases", f"""WITH {_SQL_CASES} SELECT period, patient_id, id AS similar_id, round(similarity, 6) AS similarity, rank::INT AS rank FROM cases WHERE rank <= 5""")
+def h18_similar(spark, sf):
+    """The five patients most similar to each asked one, over all visits and over the last year of the table."""
+    rows = [_cases(spark, sf, period) for period in _PERIODS]
+    return rows[0].unionByName(rows[1]).select("period", F.col("query_id").alias("patient_id"), F.col("id").alias("similar_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("h18_patient_summaries", f"""WITH {_SQL_CASES}, {_SQL_OVERVIEW}, {_SQL_TREATED}, {_SQL_LINES},
+found AS (SELECT patient_id, count(*) AS found, '**Similar Patient Cases:** ' || count(*) || ' found' || chr(10)
+  || string_agg(rank || '. Similarity: ' || printf('%.2f', similarity), chr(10) ORDER BY rank) FILTER (rank <= 3) AS cases FROM cases WHERE rank <= 5 AND period = 'last_12_months' GROUP BY patient_id)
+SELECT patient_id, coalesce(found, 0)::INT AS found, concat_ws(chr(10), 'Patient ID: ' || patient_id, CASE WHEN visits > 0 THEN 'Total Visits: ' || visits END,
+  CASE WHEN len(l_conditions) > 0 THEN 'Conditions: ' || array_to_string(l_conditions[1:3], ', ') END, CASE WHEN len(l_medications) > 0 THEN 'Medication History: ' || array_to_string(l_medications[1:3], ', ') END,
+  CASE WHEN n > 0 THEN 'Active Treatments: ' || n || ' medications' END, CASE WHEN n > 0 THEN 'Key Medications: ' || key_meds END, cases) AS summary
+FROM ov LEFT JOIN tl USING (patient_id) LEFT JOIN found USING (patient_id) WHERE patient_id IN (SELECT conv_id FROM conversations)""")
+def h18_summaries(spark, sf):
+    """Summary of each asked patient with similar cases of the last year of the table."""
+    p, v, e = _graph(spark, sf)
+    asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("patient_id")).distinct()
+    lines = H.report_lines(H.patient_overview(p, v, e), H.current_treatments(v, e)).join(asked, "patient_id", "left_semi")
+    cases = C.case_lines(_cases(spark, sf, "last_12_months")).withColumnRenamed("query_id", "patient_id")
+    return lines.join(cases, "patient_id", "left").select("patient_id", F.coalesce("found", F.lit(0)).alias("found"), F.concat_ws("\n", "summary", "cases").alias("summary"))
