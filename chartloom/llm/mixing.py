@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartloom.functions.ranking import position_in_group
-from chartloom.llm.shared import WORD_PATTERN, saved, whole_text
+from chartloom.llm.shared import WORD_PATTERN, free_name, saved, whole_text
 
 LEVEL_BITS = 12
 LEVELS = 4
@@ -136,9 +136,11 @@ def apply_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repeat:
               text: str = "text", source: str = "source") -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all their columns."""
     _, bounds = mix_thresholds(docs, weights, max_repeat, key, text, source)
-    bounds = bounds.select(*[F.col(c).alias(f"_mix_{c}") for c in bounds.columns])
-    n = F.col("_mix_whole") + (_prefix(LEVELS, "_mix_h") < F.col("_mix_bound")).cast("bigint")
-    wanted = docs.withColumn("_mix_h", key_hash(key))
-    taken = (wanted.join(bounds, wanted[source].cast("string").eqNullSafe(bounds["_mix_source"]))
-             .withColumn("_mix_n", n).filter(F.col("_mix_n") > 0))
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n")))).select(*docs.columns)
+    at = {c: free_name(docs, f"_mix_{c}") for c in (*bounds.columns, "h", "n", "copy")}
+    bounds = bounds.select(*[F.col(c).alias(at[c]) for c in bounds.columns])
+    n = F.col(at["whole"]) + (_prefix(LEVELS, at["h"]) < F.col(at["bound"])).cast("bigint")
+    wanted = docs.withColumn(at["h"], key_hash(key))
+    taken = (wanted.join(bounds, wanted[source].cast("string").eqNullSafe(bounds[at["source"]]))
+             .withColumn(at["n"], n).filter(F.col(at["n"]) > 0))
+    copied = taken.withColumn(at["copy"], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(at["n"]))))
+    return copied.drop(*at.values())

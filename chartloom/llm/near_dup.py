@@ -30,7 +30,7 @@ from pyspark.sql.types import DoubleType
 
 from chartloom.llm.links import components
 from chartloom.llm.shared import (
-    SEEDS, byte_chunks, byte_hashes, claim_worker, lower_ascii, saved, small_batches, sorted_groups, text_bytes, whole_text, window_hashes, word_bounds,
+    SEEDS, byte_chunks, byte_hashes, claim_worker, free_name, lower_ascii, saved, small_batches, sorted_groups, text_bytes, whole_text, window_hashes, word_bounds,
 )
 from chartloom.llm.vector_links import _unite
 
@@ -416,10 +416,10 @@ def kept_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
     key (or a null key) and a text stay once; rows that repeat a key with
     different texts stay or go each by its own text.
     """
-    gone = _linked(docs, percent, key, text).filter("NOT kept").select(F.col("key").alias("__gone"), F.col("print").alias("__gone_hash")).distinct()
-    plain = F.xxhash64(whole_text(text))
+    gone_key, gone_print, hashed, place, turn = (free_name(docs, f"__{x}") for x in ("gone", "gone_print", "print", "place", "turn"))
+    gone = _linked(docs, percent, key, text).filter("NOT kept").select(F.col("key").alias(gone_key), F.col("print").alias(gone_print)).distinct()
     # null keys are spread by their text; they meet no key that goes
-    rows = docs.withColumn("__text_hash", plain).withColumn("__place", F.coalesce(F.col(key).cast("bigint"), F.col("__text_hash")))
-    rows = rows.join(gone, (F.col("__place") == F.col("__gone")) & (F.col("__text_hash") == F.col("__gone_hash")) & F.col(key).isNotNull(), "left_anti")
-    same = Window.partitionBy("__place", "__text_hash").orderBy(F.col(key))
-    return rows.withColumn("__turn", F.row_number().over(same)).filter("__turn = 1").select(*docs.columns)
+    rows = docs.withColumn(hashed, F.xxhash64(whole_text(text))).withColumn(place, F.coalesce(F.col(key).cast("bigint"), F.col(hashed)))
+    rows = rows.join(gone, (F.col(place) == F.col(gone_key)) & (F.col(hashed) == F.col(gone_print)) & F.col(key).isNotNull(), "left_anti")
+    same = Window.partitionBy(place, hashed).orderBy(F.col(key))
+    return rows.withColumn(turn, F.row_number().over(same)).filter(F.col(turn) == 1).drop(turn, hashed, place)

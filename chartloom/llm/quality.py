@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from chartloom.llm.shared import byte_chunks, byte_hashes, claim_worker, join_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
+from chartloom.llm.shared import byte_chunks, byte_hashes, claim_worker, free_name, join_hashes, saved, small_batches, text_bytes, whole_text, word_bounds
 
 BUCKET_BITS = 16
 ORDERS = (2, 3, 4)
@@ -185,4 +185,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", cut: float = CUT) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
     score = scorer(fit(docs, labels, key, text, label))
-    return docs.withColumn("__score", score(whole_text(text))).filter(F.col("__score") >= cut).select(*docs.columns)
+    name = free_name(docs, "__score")
+    return docs.withColumn(name, score(whole_text(text))).filter(F.col(name) >= cut).drop(name)

@@ -130,12 +130,14 @@ def mask_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", le
 
     ``length``, where there is such a column, is set anew for changed texts.
     """
-    df = with_secrets(docs.withColumn("__text", whole_text(text)), "__text", "__base", "__extra")
-    df = df.withColumn("__spans", F.concat("__base", "__extra"))
-    out = {c: F.col(c) for c in docs.columns}
-    changed = F.size("__spans") > 0
-    out[text] = F.when(changed, masked(F.col("__text"), F.col("__spans"), mark)).otherwise(F.col(text)).alias(text)
-    df = df.select(*[v.alias(c) for c, v in out.items()], changed.alias("__changed"))
+    # the whole row travels as one column, so no name of the input meets one of the scan
+    df = with_secrets(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text(text).alias("text")), "text", "base", "extra")
+    df = df.withColumn("spans", F.concat("base", "extra"))
+    changed = F.size("spans") > 0
+    new = F.when(changed, masked(F.col("text"), F.col("spans"), mark)).otherwise(F.col("row")[text])
+    df = df.select("row", new.alias("new"), changed.alias("changed"))
+    out = {c: F.col("row")[c] for c in docs.columns}
+    out[text] = F.col("new")
     if length and length in docs.columns:
-        df = df.withColumn(length, F.when(F.col("__changed"), F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return df.select(*docs.columns)
+        out[length] = F.when(F.col("changed"), F.length("new").cast(docs.schema[length].dataType)).otherwise(out[length])
+    return df.select(*[v.alias(c) for c, v in out.items()])

@@ -48,6 +48,14 @@ def release_memory() -> None:
         return
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, or a longer name that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 

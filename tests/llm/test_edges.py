@@ -355,3 +355,17 @@ def test_top_k_prunes_nothing_it_needs():
     want = [(q, i, int(scores[q, i])) for q in range(40) for i in sorted((i for i in range(3000) if i != q), key=lambda i: (-scores[q, i], i))[:5]]
     assert list(zip(*got, strict=True)) == want
     assert math.isclose(vector_links.collision(0.0), 1.0) and vector_links.collision(1.4) < vector_links.collision(0.3)
+
+
+def test_columns_with_names_of_the_operators_stay(spark):
+    names = ["__score", "__text", "__base", "__extra", "__spans", "__changed", "__gone", "__print", "__place", "__turn", "__text_hash", "__h", "_mix_h", "_mix_n",
+             "_mix_copy", "_mix_whole", "_mix_source", "row", "new", "base", "spans", "key", "print", "score", "size"]
+    base = [(i, f"word{i} other{i} third{i} fourth{i} fifth{i} password=abcdef{i}", "a" if i % 2 else "b") for i in range(8)]
+    docs = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in base], ["doc_id", "text", "source", *names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id bigint, quality int")
+    good = quality.keep_good(docs, labels, cut=0.0)
+    for out in (good, near_dup.kept_documents(docs), secrets.mask_secrets(docs), mixing.apply_mix(docs, weights=(1, 1))):
+        rows = out.collect()
+        assert out.columns == docs.columns and {r["doc_id"] for r in rows} == set(range(8))
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert all("[SECRET]" in r["text"] for r in secrets.mask_secrets(docs).collect())
