@@ -14,6 +14,7 @@ from chartloom import lexicons as L
 from chartloom.functions import spans as S
 from chartloom.functions.columns import string_map, strings
 from chartloom.functions.ranking import position_in_group, top_k
+from chartloom.functions.scanner import scanned
 from chartloom.functions.spans import Rule, literal
 
 
@@ -46,10 +47,22 @@ def pattern_score(label: str, hit: str) -> str:
 # --- extraction --------------------------------------------------------------
 
 def extract(docs: DataFrame, rules: list[Rule], score=None, first_ord: int = 0, text: str = "text",
-            into: str = "spans") -> DataFrame:
-    """Adds every match of every rule as an array of spans."""
-    marked = _marked(docs, text)
-    return marked.withColumn(into, F.expr(S.find_spans("__clean", rules, score, first_ord, "__low"))).drop("__clean", "__low")
+            into: str = "spans", native: bool = True) -> DataFrame:
+    """Adds every match of every rule as an array of spans.
+
+    ``score(label, hit)`` gives the SQL of a confidence, default the rule's own.
+    ``native`` runs each pattern as an expression; without it an automaton over
+    all patterns runs once over a text, in Arrow batches.  Both give the same spans.
+    """
+    if native or not rules:
+        marked = _marked(docs, text)
+        return marked.withColumn(into, F.expr(S.find_spans("__clean", rules, score, first_ord, "__low"))).drop("__clean", "__low")
+    found = docs.withColumn(into, scanned(F.expr(S.clear_marks(text)), rules, first_ord))
+    if score is None:
+        return found
+    scored = (f"CAST(struct(s.start, s.ord, s.end, s.label, s.text, {score('s.label', 's.text')}, s.semantic_type, s.value, s.reference_range) "
+              f"AS {S.SPAN_TYPE})")
+    return found.withColumn(into, F.expr(f"transform({into}, s -> {scored})"))
 
 
 def _marked(docs: DataFrame, text: str) -> DataFrame:
@@ -60,9 +73,9 @@ def resolve(docs: DataFrame, spans: str = "spans") -> DataFrame:
     return docs.withColumn(spans, F.expr(S.resolve_overlaps(spans)))
 
 
-def extract_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
+def extract_patterns(docs: DataFrame, text: str = "text", native: bool = True) -> DataFrame:
     """Pattern lexicon, scored and free of overlaps."""
-    return resolve(extract(docs, pattern_rules(), pattern_score, text=text))
+    return resolve(extract(docs, pattern_rules(), pattern_score, text=text, native=native))
 
 
 def to_rows(docs: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
@@ -182,7 +195,10 @@ def ocr_fix_sql(text: str) -> str:
     for gate, pattern, replacement in L.OCR_STEPS:
         step = f"regexp_replace({fixed}, {literal(pattern)}, {literal(replacement)})"
         fixed = f"CASE WHEN {gates[gate]} THEN {step} ELSE {fixed} END" if gate else step
-    return f"coalesce(element_at({_map_sql(table)}, lower({text})), {fixed})"
+    # every step needs a digit or one of two letter pairs
+    fixed = f"CASE WHEN {text} RLIKE '[0-9]|rn|cl' THEN {fixed} ELSE {text} END"
+    known = ", ".join(literal(wrong) for wrong in table)
+    return f"CASE WHEN lower({text}) IN ({known}) THEN element_at({_map_sql(table)}, lower({text})) ELSE {fixed} END"
 
 
 def normal_form_sql(text: str, label: str, case_fold: bool = False) -> str:
@@ -231,10 +247,9 @@ def related_positions_sql(spans: str, distance: int = 100) -> str:
     """
     pairs = ", ".join(literal(f"{a}|{b}") for x, y in L.RELATED_LABEL_PAIRS for a, b in ((x, y), (y, x)))
     first = f"greatest(i - {distance}, 0)"
-    return (f"transform(filter(transform(slice({spans}, {first} + 1, {2 * distance + 1}), "
-            f"(o, k) -> named_struct('at', {first} + k, 'start', o.start, 'label', o.label)), "
-            f"o -> o.at <> i AND abs(o.start - s.start) <= {distance} "
-            f"AND concat(s.label, '|', o.label) IN ({pairs})), o -> o.at)")
+    return (f"filter(transform(slice({spans}, {first} + 1, {2 * distance + 1}), "
+            f"(o, k) -> CASE WHEN abs(o.start - s.start) <= {distance} AND {first} + k <> i "
+            f"AND concat(s.label, '|', o.label) IN ({pairs}) THEN {first} + k END), at -> at IS NOT NULL)")
 
 
 def related_rows(rows: DataFrame, key: str, start: str, label: str, row_id: str,
@@ -344,29 +359,26 @@ def extract_entities(docs: DataFrame, threshold: float = 0.7, model_spans: str |
     ``model_spans`` names an array column of spans from models, already mapped
     to entity types.  The extra patterns run only beside a first model.
     """
-    sources = [(extra_rules() if with_extra else []), clinical_rules(), temporal_rules(), lab_rules()]
-    marked = _marked(docs, text)
-    first = 1000
-    parts = [model_spans] if model_spans else []
-    for rules in sources:
-        if rules:
-            parts.append(S.find_spans("__clean", rules, first_ord=first, low="__low"))
-            first += len(rules)
-    found = marked.withColumn("__found", F.expr("concat(" + ", ".join(parts) + ")"))
-    retyped = S.let(ocr_fix_sql("s.text"), "fixed", (
-        f"CAST(struct(s.start, s.ord, s.end, {validated_type_sql('fixed', 's.label')}, fixed, s.confidence, "
-        f"s.semantic_type, s.value, s.reference_range) AS {S.SPAN_TYPE})"))
-    typed = found.withColumn("__typed", F.expr(f"transform(__found, s -> {retyped})"))
-    kept = typed.withColumn("__kept", F.expr(f"filter(__typed, s -> NOT {entity_artifact_sql('s.text')})"))
-    merged = kept.withColumn("__merged", F.expr(
-        f"filter({S.resolve_overlaps('__kept')}, s -> s.confidence >= {threshold}D)"))
+    rules = (extra_rules() if with_extra else []) + clinical_rules() + temporal_rules() + lab_rules()
+    found = docs.withColumn("__found", scanned(F.expr(S.clear_marks(text)), rules, 1000))
+    if model_spans:
+        found = found.withColumn("__found", F.concat(F.coalesce(F.col(model_spans), F.expr(f"CAST(array() AS {S.SPANS_TYPE})")), "__found"))
+    # the type of a span decides nothing about overlaps, so only spans that stay are typed
+    fixed = S.let(ocr_fix_sql("s.text"), "fixed", (
+        f"CAST(struct(s.start, s.ord, s.end, s.label, fixed, s.confidence, s.semantic_type, s.value, s.reference_range) AS {S.SPAN_TYPE})"))
+    kept = found.withColumn("__fixed", F.expr(f"transform(__found, s -> {fixed})")).withColumn(
+        "__kept", F.expr(f"filter(__fixed, s -> NOT {entity_artifact_sql('s.text')})"))
+    resolved = kept.withColumn("__resolved", F.expr(f"filter({S.resolve_overlaps('__kept')}, s -> s.confidence >= {threshold}D)"))
+    merged = resolved.withColumn("__merged", F.expr("transform(__resolved, s -> " + (
+        f"CAST(struct(s.start, s.ord, s.end, {validated_type_sql('s.text', 's.label')}, s.text, s.confidence, s.semantic_type, s.value, "
+        f"s.reference_range) AS {S.SPAN_TYPE}))")))
     entity = S.let(normal_form_sql("s.text", "s.label", case_fold), "normal", S.let(
         concept_code_sql("normal", "s.label"), "code", (
             f"CAST(struct(s.start, s.end, s.label, normal, s.confidence, s.semantic_type, s.value, s.reference_range, "
             f"normal, code, CASE WHEN code IS NOT NULL THEN concat({code_system_sql('s.label')}, ':', code) END, "
             f"{related_positions_sql('__merged')}) AS {ENTITY_FIELDS})")))
     return merged.withColumn("entities", F.expr(f"transform(__merged, (s, i) -> {entity})")).drop(
-        "__clean", "__low", "__found", "__typed", "__kept", "__merged")
+        "__found", "__fixed", "__kept", "__resolved", "__merged")
 
 
 def document_report(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -91,7 +91,7 @@ def e06(spark, sf):
 
 @query("e07_resolved_pattern_spans", f"{_SQL_RESOLVED} SELECT doc_id, start, \"end\", label, text, round(conf, 6) AS confidence FROM spans")
 def e07(spark, sf):
-    return _rows(E.extract_patterns(notes(spark, sf))).select(
+    return _rows(E.extract_patterns(notes(spark, sf), native=False)).select(
         "doc_id", "start", "end", "label", "text", F.round("confidence", 6).alias("confidence"))
 
 
