@@ -20,6 +20,7 @@ from chartloom.session import checkpoint_dir
 from chartloom.sources import files as FS
 from chartloom.sources.keyed_store import DuplicateKeys, KeyedStore
 from chartloom.streaming import job_stream as JS
+from chartloom.streaming import job_timers as JT
 
 NOW = "2024-02-01 00:00:00"
 
@@ -398,6 +399,21 @@ def j05_window_fold(spark, sf):
     return KeyedStore(spark, store).read().withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+_RUN_LIMIT = 1800
+
+
+@query("j05_run_timeouts", f"""WITH {_SQL_JOBS}, m AS (SELECT job_id, event_id, event, epoch_us(ts) // 1000 AS ms FROM ev WHERE event IN ('start', 'complete', 'fail', 'cancel')),
+n AS (SELECT *, min(ms) OVER (PARTITION BY job_id ORDER BY ms RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_ms FROM m)
+SELECT job_id, event_id, ms AS started_ms, ms + {_RUN_LIMIT * 1000} AS failed_ms FROM n
+WHERE event = 'start' AND ms + {_RUN_LIMIT * 1000} <= (SELECT max(ms) - 3600000 FROM m) AND (after_ms IS NULL OR after_ms > ms + {_RUN_LIMIT * 1000})""")
+def j05_run_timeouts(spark, sf):
+    """Runs that neither ended nor began anew within half an hour, by timers on the stream's state."""
+    events = job_events(JS.read_events(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet"))
+    out = _scratch(spark, "run-timeouts")
+    JT.time_out_runs(events, out, _scratch(spark, "run-timers"), _RUN_LIMIT).awaitTermination()
+    return spark.read.schema(JT.RESULT).parquet(out)
+
+
 _REQUEST = ["o_orderkey AS id", "o_orderkey % 3 AS n_documents", "o_custkey % 2 AS n_paths", "o_custkey % 14 - 1 AS max_retries",
             "o_orderkey % 4000 AS timeout_seconds", f"{_cycle('o_custkey', [*L.WORKFLOWS, 'nightly'])} AS workflow"]
 
