@@ -131,7 +131,7 @@ def entry_text(entry: Column | None = None) -> Column:
                        *[F.concat(F.lit(f"{t}: "), F.array_join(at(c), ", ")) for t, c in titles])
 
 
-def structure_documents(docs: DataFrame, key: str, cfg, as_of: str, threshold: float = 0.5) -> DataFrame:
+def structure_documents(docs: DataFrame, key: str, cfg, as_of: str, threshold: float = 0.5, native: bool = False) -> DataFrame:
     """Text to timeline and quality per document, from one extraction.
 
     Visit chunks with their spans go into entries by day, with the sums that the
@@ -140,7 +140,7 @@ def structure_documents(docs: DataFrame, key: str, cfg, as_of: str, threshold: f
     chunks has an empty timeline and zeros.
     """
     from chartloom.operators.chunks import document_chunks_with_spans
-    chunks = facts(document_chunks_with_spans(docs, [key], cfg, keep_empty=True))
+    chunks = facts(document_chunks_with_spans(docs, [key], cfg, keep_empty=True, native=native))
     dated = chunks.withColumn("visit_day", F.when(F.col("text").isNotNull(), visit_day(F.col("visit_date"), F.col("text"), as_of))).withColumn(
         "chunk_confidence", chunk_confidence())
     n = F.size("spans").cast("double")
