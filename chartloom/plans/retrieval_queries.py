@@ -139,7 +139,7 @@ SELECT a.query_id, i.drug1, i.drug2, 'INTERACTS_WITH' AS interaction_types FROM
 def h09(spark, sf):
     _, v, e = _graph(spark, sf)
     owners = v.select("visit_id", F.col("patient_id").alias("query_id"))
-    named = e.filter("type = 'PRESCRIBED'").join(owners, "visit_id").select("query_id", F.col("name").alias("medication")).distinct()
+    named = e.filter("type = 'PRESCRIBED'").join(owners, "visit_id").select("query_id", F.col("name").alias("medication"))
     out = H.named_interactions(star.interactions(spark, sf).withColumn("type", F.lit("INTERACTS_WITH")), named)
     return out.withColumn("interaction_types", F.array_join("interaction_types", ","))
 
