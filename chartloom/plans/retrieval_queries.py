@@ -149,10 +149,11 @@ def _evidence(spark, sf):
     found = H.vector_evidence(spread(corpus), searches, own=own)
     vector = H.tag(found.withColumn("note", F.concat_ws(":", "result_type", F.lpad(F.col("position").cast("string"), 2, "0"), F.col("content").cast("string"))),
                    "vector", F.col("relevance"), ["vectors", "similar"], F.col("note"))
-    _, v, e = _graph(spark, sf)
-    treated = H.current_treatments(v, e)
+    # only visits and edges of the askers are joined and ranked, and their conditions are not part of the evidence
     asked = table(spark, sf, "conversations").select(F.col("conv_id").alias("patient_id")).distinct()
-    graph = H.tag(treated.join(asked, "patient_id", "left_semi").select(F.col("patient_id").cast("string").alias("query_id"), F.concat_ws(
+    v = star.visits(spark, sf).join(asked, "patient_id", "left_semi")
+    treated = H.newest_medications(v, star.edges(spark, sf, of=v))
+    graph = H.tag(treated.select(F.col("patient_id").cast("string").alias("query_id"), F.concat_ws(
         ":", F.lpad(F.col("rank").cast("string"), 2, "0"), "medication").alias("note")), "current_treatments", F.lit(1.2), ["graph", "current_treatments"], F.col("note"))
     return H.merge_evidence([vector, graph], F.col("content"))
 

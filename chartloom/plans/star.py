@@ -45,9 +45,11 @@ SQL_VISITS = """visits AS (
          o_orderpriority AS visit_type, o_orderstatus AS visit_status FROM orders)"""
 
 
-def raw_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per lineitem: visit, relation type, entity name, attributes."""
+def raw_edges(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """One row per lineitem: visit, relation type, entity name, attributes; with ``of`` those of its visits only."""
     li, p, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
+    if of is not None:
+        li = li.join(of.select(F.col("visit_id").alias("l_orderkey")), "l_orderkey", "left_semi")
     kind = (F.when(F.col("l_returnflag") == "A", "PRESCRIBED")
             .when(F.col("l_returnflag") == "N", "DIAGNOSED_WITH")
             .when(F.col("l_linestatus") == "O", "PERFORMED").otherwise("UNDERWENT"))
@@ -75,9 +77,9 @@ SQL_RAW_EDGES = """raw_edges AS (
   JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Merged edges: one per (visit, relation, entity name)."""
-    return raw_edges(spark, sf).select("visit_id", "type", "name").distinct()
+def edges(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Merged edges: one per (visit, relation, entity name); with ``of`` those of its visits only."""
+    return raw_edges(spark, sf, of).select("visit_id", "type", "name").distinct()
 
 
 SQL_EDGES = SQL_RAW_EDGES + """,
