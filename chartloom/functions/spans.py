@@ -202,8 +202,8 @@ def spread(df, partitions: int | None = None):
 TASK_ROWS = 50_000
 
 
-def dealt(df, key: str, rows: int = TASK_ROWS):
-    """Deal the rows of a table out by a unique key, at most about ``rows`` to a task, before costly row work.
+def dealt(df, rows: int = TASK_ROWS):
+    """Deal the rows of a table out evenly, at most about ``rows`` to a task, before costly row work.
 
     The number of splits says nothing about that: a row group is read by one task
     however many splits its bytes make, so splits can be empty while others have
@@ -211,4 +211,4 @@ def dealt(df, key: str, rows: int = TASK_ROWS):
     task does not grow with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * max(1, -(-df.count() // (cores * rows))), key)  # full rounds of tasks
+    return df.repartition(cores * max(1, -(-df.count() // (cores * rows))))  # full rounds of tasks

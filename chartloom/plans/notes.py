@@ -60,8 +60,8 @@ def note_sql(spark: bool) -> str:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    return dealt(table(spark, sf, "orders"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("patient_id"),
-                                                                  F.expr(note_sql(True)).alias("text"))
+    return dealt(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("patient_id"),
+                                                    F.expr(note_sql(True)).alias("text"))
 
 
 SQL_NOTES = f"notes AS (SELECT o_orderkey AS doc_id, o_custkey AS patient_id, {note_sql(False)} AS text FROM orders)"

@@ -31,6 +31,6 @@ def test_one_row_group_in_many_splits(spark, tmp_path):
 
 @pytest.mark.parametrize("n", [0, 1, 999])
 def test_dealt_rows_are_the_same_rows(spark, n):
-    df = dealt(spark.range(n).withColumn("x", F.col("id") * 2), "id", rows=10)
+    df = dealt(spark.range(n).withColumn("x", F.col("id") * 2), rows=10)
     assert sorted(map(tuple, df.collect())) == [(i, 2 * i) for i in range(n)]
     assert max(_rows_by_task(df), default=0) <= 30
