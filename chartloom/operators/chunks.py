@@ -282,9 +282,16 @@ def assign_spans(chunks: DataFrame, spans: DataFrame, key: str, width: int, star
 
 
 def visit_date_of(text: Column) -> Column:
-    """Date of the first date pattern (in order) that occurs in the text."""
-    found = [F.nullif(F.regexp_extract(text, S.java_pattern(p), 1), F.lit("")) for p in L.VISIT_DATE_PATTERNS]
-    return parse_date(F.coalesce(*found))
+    """Date of the first date pattern (in order) that occurs in the text.
+
+    On plain ASCII the patterns match the same without Unicode classes, and faster.
+    """
+    def first(value: Column) -> Column:
+        plain = F.octet_length(value) == F.length(value)
+        found = [F.when(plain, F.regexp_extract(value, "(?i)" + p, 1)).otherwise(F.regexp_extract(value, S.java_pattern(p), 1)) for p in L.VISIT_DATE_PATTERNS]
+        return F.coalesce(*[bound(x, lambda v: F.when(v != "", v)) for x in found])
+
+    return parse_date(first(text))
 
 
 def medical_topics(text: Column) -> Column:

@@ -7,6 +7,8 @@ timeline is bounded by calendar days.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +25,31 @@ def visit_day(visit_date: Column, text: Column, as_of: str) -> Column:
     return F.to_date(F.coalesce(visit_date, visit_date_of(text), F.lit(as_of).cast("timestamp_ntz")))
 
 
+def _captured(patterns: list[str]) -> str:
+    """First groups of all matches; a pattern runs only where its first words stand, or on a text that is not plain ASCII."""
+    def one(p: str) -> str:
+        word = re.match(r"[a-z ]+(?![?*{])", p).group().strip()
+        return (f"CASE WHEN contains(__low, {literal(word)}) OR octet_length(text) <> length(text) THEN regexp_extract_all(text, {literal('(?iU)' + p)}, 1) "
+                "WHEN text IS NOT NULL THEN CAST(array() AS array<string>) END")
+
+    return "concat(" + ", ".join(map(one, patterns)) + ")"
+
+
 def facts(chunks: DataFrame) -> DataFrame:
     """Adds the six fact arrays of a chunk (text, spans)."""
     words = "array(" + ", ".join(literal(w) for w in L.FACT_SYMPTOMS) + ")"
-    symptoms = let("split(text, '\\\\.')", "sentences", (
-        f"transform(filter({words}, w -> contains(lower(text), w)), w -> "
-        f"{strip_sql('filter(sentences, p -> contains(lower(p), w))[0]')})"))
-    captured = {
-        kind: F.concat(*[F.regexp_extract_all(F.col("text"), F.lit("(?iU)" + p), F.lit(1)) for p in patterns])
-        for kind, patterns in (("diagnoses", L.FACT_DIAGNOSES), ("procedures", L.FACT_PROCEDURES))}
-    low = F.lower("text")
+    first = strip_sql("filter(sentences, (p, i) -> contains(lows[i], w))[0]")
+    symptoms = let(f"filter({words}, w -> contains(__low, w))", "found", "CASE WHEN size(found) = 0 THEN CAST(array() AS array<string>) ELSE " + let(
+        "split(text, '\\\\.')", "sentences", let("transform(sentences, p -> lower(p))", "lows", f"transform(found, w -> {first})")) + " END")
+    low = F.col("__low")
     tested = F.expr("transform(filter(spans, s -> s.label IN ('lab_values', 'vitals')), s -> s.text)")
     nothing = F.array().cast("array<string>")
     note = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
-    return (chunks.withColumn("symptoms", F.array_compact(F.expr(symptoms)))
+    return (chunks.withColumn("__low", F.lower("text")).withColumn("symptoms", F.array_compact(F.expr(symptoms)))
             .withColumn("tests", F.when(any_contains(low, L.FACT_TESTS), tested).otherwise(nothing))
             .withColumn("medications", F.expr("transform(filter(spans, s -> s.label = 'medication'), s -> s.text)"))
-            .withColumn("diagnoses", captured["diagnoses"]).withColumn("procedures", captured["procedures"])
-            .withColumn("progress_notes", F.when(any_contains(low, L.FACT_NOTES), F.array(note)).otherwise(nothing)))
+            .withColumn("diagnoses", F.expr(_captured(L.FACT_DIAGNOSES))).withColumn("procedures", F.expr(_captured(L.FACT_PROCEDURES)))
+            .withColumn("progress_notes", F.when(any_contains(low, L.FACT_NOTES), F.array(note)).otherwise(nothing)).drop("__low"))
 
 
 def chunk_confidence() -> Column:
@@ -82,6 +91,11 @@ def entries(chunks: DataFrame, keys: list[str], order: list[str], sums: dict[str
         F.transform("__c", lambda c: c["chunk_id"]).alias("chunk_ids"), "confidence", "n_chunks", *(sums or {}))
 
 
+def entry_confidences(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, visit_day, confidence) of the entries, for results that need nothing else of them: no facts travel."""
+    return chunks.groupBy(*keys, "visit_day").agg(F.avg("chunk_confidence").alias("confidence"))
+
+
 def threshold_report(entry_rows: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Kept and dropped entries, mean confidence of the kept ones, first and last day."""
     kept = F.col("confidence") >= threshold
